@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphvein.llm import bpe, quality, secrets, toxicity
+from glyphvein.llm import bpe, mixing, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op3_secrets": secrets.op3_secrets,
         "op5_quality": quality.op5_quality,
         "op6_byte_bpe": bpe.op6_byte_bpe,

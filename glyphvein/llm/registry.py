@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphvein.llm import bpe, mixing, quality, secrets, tokenfile, toxicity
+from glyphvein.llm import bpe, mixing, quality, secrets, substring, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op3_secrets": secrets.op3_secrets,
+        "op4_substring": substring.op4_substring,
         "op5_quality": quality.op5_quality,
         "op6_byte_bpe": bpe.op6_byte_bpe,
         "op7_toxicity": toxicity.op7_toxicity,

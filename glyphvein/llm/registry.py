@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphvein.llm import bpe, mixing, quality, secrets, substring, tokenfile, toxicity
+from glyphvein.llm import bpe, jaccard, mixing, quality, secrets, substring, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": quality.op5_quality,
         "op6_byte_bpe": bpe.op6_byte_bpe,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_jaccard": jaccard.op8_jaccard,
         "op10_token_file": tokenfile.op10_token_file,
     }
 

@@ -151,14 +151,11 @@ def mixed_documents(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share:
     names = df.columns
     keyed = df.withColumn("__key", row_key("doc_id", "text"))
     given = copies(stored(keyed.select(F.col("__key").alias("key"), "source", size_of().alias("size")), "mixing-sized"), weights, share, cap)
-    # Equal rows share a key: their copies are added up and dealt out to each evenly, the rest to one more of them each.
-    totals = given.groupBy("key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    lone, several = totals.where("__rows = 1"), totals.where("__rows > 1")
-    once = keyed.join(lone.select(F.col("key").alias("__key"), "__copies"), "__key")
-    # of equal rows one stands for all
-    rest = keyed.join(several.select(F.col("key").alias("__key"), "__copies"), "__key").groupBy("__key").agg(F.first(F.struct(*names)).alias("r"), F.first("__copies").alias("__copies")).select("r.*", "__copies")
-    dealt = once.select(*names, "__copies").unionByName(rest)
-    return dealt.where("__copies > 0").withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    totals = given.groupBy("key").agg(F.sum("copies").alias("__copies")).withColumnRenamed("key", "__key")
+    # Equal rows share a key: the first of them stands for all of their copies.
+    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key")) == 1
+    dealt = keyed.join(totals.hint("merge"), "__key").withColumn("__first", first).where("__first AND __copies > 0")
+    return dealt.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

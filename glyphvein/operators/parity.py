@@ -1,0 +1,27 @@
+"""Overlapping readings of UTF-16 at the two byte alignments: of two that overlap, one goes.
+
+A run is dropped if some overlapping run of the other parity is preferred: the one that is all
+ASCII, else the longer in bytes, else parity 0. Overlap is found by an equi-join on blocks of
+offsets, so no pair of distant runs meets.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: log2 of the bytes of a block.
+BLOCK = 12
+
+
+def resolved(runs: DataFrame, least: int = 1) -> DataFrame:
+    """runs (path, offset, cb, cch, text, parity, edge, ...) without the losers. Runs below `least` take part only at the ends of the input."""
+    runs = runs.where((F.col("cch") >= least) | F.col("edge"))
+    plain = F.col("text").rlike(r"\A[\t\x20-\x7e]*+\z")
+    blocks = F.explode(F.sequence(F.shiftright("offset", BLOCK), F.shiftright(F.col("offset") + F.col("cb") - 1, BLOCK)))
+    spread = runs.select("path", "offset", (F.col("offset") + F.col("cb")).alias("end"), "cb", "parity", plain.alias("plain"), blocks.alias("block"))
+    a, b = spread.where("parity = 0").alias("a"), spread.where("parity = 1").alias("b")
+    met = a.join(b, (F.col("a.path") == F.col("b.path")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.offset") < F.col("b.end")) & (F.col("b.offset") < F.col("a.end")))
+    a_wins = F.when(F.col("a.plain") != F.col("b.plain"), F.col("a.plain")).otherwise(F.col("a.cb") >= F.col("b.cb"))
+    losers = met.select(F.col("a.path").alias("path"), F.when(a_wins, F.col("b.offset")).otherwise(F.col("a.offset")).alias("offset"), F.when(a_wins, 1).otherwise(0).alias("parity")).distinct()
+    return runs.join(losers, ["path", "offset", "parity"], "left_anti")

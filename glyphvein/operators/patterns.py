@@ -1,0 +1,111 @@
+"""For each encoding: what a run is, and which bytes can be part of one under any reading.
+
+A scan pattern tiles the view with tokens of two groups, what comes before a run and the run;
+each begins where the last one ended, so 16-bit units stay aligned and no byte is tried twice.
+All repeats are possessive: long runs neither backtrack nor deepen the matcher's stack.
+"""
+
+from __future__ import annotations
+
+import functools
+from dataclasses import dataclass
+
+from glyphvein.functions import codecs, filters, regex
+
+TEXT = r"[\t\x20-\x7e]"
+
+#: Well-formed UTF-8 sequences of admitted characters (no controls, no U+2028, U+2029).
+UTF8 = (
+    TEXT, r"\xc2[\xa0-\xbf]", r"[\xc3-\xdf][\x80-\xbf]", r"\xe0[\xa0-\xbf][\x80-\xbf]", r"\xe2\x80[\x80-\xa7\xaa-\xbf]", r"\xe2[\x81-\xbf][\x80-\xbf]",
+    r"[\xe1\xe3-\xec\xee\xef][\x80-\xbf]{2}", r"\xed[\x80-\x9f][\x80-\xbf]", r"\xf0[\x90-\xbf][\x80-\xbf]{2}", r"[\xf1-\xf3][\x80-\xbf]{3}", r"\xf4[\x80-\x8f][\x80-\xbf]{2}",
+)
+#: Four-byte sequences of GB18030 that stand for code points.
+GB18030_FOUR = (r"[\x81-\x83\x90-\xe2][0-9][\x81-\xfe][0-9]", r"\x84(?:0[\x81-\xfe]|1[\x81-\xa4])[0-9]", r"\xe3(?:[01][\x81-\xfe][0-9]|2(?:[\x81-\x99][0-9]|\x9a[0-5]))")
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """unit: one character of a run. shaped: one byte (or 16-bit unit) that may belong to a run; backwards: the same with its bytes in reverse."""
+
+    unit: str
+    shaped: str
+    backwards: str
+    width: int = 1
+    #: Noise that swallows more than a byte, at the end of the input: by how many bytes follow what is scanned.
+    tails: tuple[str, str] = ("", "")
+    #: A whole pattern with empty first group, where runs are no repeats of a unit.
+    own: tuple[str, str, str] | None = None
+    simple: bool = False
+
+    def tokens(self, least: int = 1, gap: int = 2) -> str:
+        """least: shorter runs count as noise, where a unit is a character. gap: bytes of input after the scanned ones (2: or more)."""
+        if self.own:
+            return self.own[min(gap, 2)]
+        noise = f"(?:(?!{self.unit})[\\s\\S]{{{self.width}}})"
+        tail = self.tails[gap] if gap < 2 else ""
+        if self.simple and least > 1:
+            return f"\\G((?:{noise}++|(?:{self.unit}){{1,{least - 1}}}+(?!{self.unit}))*+)((?:{self.unit})++)"
+        return f"\\G((?:{tail}{noise})*+)((?:{self.unit})++)"
+
+
+def _joined(alternatives: list[str]) -> str:
+    return f"(?:{'|'.join(alternatives)})" if alternatives else "(?!)"
+
+
+def _single(values: list[int]) -> Pattern:
+    unit = regex.byte_class(values)
+    return Pattern(unit, unit, unit, simple=True)
+
+
+def _double_byte(name: str) -> Pattern:
+    seconds: dict[int, list[int]] = {}
+    for pair in codecs.pair_table(name):
+        seconds.setdefault(pair[0], []).append(pair[1])
+    four = list(GB18030_FOUR) if name == "gb18030" else []
+    unit = _joined([regex.byte_class(codecs.single_bytes(name)), *four, *regex.pairs(seconds)])
+    shaped = set(codecs.single_bytes(name)) | set(codecs.spread(codecs.LEADS[name])) | set(codecs.spread(codecs.TRAILS[name]))
+    if name == "gb18030":
+        shaped |= set(range(0x30, 0x3A))
+    tails = (r"[\x81-\xfe][0-9][\s\S]?\z|", r"[\x81-\xfe][0-9]\z|") if name == "gb18030" else ("", "")
+    s = regex.byte_class(shaped)
+    return Pattern(unit, s, s, tails=tails)
+
+
+def _iso2022jp() -> Pattern:
+    seconds: dict[int, list[int]] = {}
+    for pair in codecs.kanji_pairs():
+        seconds.setdefault(pair[0], []).append(pair[1])
+    escape = r"\x1b(?:\([BJI]|\$[@B])"
+    body = rf"(?:(?:{escape})*(?:\x1b\([BJ]{TEXT}++|\x1b\(I[\x21-\x5f]++|\x1b\$[@B]{_joined(regex.pairs(seconds))}++))"
+    run = rf"{TEXT}++{body}*+|{body}++"
+    # A byte that ends a run is consumed with it: the mode is lost there. At the end of the input a cut escape is noise as a whole.
+    token = lambda tail: rf"()({run})[^\x1b]?+|(?:{escape})++[^\x1b]?+|{tail}[^\x1b\t\x20-\x7e]++|[\s\S]"
+    return Pattern("", r"[\x1b\t\x20-\x7e]", r"[\x1b\t\x20-\x7e]", own=(token(r"\x1b[($]?\z|"), token(""), token("")))
+
+
+@functools.lru_cache(maxsize=128)
+def pattern(name: str, names: tuple[str, ...] = ("ascii",)) -> Pattern:
+    """The pattern of an encoding under character filters."""
+    if name == "ascii":
+        return _single(filters.byte_table(names).nonzero()[0].tolist())
+    if name == "windows-1251":
+        admitted = filters.table(names)
+        return _single([b for b in range(256) if admitted[ord(CP1251[b])] and (b == 9 or not (b < 32 or 0x7F <= ord(CP1251[b]) < 0xA0))])
+    if name in ("utf16le-ascii", "utf16le"):
+        table = filters.table(names)[: 1 << 16].copy()
+        table[0xD800:0xE000] &= name == "utf16le-ascii"
+        alternatives, shaped = regex.units(table), table.copy()
+        if name == "utf16le":
+            alternatives += regex.surrogate_pairs(filters.table(names))
+            shaped[0xD800:0xE000] = True
+        return Pattern(_joined(alternatives), _joined(regex.units(shaped)), _joined(regex.units(shaped, swapped=True)), width=2, simple=name == "utf16le-ascii")
+    if name == "utf8":
+        shaped = r"[\t\x20-\x7e\x80-\xbf\xc2-\xf4]"
+        return Pattern(_joined(list(UTF8)), shaped, shaped)
+    if name == "iso2022-jp":
+        return _iso2022jp()
+    return _double_byte(name)
+
+
+#: What each byte stands for in windows-1251; the hole 0x98 is a control.
+CP1251 = [bytes([b]).decode("cp1251", "replace").replace("�", chr(b)) for b in range(256)]

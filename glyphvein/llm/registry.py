@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphvein.llm import bpe, jaccard, mixing, quality, secrets, substring, tokenfile, toxicity
+from glyphvein.llm import bpe, jaccard, mixing, neighbours, quality, secrets, substring, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_embeddings": neighbours.op2_embeddings,
         "op3_secrets": secrets.op3_secrets,
         "op4_substring": substring.op4_substring,
         "op5_quality": quality.op5_quality,

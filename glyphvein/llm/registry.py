@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphvein.llm import bpe, jaccard, mixing, neighbours, quality, secrets, substring, tokenfile, toxicity
+from glyphvein.llm import bpe, jaccard, mixing, neighbours, quality, scoring, secrets, substring, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": bpe.op6_byte_bpe,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_jaccard": jaccard.op8_jaccard,
+        "op9_scores": scoring.op9_scores,
         "op10_token_file": tokenfile.op10_token_file,
     }
 

@@ -33,18 +33,21 @@ from pyspark.sql import functions as F
 from glyphvein.llm.common import portions, shared_folder, stored, table
 
 #: Tokens of a block (more if its last document is longer), lanes, steps between checkpoints, bits of frequencies.
-BLOCK, LANES, SEGMENT, SCALE = 1 << 18, 256, 512, 20
+BLOCK, LANES, SEGMENT, SCALE = 1 << 18, 1024, 128, 20
 LOW = np.uint64(1 << 31)
 MAGIC = b"GVT1"
 _HEAD = struct.Struct("<4sIQIIII")
 
 # ---------------------------------------------------------------- tokenizing
 
-#: Units of text: none of the tokenizer's matches goes on from a character that is no white space to a
-#: space or line break, so each unit encodes alone. Texts with other white space are encoded whole.
-_UNIT, _OTHER_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[^\S \n]")
+#: Units of text, such that no match of the tokenizer's splitting pattern goes on from one to the next, so each
+#: encodes alone: no match goes on from a character that is no white space to a space or line break, nor between
+#: letters and marks (the apostrophe aside, which joins letters). Texts with other white space are encoded whole.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_UNIT = re.compile(rf"[ \n]*[{_LETTER}]+(?![^{_MARK} \n])|[{_MARK}]+(?![^{_LETTER} \n])|[ \n]*[^ \n]+|[ \n]+")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Units remembered by a worker at most.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 class Units:
@@ -56,16 +59,45 @@ class Units:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.library.get_vocab()
+        #: How many bytes a token stands for: a character of its name each.
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for name, token in vocabulary.items():
+            self.bytes_of[token] = len(name)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
-
-    def _extended(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        new = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        at = self.at[-1] + np.cumsum([len(x) for x in new], dtype=np.int64)
-        return np.concatenate([self.flat, *(np.asarray(x, np.int64) for x in new)]), np.concatenate([self.at, at])
+        self.known: dict[str | None, int] = {None: 0}
+        self.flat, self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 14, np.int64), 1
+
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remembers the ids of new units."""
+        end, n = self.at[self.n], self.n + len(sizes)
+        while len(self.flat) < end + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.at) <= n:
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.flat[end : end + len(ids)] = ids
+        self.at[self.n + 1 : n + 1] = end + np.cumsum(sizes)
+        self.n = n
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Units that begin with white space and end without are encoded in strings of many: all cuts between them are safe."""
+        inner = [u for u in fresh if u[0] in " \n" and u[-1] not in " \n"]
+        for begin in range(0, len(inner), 4096):
+            part = inner[begin : begin + 4096]
+            ids = np.asarray(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(u.encode()) for u in part])) + 1
+            self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
+            self._append(ids, np.diff(np.concatenate([[0], cuts])))
+        other = [u for u in fresh if not (u[0] in " \n" and u[-1] not in " \n")]
+        if other:
+            self.known.update(zip(other, range(self.n, self.n + len(other)), strict=True))
+            self._append(*self._each(other))
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        new = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.asarray(x, np.int64) for x in new]), np.array([len(x) for x in new], np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
@@ -73,26 +105,26 @@ class Units:
             self.forget()
         units, counts, whole = [], [], []
         for t in texts:
-            t = t or ""
-            if _OTHER_SPACE.search(t):
+            if t and _OTHER_SPACE.search(t):
                 whole.append((len(units), t))
-                own = [None]
+                units.append(None)
+                counts.append(1)
             else:
-                own = _UNIT.findall(t)
-            units += own
-            counts.append(len(own))
-        fresh = [u for u in dict.fromkeys(units) if u is not None and u not in self.known]
-        if fresh:
-            self.known.update(zip(fresh, range(len(self.at) - 1, len(self.at) - 1 + len(fresh)), strict=True))
-            self.flat, self.at = self._extended(fresh)
-        flat, at = self._extended([t for _, t in whole]) if whole else (self.flat, self.at)
-        which = np.fromiter((self.known.get(u, -1) for u in units), np.int64, len(units))
-        which[[k for k, _ in whole]] = np.arange(len(self.at) - 1, len(self.at) - 1 + len(whole))
-        size = at[which + 1] - at[which]
+                own = _UNIT.findall(t or "")
+                units += own
+                counts.append(len(own))
+        self._learn({*units}.difference(self.known))
+        which = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        flat, begin, size = self.flat, self.at[which], self.at[which + 1] - self.at[which]
+        if whole:
+            ids, sizes = self._each([t for _, t in whole])
+            places = [k for k, _ in whole]
+            begin[places], size[places] = len(flat) + np.cumsum(sizes) - sizes, sizes
+            flat = np.concatenate([flat, ids])
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.arange(upto[-1]) + np.repeat(at[which] - upto[:-1], size)]
-        ends = np.cumsum(counts)
-        return ids, np.diff(np.concatenate([[0], upto[ends]]))
+        at = np.repeat(begin - upto[:-1], size)
+        at += np.arange(upto[-1])
+        return flat[at], np.diff(np.concatenate([[0], upto[np.cumsum(counts)]]))
 
 
 @functools.lru_cache(maxsize=2)
@@ -123,7 +155,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block: int =
                 ["part", "blk", "n_tokens", "doc_ids", "sizes", "ids"],
             )
 
-        for batch in portions(batches, "text", 1 << 20):
+        for batch in portions(batches, "text", 2 << 20):
             ids, counts = units.encode(batch.column("text").to_pylist())
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id)

@@ -202,6 +202,9 @@ class Frequencies:
     def __post_init__(self):
         self.start = np.cumsum(self.share) - self.share
         self.places = None
+        size = int(self.tokens.max(initial=-1)) + 1
+        self.share_of, self.start_of = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.share_of[self.tokens], self.start_of[self.tokens] = self.share, self.start
 
     def lookup(self) -> np.ndarray:
         if self.places is None:
@@ -211,8 +214,7 @@ class Frequencies:
 
 def encode_block(ids: np.ndarray, frequencies: Frequencies) -> bytes:
     """Lanes' tokens are ids[lane], ids[lane + LANES], ...; the last step may leave lanes out."""
-    symbol = np.searchsorted(frequencies.tokens, ids)
-    share, start = frequencies.share[symbol].astype(np.uint64), frequencies.start[symbol].astype(np.uint64)
+    share, start = frequencies.share_of[ids], frequencies.start_of[ids]
     steps = -(-len(ids) // LANES)
     states = np.full(LANES, LOW)
     words, marks, written = [], [], 0

@@ -117,6 +117,10 @@ def _parts(tree) -> tuple[set[bytes] | None, Query]:
                 exact = once | ({b""} if low == 0 else set())
             if low == 0:
                 inner = None
+            elif once is not None and exact is None and run is not None and len(run) * len(once) <= _STRINGS:
+                # the first copy follows what was before, the last one precedes what comes
+                query, run, whole = _both(query, _holding({a + b for a, b in product(run, once)})), once, False
+                continue
             elif once is not None and exact is None:
                 inner = _holding(once)
         elif op is C.AT:

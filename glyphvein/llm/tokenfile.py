@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphvein.llm.common import portions, shared_folder, stored, table
+from glyphvein.llm.common import portions, shared_folder, stored, table, utf8, word_hashes
 
 #: Tokens of a block (more if its last document is longer), lanes, steps between checkpoints, bits of frequencies.
 BLOCK, LANES, SEGMENT, SCALE = 1 << 18, 1024, 128, 20
@@ -40,14 +40,35 @@ _HEAD = struct.Struct("<4sIQIIII")
 
 # ---------------------------------------------------------------- tokenizing
 
-#: Units of text, such that no match of the tokenizer's splitting pattern goes on from one to the next, so each
-#: encodes alone: no match goes on from a character that is no white space to a space or line break, nor between
-#: letters and marks (the apostrophe aside, which joins letters). Texts with other white space are encoded whole.
-_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
-_UNIT = re.compile(rf"[ \n]*[{_LETTER}]+(?![^{_MARK} \n])|[{_MARK}]+(?![^{_LETTER} \n])|[ \n]*[^ \n]+|[ \n]+")
+#: Texts are cut into units such that no match of the tokenizer's splitting pattern goes on from one to the next, so
+#: that each encodes alone: no match goes on from a character that is no white space to a space or line break, nor
+#: between letters and marks (the apostrophe aside, which joins letters). Texts with other white space stay whole.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_BREAK, _LETTER, _MARK = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[[32, 10]] = _BREAK
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[b for b in range(33, 127) if _KIND[b] == 0 and not 48 <= b <= 57 and b != 39]] = _MARK
+#: Second bytes, after 0xC3, of the letters of Latin-1.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+
+
+def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the units of the texts begin."""
+    kind = _KIND[data]
+    pair = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]])
+    kind[pair] = kind[pair + 1] = _LETTER
+    cut = np.zeros(len(data), bool)
+    before, here = kind[:-1], kind[1:]
+    cut[1:] = (here == _BREAK) & (before != _BREAK) | (before == _LETTER) & (here == _MARK) | (before == _MARK) & (here == _LETTER)
+    cut[at[:-1][at[:-1] < at[1:]]] = True
+    return np.flatnonzero(cut)
+
+
 #: Units remembered by a worker at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 
 
 class Units:
@@ -67,8 +88,9 @@ class Units:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str | None, int] = {None: 0}
-        self.flat, self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 14, np.int64), 1
+        #: Hashes of known units, ascending, with the place of each unit's ids.
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.flat, self.at, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
 
     def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Remembers the ids of new units."""
@@ -81,50 +103,63 @@ class Units:
         self.at[self.n + 1 : n + 1] = end + np.cumsum(sizes)
         self.n = n
 
-    def _learn(self, fresh: set[str]) -> None:
-        """Units that begin with white space and end without are encoded in strings of many: all cuts between them are safe."""
-        inner = [u for u in fresh if u[0] in " \n" and u[-1] not in " \n"]
-        for begin in range(0, len(inner), 4096):
-            part = inner[begin : begin + 4096]
-            ids = np.asarray(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(u.encode()) for u in part])) + 1
-            self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
+    def _learn(self, fresh: list[bytes]) -> np.ndarray:
+        """Encodes new units; where their ids are. Those that begin with white space and end without go in strings of many: all cuts between them are safe."""
+        places = np.zeros(len(fresh), np.int32)
+        inner = np.array([u[0] in b" \n" and u[-1] not in b" \n" for u in fresh], bool)
+        many, single = np.flatnonzero(inner), np.flatnonzero(~inner)
+        for begin in range(0, len(many), 4096):
+            part = many[begin : begin + 4096]
+            own = [fresh[i] for i in part]
+            ids = np.asarray(self.library.encode_batch_fast([b"".join(own).decode()], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(u) for u in own])) + 1
+            places[part] = np.arange(self.n, self.n + len(part))
             self._append(ids, np.diff(np.concatenate([[0], cuts])))
-        other = [u for u in fresh if not (u[0] in " \n" and u[-1] not in " \n")]
-        if other:
-            self.known.update(zip(other, range(self.n, self.n + len(other)), strict=True))
-            self._append(*self._each(other))
+        if len(single):
+            places[single] = np.arange(self.n, self.n + len(single))
+            self._append(*self._each([fresh[i].decode() for i in single]))
+        return places
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         new = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate([np.asarray(x, np.int64) for x in new]), np.array([len(x) for x in new], np.int64)
+        return np.concatenate([np.asarray(x, np.int32) for x in new]), np.array([len(x) for x in new], np.int64)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
-        if len(self.known) > REMEMBERED:
+        if self.n > REMEMBERED:
             self.forget()
-        units, counts, whole = [], [], []
-        for t in texts:
-            if t and _OTHER_SPACE.search(t):
-                whole.append((len(units), t))
-                units.append(None)
-                counts.append(1)
-            else:
-                own = _UNIT.findall(t or "")
-                units += own
-                counts.append(len(own))
-        self._learn({*units}.difference(self.known))
-        which = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        data, bounds = utf8(texts)
+        n = len(bounds) - 1
+        whole = [k for k, t in enumerate(texts.to_pylist()) if t and _OTHER_SPACE.search(t)]
+        starts = unit_starts(data, bounds)
+        if whole:
+            row = np.searchsorted(bounds, starts, "right") - 1
+            starts = starts[~np.isin(row, whole) | np.isin(starts, bounds[whole])]
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        own, place, which = np.unique(word_hashes(data, starts, ends, 5), return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.keys, own)
+        known = spot < len(self.keys)
+        known[known] = self.keys[spot[known]] == own[known]
+        places = np.zeros(len(own), np.int32)
+        places[known] = self.places[spot[known]]
+        fresh = np.flatnonzero(~known)
+        is_whole = np.isin(starts, bounds[whole]) if whole else np.zeros(len(starts), bool)
+        fresh = fresh[~is_whole[place[fresh]]]
+        if len(fresh):
+            raw = data.tobytes()
+            places[fresh] = self._learn([raw[i:j] for i, j in zip(starts[place[fresh]].tolist(), ends[place[fresh]].tolist(), strict=True)])
+            self.places = np.insert(self.places, spot[fresh], places[fresh])
+            self.keys = np.insert(self.keys, spot[fresh], own[fresh])
+        which = places[which]
         flat, begin, size = self.flat, self.at[which], self.at[which + 1] - self.at[which]
         if whole:
-            ids, sizes = self._each([t for _, t in whole])
-            places = [k for k, _ in whole]
-            begin[places], size[places] = len(flat) + np.cumsum(sizes) - sizes, sizes
+            ids, sizes = self._each([texts[k].as_py() for k in whole])
+            begin[is_whole], size[is_whole] = len(flat) + np.cumsum(sizes) - sizes, sizes
             flat = np.concatenate([flat, ids])
         upto = np.concatenate([[0], np.cumsum(size)])
         at = np.repeat(begin - upto[:-1], size)
         at += np.arange(upto[-1])
-        return flat[at], np.diff(np.concatenate([[0], upto[np.cumsum(counts)]]))
+        return flat[at].astype(np.int64), np.diff(upto[np.searchsorted(starts, bounds)]) if n else np.zeros(0, np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -156,7 +191,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block: int =
             )
 
         for batch in portions(batches, "text", 2 << 20):
-            ids, counts = units.encode(batch.column("text").to_pylist())
+            ids, counts = units.encode(batch.column("text"))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id)
             sizes = counts + 1

@@ -374,13 +374,16 @@ def test_token_file(spark, docs, tmp_path):
 
 
 def test_units_encode_as_whole_texts():
+    import pyarrow as pa
+
     rng = np.random.default_rng(6)
     alphabet = [" ", "\n", "a", "the", "é", "ñ", "'s", "'", "1", "²", "#", "|", "_", "日", "😀", "́", ".", " ", "<|endoftext|>"]
     units = tokenfile.Units(JSON)
     texts = ["".join(alphabet[i] for i in rng.integers(0, len(alphabet), 25)) for _ in range(1500)]
-    ids, counts = units.encode(texts)
+    ids, counts = units.encode(pa.array(texts))
+    again, _ = units.encode(pa.array(texts[::-1]))
     own = [e.ids for e in units.library.encode_batch(texts, add_special_tokens=False)]
-    assert counts.tolist() == [len(x) for x in own] and ids.tolist() == sum(own, [])
+    assert counts.tolist() == [len(x) for x in own] and ids.tolist() == sum(own, []) and again.tolist() == sum(own[::-1], [])
 
 
 def test_blocks_and_damage():

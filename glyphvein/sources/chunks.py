@@ -42,17 +42,22 @@ class ByteRange(InputPartition):
         self.path, self.offset, self.size, self.total = path, offset, size, total
 
 
+def input_files(path: str) -> list[tuple[str, int]]:
+    """The file at path, or those of the folder, with their sizes; none may be empty or no regular file."""
+    names = sorted(os.path.join(path, n) for n in os.listdir(path)) if os.path.isdir(path) else [path]
+    for name in names:
+        if not os.path.isfile(name):
+            raise ValueError(f"not a regular file: {name}")
+        if not os.path.getsize(name):
+            raise ValueError(f"empty file: {name}")
+    return [(name, os.path.getsize(name)) for name in names]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, chunk_size: int, jobs: int):
         self.path = path
-        names = sorted(os.path.join(path, n) for n in os.listdir(path)) if os.path.isdir(path) else [path]
         self.ranges = []
-        for name in names:
-            if not os.path.isfile(name):
-                raise ValueError(f"not a regular file: {name}")
-            total = os.path.getsize(name)
-            if not total:
-                raise ValueError(f"empty file: {name}")
+        for name, total in input_files(path):
             size = chunk_size or auto_chunk_size(total, jobs)
             size = max(2, min(size, total + total % 2))
             size -= size % 2
@@ -90,6 +95,7 @@ class ByteRanges(DataSource):
 
 
 def byte_ranges(spark: SparkSession, path: str, chunk_size: str | None = None, jobs: int | None = None) -> DataFrame:
+    input_files(path)
     spark.dataSource.register(ByteRanges)
     reader = spark.read.format("byte_ranges").option("jobs", str(jobs or spark.sparkContext.defaultParallelism))
     return (reader.option("chunk_size", chunk_size) if chunk_size else reader).load(path)

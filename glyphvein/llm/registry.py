@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphvein.llm import bpe, jaccard, mixing, neighbours, quality, scoring, secrets, substring, tokenfile, toxicity
+from glyphvein.llm import bpe, jaccard, mixing, neighbours, quality, scoring, secrets, sql, substring, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_embeddings": sql.EMBEDDINGS, "op4_substring": sql.SUBSTRING, "op8_jaccard": sql.JACCARD}

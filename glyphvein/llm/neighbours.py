@@ -5,7 +5,8 @@ of a few random-hyperplane trees; then rounds of neighbours-of-neighbours joins
 all that are neighbours of one vector, or have it as theirs, are compared with each other. Edges at
 the threshold are kept. A list whose last entry is still a link is saturated, and enlarged to the
 whole group that links tie together: groups are compared in tiles, so links are counted exactly and
-not listed. A bounded sample of classes is compared with all classes, in blocks, to audit recall;
+not listed. Links between two groups that no list has room for are sought among the saturated classes,
+in the leaves of further trees, until these find none. A bounded sample of classes is compared with all classes, in blocks, to audit recall;
 while it falls short, more trees and rounds follow.
 
 Cosines are in double precision. Vectors that are null, zero or hold null or non-finite components,
@@ -49,8 +50,8 @@ def matrix(column: pa.Array) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)
 
 
-def _leaves(classes: DataFrame, seed: int, trees: int, leaf: int) -> DataFrame:
-    """classes, once a tree, with the tree's leaf; leaves above `leaf` vectors are dealt out by hash."""
+def _leaves(classes: DataFrame, seed: int, trees: int, leaf: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """classes (and columns `also` of longs), once a tree, with the tree's leaf; leaves above `leaf` vectors are dealt out by hash."""
     largest = classes.groupBy("space").count().agg(F.max("count")).first()[0] or 0
     depth = int(np.ceil(np.log2(max(largest / leaf, 1))))
 
@@ -65,9 +66,10 @@ def _leaves(classes: DataFrame, seed: int, trees: int, leaf: int) -> DataFrame:
                 for d in np.unique(size):
                     planes = np.random.default_rng([seed, tree, int(d)]).standard_normal((int(d), depth))
                     code[size == d] = ((x[size == d][:, :d] @ planes) > 0) @ (1 << np.arange(depth, dtype=np.int64)) if depth else 0
-                yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("space"), batch.column("embedding"), pa.array(np.full(len(x), tree, np.int32)), pa.array(code)], ["cid", "space", "embedding", "tree", "code"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), tree, np.int32)), pa.array(code)], [*batch.schema.names, "tree", "code"])
 
-    placed = classes.select("cid", "space", "embedding").mapInArrow(run, "cid long, space long, embedding array<double>, tree int, code long")
+    kept = "".join(f", {c} long" for c in also)
+    placed = classes.select("cid", "space", "embedding", *also).mapInArrow(run, f"cid long, space long, embedding array<double>{kept}, tree int, code long")
     sizes = placed.groupBy("tree", "space", "code").count()
     parts = F.ceil(F.col("count") / leaf)
     return placed.join(sizes, ["tree", "space", "code"]).withColumn("leaf", F.xxhash64("tree", "space", "code", F.pmod(F.xxhash64("cid", "tree", F.lit(seed)), parts)))
@@ -183,10 +185,45 @@ def _verified(threshold: float):
     return run
 
 
-def linked_classes(classes: DataFrame, lists: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _bridges(rows: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """Pairs a, b of components that a link ties, found in the leaves of new trees over rows (cid, space, embedding, component)."""
+
+    def run(leaf: pa.Table) -> pa.Table:
+        owner, at = np.unique(np.asarray(leaf.column("component")), return_inverse=True)
+        if len(owner) < 2:
+            return pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
+        x = matrix(leaf.column("embedding"))
+        i, j = np.nonzero((x @ x.T >= threshold) & (at[:, None] < at[None]))
+        root = local_components(len(owner), at[i], at[j])
+        moved = np.flatnonzero(root != np.arange(len(owner)))
+        return pa.table([pa.array(owner[moved]), pa.array(owner[root[moved]])], ["a", "b"])
+
+    leaves = _leaves(rows, seed, TREES, LEAF, also=("component",)).select("leaf", "component", "embedding")
+    return leaves.groupBy("leaf").applyInArrow(run, "a long, b long").distinct()
+
+
+def bridged(classes: DataFrame, lists: DataFrame, ties: DataFrame, threshold: float, seed: int, k: int = K) -> DataFrame:
+    """ties (id, component), with components joined that have links beyond their lists.
+
+    A link that neither end lists has a saturated list at either end, so only such classes are searched,
+    and only for links to other components, until new trees find none.
+    """
+    saturated = lists.where((F.size("near") >= k) & (F.element_at("near", -1)["cosine"] >= threshold - 1e-9)).select("cid")
+    full = stored(classes.select("cid", "space", "embedding").join(saturated, "cid"), "saturated")
+    turn = 0
+    while True:
+        found = stored(_bridges(full.join(ties.withColumnRenamed("id", "cid"), "cid"), threshold, 1000 * (seed + 1) + turn), "bridges")
+        if found.isEmpty():
+            return ties
+        joined = components(found).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        ties = stored(ties.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component")), "ties")
+        turn += 1
+
+
+def linked_classes(classes: DataFrame, lists: DataFrame, threshold: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """links of each class that has some, and the components of classes; all links within a tied group are found."""
     edges = lists.select("cid", F.explode("near").alias("e")).where(F.col("e.cosine") >= threshold - 1e-9).select(F.col("cid").alias("a"), F.col("e.other").alias("b"))
-    ties = stored(components(edges), "ties")
+    ties = bridged(classes, lists, stored(components(edges), "ties"), threshold, seed)
     members = classes.join(ties.withColumnRenamed("id", "cid"), "cid")
     chunks = F.ceil(F.col("size") / TILE).cast("int")
     members = members.join(ties.groupBy("component").agg(F.count("*").alias("size")), "component").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
@@ -234,7 +271,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lists = None
     for turn in range(REPEATS):
         lists = descended(classes, lists, seed=turn)
-        links, groups = linked_classes(classes, lists, threshold)
+        links, groups = linked_classes(classes, lists, threshold, turn)
         links, groups = stored(links, "class-links"), stored(groups, "class-groups")
         if audited(classes, links, threshold) >= RECALL:
             break

@@ -124,6 +124,20 @@ def test_neighbours(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_touching_dense_groups(spark):
+    rng = np.random.default_rng(5)
+    one, other = np.eye(32)[:2]
+    rows = []
+    for g, centre in enumerate((one, 0.987 * one + np.sqrt(1 - 0.987**2) * other)):
+        rows += [(100 * g + i, (centre + 0.003 * rng.standard_normal(32)).tolist(), 1) for i in range(40)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.98).sum(1) - 1
+    assert (true > 40).all() and not (np.argsort(-(x @ x.T), 1)[:, :9] // 40 != np.arange(80)[:, None] // 40).any()
+    got = {r.vec_id: r for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[r[0]].n_links for r in rows] == true.tolist() and {g.component_id for g in got.values()} == {0}
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 100), (7, 7)], "a long, b long")
     assert {(r.id, r.component) for r in components.components(chain).collect()} == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}

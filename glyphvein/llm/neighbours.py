@@ -51,9 +51,14 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def _leaves(classes: DataFrame, seed: int, trees: int, leaf: int, also: tuple[str, ...] = ()) -> DataFrame:
-    """classes (and columns `also` of longs), once a tree, with the tree's leaf; leaves above `leaf` vectors are dealt out by hash."""
+    """classes (and columns `also` of longs), once a tree, with the tree's leaf.
+
+    A leaf is a stretch of a space's codes in order, of about `leaf` vectors by the space's own count: a small space is
+    one leaf, and no class is alone in one unless it is alone in its space. Larger leaves are dealt out by hash.
+    """
     largest = classes.groupBy("space").count().agg(F.max("count")).first()[0] or 0
-    depth = int(np.ceil(np.log2(max(largest / leaf, 1))))
+    # finer than leaves, so that stretches can be cut between codes
+    depth = int(np.ceil(np.log2(max(largest / leaf, 1)))) + 2 if largest > leaf else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +75,19 @@ def _leaves(classes: DataFrame, seed: int, trees: int, leaf: int, also: tuple[st
 
     kept = "".join(f", {c} long" for c in also)
     placed = classes.select("cid", "space", "embedding", *also).mapInArrow(run, f"cid long, space long, embedding array<double>{kept}, tree int, code long")
+    space = Window.partitionBy("tree", "space")
+    ordered = space.orderBy("code")
     sizes = placed.groupBy("tree", "space", "code").count()
-    parts = F.ceil(F.col("count") / leaf)
-    return placed.join(sizes, ["tree", "space", "code"]).withColumn("leaf", F.xxhash64("tree", "space", "code", F.pmod(F.xxhash64("cid", "tree", F.lit(seed)), parts)))
+    sizes = sizes.withColumn("step", F.floor((F.sum("count").over(ordered) - F.col("count")) / leaf))
+    step = Window.partitionBy("tree", "space", "step")
+    sizes = sizes.withColumn("held", F.sum("count").over(step)).withColumn("first", F.lag("step", 1, -1).over(ordered) != F.col("step"))
+    # a stretch of few vectors goes to the one before it, the first one to the one after it
+    opens = F.when(F.col("first") & (F.col("held") >= leaf // 4), 1).otherwise(0)
+    sizes = sizes.withColumn("stretch", F.greatest(F.lit(1), F.sum(opens).over(ordered)))
+    sizes = sizes.withColumn("total", F.sum("count").over(Window.partitionBy("tree", "space", "stretch")))
+    parts = F.when(F.col("total") <= 2 * leaf, 1).otherwise(F.ceil(F.col("total") / leaf))
+    leaves = placed.join(sizes.select("tree", "space", "code", "stretch", parts.alias("parts")), ["tree", "space", "code"])
+    return leaves.withColumn("leaf", F.xxhash64("tree", "space", "stretch", F.pmod(F.xxhash64("cid", "tree", F.lit(seed)), F.col("parts"))))
 
 
 def _best_of(x: np.ndarray, cid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -138,6 +138,19 @@ def test_touching_dense_groups(spark):
     assert [got[r[0]].n_links for r in rows] == true.tolist() and {g.component_id for g in got.values()} == {0}
 
 
+def test_leaves_by_the_space(spark):
+    rng = np.random.default_rng(8)
+    sizes = {1: 4000, 2: 5, 3: 1, 4: 30}
+    rows = [(i, space, x.tolist()) for i, (space, x) in enumerate((s, rng.standard_normal(16)) for s, n in sizes.items() for _ in range(n))]
+    classes = spark.createDataFrame(rows, "cid long, space long, embedding array<double>")
+    leaves = defaultdict(set)
+    for r in neighbours._leaves(classes, 0, 2, 32).select("tree", "space", "leaf", "cid").collect():
+        leaves[r.tree, r.space, r.leaf].add(r.cid)
+    assert all(sum(len(v) for k, v in leaves.items() if k[:2] == (tree, space)) == n for tree in range(2) for space, n in sizes.items())
+    assert all(len(v) > 1 or k[1] == 3 for k, v in leaves.items()) and max(map(len, leaves.values())) <= 100
+    assert all(sum(k[1] == space for k in leaves) == 2 for space in (2, 3, 4))
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 100), (7, 7)], "a long, b long")
     assert {(r.id, r.component) for r in components.components(chain).collect()} == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}

@@ -6,8 +6,9 @@ all that are neighbours of one vector, or have it as theirs, are compared with e
 the threshold are kept. A list whose last entry is still a link is saturated, and enlarged to the
 whole group that links tie together: groups are compared in tiles, so links are counted exactly and
 not listed. Links between two groups that no list has room for are sought among the saturated classes,
-in the leaves of further trees, until these find none. A bounded sample of classes is compared with all classes, in blocks, to audit recall;
-while it falls short, more trees and rounds follow.
+in the leaves of further trees, until these find none. A bounded sample of classes
+of each label is compared with all its classes, in blocks, to audit how many have all their links; while
+a label falls short, more trees and rounds follow, and after a few turns all its classes are compared.
 
 Cosines are in double precision. Vectors that are null, zero or hold null or non-finite components,
 and vectors without label, link with nothing. Vectors of different lengths are not compared.
@@ -16,12 +17,13 @@ Repeated vectors link with each other; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphvein.llm.common import released, stored, table
@@ -30,8 +32,8 @@ from glyphvein.llm.components import components, local_components
 THRESHOLD = 0.98
 #: Neighbours of a list, trees to begin with, vectors of a leaf, rounds at most, share of lists that may still change.
 K, TREES, LEAF, ROUNDS, STILL = 8, 5, 256, 6, 0.002
-#: Classes audited, the recall to reach, and how often more trees may follow.
-AUDITED, RECALL, REPEATS = 256, 0.999, 3
+#: Classes audited in all, the share of them with all their links to reach, and after how many turns of trees labels that fall short are compared whole.
+AUDITED, RECALL, REPEATS = 4096, 0.999, 3
 TILE = 512
 
 
@@ -235,10 +237,16 @@ def bridged(classes: DataFrame, lists: DataFrame, ties: DataFrame, threshold: fl
         turn += 1
 
 
-def linked_classes(classes: DataFrame, lists: DataFrame, threshold: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """links of each class that has some, and the components of classes; all links within a tied group are found."""
+def linked_classes(classes: DataFrame, lists: DataFrame, threshold: float, seed: int = 0, whole: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """links of each class that has some, and the components of classes; all links within a tied group are found.
+
+    Each space of `whole` (space) is one group, whose classes are all compared.
+    """
     edges = lists.select("cid", F.explode("near").alias("e")).where(F.col("e.cosine") >= threshold - 1e-9).select(F.col("cid").alias("a"), F.col("e.other").alias("b"))
     ties = bridged(classes, lists, stored(components(edges), "ties"), threshold, seed)
+    if whole is not None:
+        short = classes.join(F.broadcast(whole), "space").select("cid", F.xxhash64("space").alias("component"))
+        ties = stored(ties.join(short, ties["id"] == short["cid"], "left_anti").unionByName(short.select(F.col("cid").alias("id"), "component")), "ties")
     members = classes.join(ties.withColumnRenamed("id", "cid"), "cid")
     chunks = F.ceil(F.col("size") / TILE).cast("int")
     members = members.join(ties.groupBy("component").agg(F.count("*").alias("size")), "component").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
@@ -255,25 +263,53 @@ def linked_classes(classes: DataFrame, lists: DataFrame, threshold: float, seed:
     return links, groups
 
 
-def audited(classes: DataFrame, links: DataFrame, threshold: float, most: int = AUDITED) -> float:
-    """Share of true links that were found, over a sample of classes in hash order compared with all classes."""
-    sample = classes.orderBy(F.xxhash64("cid")).limit(most).join(links, "cid", "left").select("cid", "space", "embedding", F.coalesce("links", F.lit(0)).alias("links")).toArrow()
-    if not sample.num_rows:
-        return 1.0
-    ids, spaces, x = np.asarray(sample.column("cid")), np.asarray(sample.column("space")), matrix(sample.column("embedding"))
+def audited(classes: DataFrame, links: DataFrame, threshold: float, most: int = AUDITED) -> list[Row]:
+    """space, rows, missed: of a sample of classes, how many there are of a space and how many of them lack links.
+
+    A sample of about `most` classes is compared with all classes of their spaces. It is dealt evenly among
+    strata (spaces by classes without links, with few and with many), each of which is taken whole if it is small;
+    where there are more strata than that, a stratum is that of spaces whose hashes agree.
+    """
+    size = F.when(F.col("links") == 0, 0).when(F.col("links") <= K, 1).otherwise(2)
+    spaces = F.pmod(F.xxhash64("space"), F.lit(most // 12))
+    known = classes.join(links, "cid", "left").withColumn("links", F.coalesce("links", F.lit(0))).withColumn("part", spaces).withColumn("size", size)
+    strata = known.groupBy("part", "size").count()
+    fair, left, todo = 0.0, most, sorted(r["count"] for r in strata.collect())
+    for i, n in enumerate(todo):  # what small strata leave over goes to the large ones
+        fair = left / (len(todo) - i)
+        left -= min(n, fair)
+    rate = F.least(F.lit(1.0), F.lit(fair) / F.col("count"))
+    sample = known.join(F.broadcast(strata), ["part", "size"]).where(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(1 << 40)) < rate * float(1 << 40))
+    sample = sample.select("cid", "space", "embedding", "links").toArrow()
+    ids, own, x = np.asarray(sample.column("cid")), np.asarray(sample.column("space")), matrix(sample.column("embedding"))
+    listed = np.asarray(sample.column("links"))
+    groups = {int(v): np.flatnonzero(own == v) for v in np.unique(own)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        true = np.zeros(len(ids), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y, n = matrix(batch.column("embedding")), np.asarray(batch.column("n"))
-            width = max(x.shape[1], y.shape[1])
-            wide = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
-            found = (wide(x) @ wide(y).T >= threshold) & (spaces[:, None] == np.asarray(batch.column("space"))[None]) & (ids[:, None] != np.asarray(batch.column("cid"))[None])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found @ n)], ["cid", "true"])
-
-    true = classes.select("cid", "space", "n", "embedding").mapInArrow(run, "cid long, true long").agg(F.sum("true")).first()[0] or 0
-    return float(np.asarray(sample.column("links")).sum() / true) if true else 1.0
+            y, n, cid, space = matrix(batch.column("embedding")), np.asarray(batch.column("n")), np.asarray(batch.column("cid")), np.asarray(batch.column("space"))
+            for v in np.unique(space):
+                asked, rows = groups.get(int(v)), np.flatnonzero(space == v)
+                if asked is None:
+                    continue
+                for at in range(0, len(rows), TILE):
+                    to = rows[at : at + TILE]
+                    width = min(x.shape[1], y.shape[1])  # of one space, vectors have equal lengths: the rest is zeros
+                    # products of other shapes may round otherwise: what is on the edge is no lack
+                    found = (x[asked, :width] @ y[to, :width].T >= threshold + 1e-9) & (ids[asked][:, None] != cid[to][None])
+                    true[asked] += found @ n[to]
+        some = np.flatnonzero(true)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(true[some])], ["at", "true"])
+
+    true = np.zeros(len(ids), np.int64)
+    if len(ids):
+        found = classes.select("cid", "space", "n", "embedding").mapInArrow(run, "at long, true long").groupBy("at").agg(F.sum("true").alias("true")).toArrow()
+        true[np.asarray(found.column("at"))] = np.asarray(found.column("true"))
+    missed = listed < true
+    return [Row(space=v, rows=len(at), missed=int(missed[at].sum())) for v, at in groups.items()]
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -284,12 +320,19 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = rows.withColumn("cid", F.when(F.col("sound"), F.xxhash64("label", "embedding")))
     classes = stored(rows.where("sound").groupBy("cid", "label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).select("cid", F.xxhash64("label", F.size("embedding")).alias("space"), "embedding", "n", "least"), "classes")
     lists = None
-    for turn in range(REPEATS):
-        lists = descended(classes, lists, seed=turn)
-        links, groups = linked_classes(classes, lists, threshold, turn)
+    exact, whole = set(), None
+    for turn in itertools.count():
+        if turn < REPEATS:
+            lists = descended(classes, lists, seed=turn)
+        links, groups = linked_classes(classes, lists, threshold, turn, whole)
         links, groups = stored(links, "class-links"), stored(groups, "class-groups")
-        if audited(classes, links, threshold) >= RECALL:
+        found = audited(classes, links, threshold)
+        short = {r.space for r in found if r.missed > (1 - RECALL) * r.rows} - exact
+        if not short:
             break
+        if turn + 1 >= REPEATS:  # trees do not find their links
+            exact |= short
+            whole = df.sparkSession.createDataFrame([(v,) for v in exact], "space long")
     known = classes.select("cid", "n", "least").join(links, "cid", "left").join(groups, "cid", "left").withColumn("group", F.coalesce("component", "cid"))
     firsts = known.groupBy("group").agg(F.min("least").alias("first"))
     known = known.join(firsts, "group").select("cid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("found"), "first")

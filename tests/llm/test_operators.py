@@ -151,6 +151,19 @@ def test_leaves_by_the_space(spark):
     assert all(sum(k[1] == space for k in leaves) == 2 for space in (2, 3, 4))
 
 
+def test_labels_short_of_links_are_compared_whole(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 16))
+    x[1::2] = x[::2] + 0.01 * rng.standard_normal((30, 16))
+    # a group of repeated vectors, whose links outweigh all lost pairs
+    rows = [(i, v.tolist(), i // 30) for i, v in enumerate(x)] + [(100 + i, (np.eye(16)[0] + 0.001 * np.eye(16)[i % 5 + 1]).tolist(), 0) for i in range(200)]
+    few = lambda classes, *_, **__: classes.sparkSession.createDataFrame([], "cid long, near array<struct<cosine:double,other:long>>")
+    monkeypatch.setattr(neighbours, "descended", few)
+    monkeypatch.setattr(neighbours, "REPEATS", 1)
+    got = {r.vec_id: r for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i].n_links == 1 and got[i].component_id == i // 2 * 2 for i in range(60)) and all(got[100 + i].n_links == 199 for i in range(200))
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 100), (7, 7)], "a long, b long")
     assert {(r.id, r.component) for r in components.components(chain).collect()} == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}

@@ -42,7 +42,7 @@ _HEAD = struct.Struct("<4sIQIIII")
 
 #: Texts are cut into units such that no match of the tokenizer's splitting pattern goes on from one to the next, so
 #: that each encodes alone: no match goes on from a character that is no white space to a space or line break, nor
-#: between letters and marks (the apostrophe aside, which joins letters). Texts with other white space stay whole.
+#: between letters and marks (the apostrophe aside, which joins letters). Texts with other white space, or with an added token's string, stay whole.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _BREAK, _LETTER, _MARK = 1, 2, 3
 _KIND = np.zeros(256, np.uint8)
@@ -79,7 +79,10 @@ class Units:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library takes as one token wherever they stand: texts that hold one stay whole.
+        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.stays_whole = re.compile("|".join([_OTHER_SPACE.pattern, *map(re.escape, added)]))
+        self.joins = not any(re.search(r"\s", t) for t in added)
         vocabulary = self.library.get_vocab()
         #: How many bytes a token stands for: a character of its name each.
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -106,7 +109,7 @@ class Units:
     def _learn(self, fresh: list[bytes]) -> np.ndarray:
         """Encodes new units; where their ids are. Those that begin with white space and end without go in strings of many: all cuts between them are safe."""
         places = np.zeros(len(fresh), np.int32)
-        inner = np.array([u[0] in b" \n" and u[-1] not in b" \n" for u in fresh], bool)
+        inner = np.array([self.joins and u[0] in b" \n" and u[-1] not in b" \n" for u in fresh], bool)
         many, single = np.flatnonzero(inner), np.flatnonzero(~inner)
         for begin in range(0, len(many), 4096):
             part = many[begin : begin + 4096]
@@ -130,7 +133,7 @@ class Units:
             self.forget()
         data, bounds = utf8(texts)
         n = len(bounds) - 1
-        whole = [k for k, t in enumerate(texts.to_pylist()) if t and _OTHER_SPACE.search(t)]
+        whole = [k for k, t in enumerate(texts.to_pylist()) if t and self.stays_whole.search(t)]
         starts = unit_starts(data, bounds)
         if whole:
             row = np.searchsorted(bounds, starts, "right") - 1

@@ -430,6 +430,17 @@ def test_units_encode_as_whole_texts():
     assert counts.tolist() == [len(x) for x in own] and ids.tolist() == sum(own, []) and again.tolist() == sum(own[::-1], [])
 
 
+def test_added_tokens_as_in_the_plain_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "end<|endoftext|><|endoftext|>\n x", "a <|endoftext |> b", "no such string"]
+    own = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = tokenfile.Units(JSON).encode(pa.array(texts))
+    assert counts.tolist() == [len(x) for x in own] and ids.tolist() == sum(own, [])
+
+
 def test_blocks_and_damage():
     rng = np.random.default_rng(7)
     for n in (0, 1, tokenfile.LANES, tokenfile.LANES + 1, tokenfile.LANES * tokenfile.SEGMENT + 5):

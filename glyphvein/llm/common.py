@@ -18,16 +18,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
+    Only where the session has none and runs on one machine (tests) a temporary folder is set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}" in taken:
+        name += "_"
+    return f"__{name}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -46,6 +56,13 @@ def released(*frames: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def settled(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """df stored, and the tables of stored() that it was made from deleted."""
+    out = stored(df, name)
+    released(*used)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

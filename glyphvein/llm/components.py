@@ -25,6 +25,14 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def forest(p: np.ndarray, q: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """A spanning forest of the edges p[s] - q[t], so that tiles hand on no lists of links."""
+    nodes, at = np.unique(np.concatenate([p[s], q[t]]), return_inverse=True)
+    root = local_components(len(nodes), at[: len(s)], at[len(s) :])
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.stack([nodes[moved], nodes[root[moved]]], 1)
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """id and component (its least id) of each node of edges (a long, b long).
 
@@ -47,5 +55,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components are not found after {most_rounds} rounds")
     ties = stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ties.unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -2,15 +2,18 @@
 
 Documents with equal sets are one class. A class has TREES labels of DEPTH MinHash values; each
 tree of the forest is its labels in sorted order, a prefix trie. A row's candidates in a tree are
-the rows next to it, at the longest common prefix first, then at ever shorter ones until NEXT rows
-are met or the prefix is so short that the target recall at the threshold holds (1 - (1 - t**d)**TREES).
+those with the longest common prefix first, then at ever shorter ones, until the prefix is so short
+that the target recall at the threshold holds (1 - (1 - t**d)**TREES); and one value further where
+that stretch of the tree is small. All rows of such a stretch are compared: neighbours first, then, in
+tiles, those that are not tied by then. A very large stretch is cut into tiles that are tasks of their own.
 Candidates whose signatures agree enough are tied; within each group of tied classes, all are then
 compared by their exact sets, in tiles. So links are exact, and counted without being listed: a
 group of thousands of near copies sends counts, and a spanning forest of its links.
 
 A text of fewer than n words has the sequence of all its words as its only n-gram; a text without
 words (or null) has none and is linked with nothing. Rows without doc_id take part; the least
-doc_id of a group stands for it, and rows without one stand last. Repeated rows are copies.
+doc_id of a group stands for it, and rows without one stand last. Repeated rows are copies. An empty
+table gives an empty result. Names of other columns do not matter: those needed on the way are made unused.
 """
 
 from __future__ import annotations
@@ -22,16 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphvein.llm.common import mixed, portions, row_key, stored, table, utf8, word_hashes, words_of
-from glyphvein.llm.components import components, local_components
+from glyphvein.llm.common import mixed, portions, row_key, settled, stored, table, unused, utf8, word_hashes, words_of
+from glyphvein.llm.components import components, forest, local_components
 
 N_WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH = 16, 8
-#: Rows compared with each row of a sorted tree; share of the signature by which the threshold's estimate may fall short.
+#: Rows of a sorted tree that each row is compared with first; share of the signature by which the threshold's estimate may fall short.
 NEXT, SLACK = 16, 0.18
 RECALL = 0.9995
-#: Classes of a tile, and entries of a dense tile's piece.
-TILE, PIECE = 512, 1 << 22
+#: Rows of a stretch that is compared at a prefix one value shorter than recall asks for, and of one that is a task's at most.
+SMALL, HUGE = 512, 4096
+#: Classes of a tile of signatures, of a tile of sets, and entries of a dense tile's piece.
+NEAR_TILE, TILE, PIECE = 128, 512, 1 << 22
+#: Bytes of sets that a task compares with each other: of a large group's part at least and at most, and of small groups together.
+PART_LEAST, PART_MOST, TOGETHER = 1 << 20, 16 << 20, 16 << 20
 _FACTORS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -93,42 +100,120 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long, fp long, n_grams long, signature binary")
 
 
+def _agreeing(full: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which of the rows i of signatures agree with which of the rows j."""
+    return (full[i][:, None] == full[j][None]).sum(2) >= least
+
+
+def stretch_ties(full: np.ndarray, least: float, across: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Ties a - b of a spanning forest of rows of signatures (in the tree's order), all compared that are not tied by others.
+
+    across: only rows before that place are compared with those from it on, if it is above 0.
+    """
+    n = len(full)
+    root = np.arange(n)
+    ties = [np.zeros((0, 2), np.int64)]
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal root
+        if len(a):
+            ties.append(np.stack([a, b], 1))
+            every = np.concatenate(ties)
+            root = local_components(n, every[:, 0], every[:, 1])
+            moved = np.flatnonzero(root != np.arange(n))
+            ties[:] = [np.stack([moved, root[moved]], 1)]
+
+    for step in range(1, min(NEXT, n - 1) + 1) if not across else ():
+        near = np.arange(n - step)[root[step:] != root[:-step]] if step > 1 else np.arange(n - 1)
+        near = near[(full[near] == full[near + step]).sum(1) >= least]
+        join(near, near + step)
+    tiles = [(x, y) for x in range(0, n, NEAR_TILE) for y in range(x, n, NEAR_TILE)] if not across else [(x, y) for x in range(0, across, NEAR_TILE) for y in range(across, n, NEAR_TILE)]
+    if n > NEXT + 1 or across:
+        for x, y in tiles:
+            i, j = np.arange(x, min(x + NEAR_TILE, across or n)), np.arange(y, min(y + NEAR_TILE, n))
+            apart = root[i][:, None] != root[j][None]
+            i, j = i[apart.any(1)], j[apart.any(0)]
+            if len(i) and len(j):
+                p, q = np.nonzero(_agreeing(full, i, j, least))
+                join(i[p], j[q])
+    return ties[0][:, 0], ties[0][:, 1]
+
+
 def tied(classes: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) that tie classes (fp, signature) which are candidates of each other in some tree: a spanning forest for each stretch of a tree."""
     label = 2 * DEPTH
-    rows = classes.select("fp", "signature", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(signature, t * {label} + 1, {label}))")).alias("tree", "label"))
-    # The whole label and the class take part in the order, so that no bucket has to be in one task.
-    forest = rows.select("tree", "label", "fp", F.expr("signature")).repartitionByRange("tree", "label", "fp").sortWithinPartitions("tree", "label", "fp")
     shortest = least_depth(threshold)
-    agreeing = (threshold - SLACK) * TREES * DEPTH
+    wider = max(1, shortest - 1)
+    least = (threshold - SLACK) * TREES * DEPTH
+    prefix = lambda values: F.expr(f"substring(label, 1, {2 * values})")
+    rows = classes.select("fp", "signature", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(signature, t * {label} + 1, {label}))")).alias("tree", "label"))
+    rows = rows.select("fp", "signature", "tree", "label", prefix(shortest).alias("head"), prefix(wider).alias("stem"))
+    large = stored(rows.groupBy("tree", "head").agg(F.count("*").alias("size")).where(F.col("size") > HUGE), "jaccard-large")
+    n_large = large.count()
+
+    def ties(fp: np.ndarray, full: np.ndarray, across: int = 0) -> pa.RecordBatch:
+        a, b = stretch_ties(full, least, across)
+        return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        labels = utf8(batch.column("label"))[0].reshape(batch.num_rows, label)
+        full = utf8(batch.column("signature"))[0].reshape(batch.num_rows, -1)[:, 1::2]
+        return np.asarray(batch.column("tree")), labels, full, np.asarray(batch.column("fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
+
+        def worked(tree: np.ndarray, labels: np.ndarray, full: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i, j in _stretches(tree, labels, wider):
+                if j - i <= SMALL:
+                    if j - i > 1:
+                        yield ties(fp[i:j], full[i:j])
+                else:
+                    for p, q in _stretches(tree[i:j], labels[i:j], shortest):
+                        if q - p > 1:
+                            yield ties(fp[i + p : i + q], full[i + p : i + q])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree = np.asarray(batch.column("tree"))
-            labels = utf8(batch.column("label"))[0].reshape(batch.num_rows, label)[:, : 2 * shortest]
-            full = utf8(batch.column("signature"))[0].reshape(batch.num_rows, -1)[:, 1::2]
-            fp = np.asarray(batch.column("fp"))
-            if held is not None:
-                tree, labels, full, fp = (np.concatenate(x) for x in zip(held, (tree, labels, full, fp), strict=True))
-            head = np.concatenate([tree[:, None].astype(np.uint8), labels], 1)
-            same = np.zeros(len(fp), np.int64)  # of the stretch with equal prefixes
-            same[1:] = np.cumsum((head[1:] != head[:-1]).any(1))
-            a, b = [], []
-            for step in range(1, min(NEXT, len(fp) - 1) + 1):
-                near = np.flatnonzero(same[step:] == same[:-step])
-                near = near[(full[near] == full[near + step]).sum(1) >= agreeing]
-                a.append(near)
-                b.append(near + step)
-            if a:
-                root = local_components(len(fp), np.concatenate(a), np.concatenate(b))
-                moved = np.flatnonzero(root != np.arange(len(fp)))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[root[moved]]), pa.array(fp[moved])], ["a", "b"])
-            held = tuple(x[-NEXT:] for x in (tree, labels, full, fp))
-
-    return forest.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+            rows = read(batch)
+            held = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+            begin = _stretches(held[0], held[1], wider)[-1][0]  # the last stretch may go on
+            if len(held[0]) - begin > SMALL:  # of a long one, what has the same prefix at the depth of recall
+                begin = _stretches(held[0], held[1], shortest)[-1][0]
+            yield from worked(*(x[:begin] for x in held))
+            held = tuple(x[begin:] for x in held)
+        if held is not None:
+            yield from worked(*held)
+
+    def tile(rows: pa.Table) -> pa.Table:
+        batch = rows.combine_chunks().to_batches()[0]
+        side = np.asarray(batch.column("side"))
+        order = np.lexsort((np.asarray(batch.column("fp")), side))
+        _, _, full, fp = read(batch)
+        found = ties(fp[order], full[order], int((side == 0).sum()) if side.any() else 0)
+        return pa.Table.from_batches([found])
+
+    if n_large:
+        # few: at most one for HUGE rows
+        marked = rows.join(F.broadcast(large) if n_large < 100_000 else large, ["tree", "head"], "left")
+        parts = F.ceil(F.col("size") / HUGE).cast("int")
+        cut = marked.where("size IS NOT NULL").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        cut = cut.withColumn("p", F.explode(F.expr("transform(sequence(0, parts - 1), o -> named_struct('i', least(o, part), 'j', greatest(o, part)))")))
+        cut = cut.withColumn("side", F.when((F.col("p.i") != F.col("p.j")) & (F.col("part") == F.col("p.j")), 1).otherwise(0))
+        more = cut.select("tree", "label", "signature", "fp", "side", F.xxhash64("tree", "head", "p.i", "p.j").alias("tile")).groupBy("tile").applyInArrow(tile, "a long, b long")
+        rows = marked.where("size IS NULL").drop("size")
+    forest = rows.select("tree", "label", "fp", "signature", "stem").repartition("tree", "stem").sortWithinPartitions("tree", "label", "fp")
+    edges = forest.mapInArrow(run, "a long, b long")
+    return (edges.unionByName(more) if n_large else edges).distinct()
+
+
+def _stretches(tree: np.ndarray, labels: np.ndarray, depth: int) -> list[tuple[int, int]]:
+    """Bounds of stretches with equal tree and first `depth` values of the label."""
+    fresh = np.ones(len(tree), bool)
+    fresh[1:] = (tree[1:] != tree[:-1]) | (labels[1:, : 2 * depth] != labels[:-1, : 2 * depth]).any(1)
+    begin = np.flatnonzero(fresh)
+    return list(zip(begin.tolist(), np.append(begin[1:], len(tree)).tolist(), strict=True))
 
 
 def _shared(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
@@ -213,13 +298,16 @@ def _verified(threshold: float):
                         if x != y:
                             links[q] += found.T @ weight[p]
                         s, t = np.nonzero(found)
-                        edges.append(np.stack([p[s], q[t]], 1))
+                        edges.append(forest(p, q, s, t))
             else:
-                found = linked(_part(sets, a), _part(sets, b), threshold)
-                links[a] += found @ weight[b]
-                links[b] += found.T @ weight[a]
-                s, t = np.nonzero(found)
-                edges.append(np.stack([a[s], b[t]], 1))
+                for x in range(0, len(a), TILE):
+                    for y in range(0, len(b), TILE):
+                        p, q = a[x : x + TILE], b[y : y + TILE]
+                        found = linked(_part(sets, p), _part(sets, q), threshold)
+                        links[p] += found @ weight[q]
+                        links[q] += found.T @ weight[p]
+                        s, t = np.nonzero(found)
+                        edges.append(forest(p, q, s, t))
         e = np.concatenate(edges)
         root = local_components(len(fp), e[:, 0], e[:, 1])
         return pa.table([pa.array(fp), pa.array(links), pa.array(fp[root])], ["fp", "links", "tie"])
@@ -233,12 +321,14 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORD
     n_links counts the other rows that are as similar; class_id is the least doc_id reachable by links.
     """
     signed = stored(_signed(docs, n), "jaccard-signed")
-    classes = stored(signed.where("n_grams > 0").groupBy("fp").agg(F.count("*").alias("n_docs"), F.min("key").alias("key"), F.first("signature").alias("signature")), "jaccard-classes")
+    classes = stored(signed.where("n_grams > 0").groupBy("fp").agg(F.count("*").alias("n_docs"), F.min("key").alias("key"), F.first("n_grams").alias("n_grams"), F.first("signature").alias("signature")), "jaccard-classes")
     ties = components(tied(classes, threshold))
-    members = classes.select("fp", "n_docs", "key").join(ties.select(F.col("id").alias("fp"), "component"), "fp")
+    members = classes.select("fp", "n_docs", "key", "n_grams").join(ties.select(F.col("id").alias("fp"), "component"), "fp")
     members = stored(members, "jaccard-members")
-    sizes = members.groupBy("component").agg(F.count("*").alias("n_classes"))
-    chunks = F.ceil(F.col("n_classes") / TILE).cast("int")
+    sizes = members.groupBy("component").agg(F.count("*").alias("n_classes"), (8 * F.sum("n_grams")).alias("bytes"))
+    # A group above a tile is cut into parts by bytes: a member is sent once for each part, and parts grow with the group.
+    part = F.greatest(F.lit(PART_LEAST), F.least(F.lit(PART_MOST), F.col("bytes") / 16))
+    chunks = F.when(F.col("n_classes") <= TILE, 1).otherwise(F.ceil(F.col("bytes") / part)).cast("int")
     asked = members.join(sizes, "component").select("key", "fp", "n_docs", "component", chunks.alias("chunks"), F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("chunk"))
     # Equal rows share a key, and either of them has the set: they are told apart no more.
     # Both sides are large in general: the plan is the same at every size.
@@ -251,7 +341,8 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORD
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("fp", "n_docs", "component", "chunks", "chunk")), pa.array(raw, pa.binary())], ["fp", "n_docs", "component", "chunks", "chunk", "grams"])
 
     sets = wanted.mapInArrow(grams, "fp long, n_docs long, component long, chunks int, chunk int, grams binary")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = members.agg(F.coalesce(8 * F.sum("n_grams"), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-together // TOGETHER))
     # A small group is compared whole, many in one task; of a large one, each pair of chunks is a task's.
     small = sets.where("chunks = 1").select("fp", "n_docs", "grams", F.col("component").alias("group"), F.lit(0).alias("side"), F.pmod(F.xxhash64("component"), F.lit(4 * parts)).cast("long").alias("task"))
     pairs = F.explode(F.expr("transform(sequence(0, chunks - 1), o -> named_struct('i', least(o, chunk), 'j', greatest(o, chunk)))"))
@@ -266,7 +357,8 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORD
     rows = rows.withColumn("group", F.when(F.col("n_grams") > 0, F.coalesce("component", "fp")))
     least = rows.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
     rows = rows.join(least, "group", "left")
-    return rows.select("key", "doc_id", "n_grams", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n_docs") - 1, F.lit(0))).alias("n_links"), F.coalesce("least", "doc_id").alias("class_id"), "group")
+    done = rows.select("key", "doc_id", "n_grams", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n_docs") - 1, F.lit(0))).alias("n_links"), F.coalesce("least", "doc_id").alias("class_id"), "group")
+    return settled(done, "jaccard-links", signed, classes, members, compared)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -274,14 +366,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(df: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS) -> DataFrame:
-    """df with one document of each group of linked ones (its least doc_id; of equal rows one); texts without words all stay."""
-    found = jaccard_links(_keyed(df), threshold, n)
-    first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select(F.col("k.key").alias("__key"))
-    names = df.columns
-    keyed = df.withColumn("__key", row_key("doc_id", "text"))
+    """df with one document of each group of linked ones (its least doc_id; of rows equal in that and text, the least by a hash of the row); texts without words all stay."""
+    keys = jaccard_links(_keyed(df), threshold, n)
+    names, key = df.columns, unused(df, "key")
+    first = keys.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select(F.col("k.key").alias(key))
+    keyed = df.withColumn(key, row_key("doc_id", "text"))
     wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = keyed.join(first, "__key", "left_semi").where(~wordless).dropDuplicates(["__key"])
-    return kept.select(*names).unionByName(df.where(wordless))
+    kept = keyed.join(first, key, "left_semi").where(~wordless)
+    kept = kept.groupBy(key).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row"))
+    return kept.select("row.*").unionByName(df.where(wordless))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

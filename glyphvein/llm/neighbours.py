@@ -12,7 +12,7 @@ a label falls short, more trees and rounds follow, and after a few turns all its
 
 Cosines are in double precision. Vectors that are null, zero or hold null or non-finite components,
 and vectors without label, link with nothing. Vectors of different lengths are not compared.
-Repeated vectors link with each other; an empty table gives an empty result.
+Repeated vectors link with each other; an empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphvein.llm.common import released, stored, table
-from glyphvein.llm.components import components, local_components
+from glyphvein.llm.common import released, settled, stored, table
+from glyphvein.llm.components import components, forest, local_components
 
 THRESHOLD = 0.98
 #: Neighbours of a list, trees to begin with, vectors of a leaf, rounds at most, share of lists that may still change.
@@ -35,6 +35,8 @@ K, TREES, LEAF, ROUNDS, STILL = 8, 5, 256, 6, 0.002
 #: Classes audited in all, the share of them with all their links to reach, and after how many turns of trees labels that fall short are compared whole.
 AUDITED, RECALL, REPEATS = 4096, 0.999, 3
 TILE = 512
+#: Bytes of a large group's part that a task compares, at least and at most.
+PART_LEAST, PART_MOST = 1 << 18, 16 << 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -182,19 +184,21 @@ def _verified(threshold: float):
         links, edges = np.zeros(len(cid), np.int64), [np.zeros((0, 2), np.int64)]
         order = np.lexsort((side, group))
         cuts = np.flatnonzero(np.diff(group[order], prepend=group[order][0] - 1))
-        for i, j in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-            own = order[i:j]
+        for first, last in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+            own = order[first:last]
             a, b = own[side[own] == 0], own[side[own] == 1]
             same = not len(b)
             b = a if same else b
-            found = x[a] @ x[b].T >= threshold
-            if same:
-                np.fill_diagonal(found, False)
-            links[a] += found @ weight[b]
-            if not same:
-                links[b] += found.T @ weight[a]
-            s, t = np.nonzero(found)
-            edges.append(np.stack([a[s], b[t]], 1))
+            for i in range(0, len(a), TILE):
+                for j in range(i if same else 0, len(b), TILE):
+                    p, q = a[i : i + TILE], b[j : j + TILE]
+                    found = x[p] @ x[q].T >= threshold
+                    if same and i == j:
+                        np.fill_diagonal(found, False)
+                    links[p] += found @ weight[q]
+                    if not same or i != j:
+                        links[q] += found.T @ weight[p]
+                    edges.append(forest(p, q, *np.nonzero(found)))
         e = np.concatenate(edges)
         root = local_components(len(cid), e[:, 0], e[:, 1])
         return pa.table([pa.array(cid), pa.array(links), pa.array(cid[root])], ["cid", "links", "tie"])
@@ -248,12 +252,15 @@ def linked_classes(classes: DataFrame, lists: DataFrame, threshold: float, seed:
         short = classes.join(F.broadcast(whole), "space").select("cid", F.xxhash64("space").alias("component"))
         ties = stored(ties.join(short, ties["id"] == short["cid"], "left_anti").unionByName(short.select(F.col("cid").alias("id"), "component")), "ties")
     members = classes.join(ties.withColumnRenamed("id", "cid"), "cid")
-    chunks = F.ceil(F.col("size") / TILE).cast("int")
+    # A group above a tile is cut into parts by bytes: a member is sent once for each part, and parts grow with the group.
+    row = 8 * (classes.agg(F.max(F.size("embedding"))).first()[0] or 1)
+    part = F.greatest(F.lit(PART_LEAST), F.least(F.lit(PART_MOST), F.col("size") * row / 16))
+    chunks = F.when(F.col("size") <= TILE, 1).otherwise(F.ceil(F.col("size") * row / part)).cast("int")
     members = members.join(ties.groupBy("component").agg(F.count("*").alias("size")), "component").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
     pairs = F.explode(F.expr("transform(sequence(0, chunks - 1), o -> named_struct('i', least(o, chunk), 'j', greatest(o, chunk)))"))
     tiles = members.select("cid", "n", "embedding", "component", "chunk", "chunks", pairs.alias("p"))
     group = F.xxhash64("component", "p.i", "p.j")
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ties.count() * row // PART_MOST))
     task = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(4 * parts)).cast("long")).otherwise(group)
     side = F.when((F.col("p.i") != F.col("p.j")) & (F.col("chunk") == F.col("p.j")), 1).otherwise(0)
     asked = tiles.select("cid", "n", "embedding", group.alias("group"), side.alias("side"), task.alias("task"))
@@ -338,7 +345,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = known.join(firsts, "group").select("cid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("found"), "first")
     done = rows.select("vec_id", "cid").join(known, "cid", "left")
     component = F.coalesce("first", "vec_id")
-    return done.select("vec_id", F.coalesce("found", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    done = done.select("vec_id", F.coalesce("found", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return settled(done, "near-duplicates", classes, links, groups, lists)
 
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

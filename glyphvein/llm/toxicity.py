@@ -5,12 +5,13 @@ of words. Each later model also takes the earlier categories' probabilities; it
 with out-of-fold ones, so that it sees them as wrong as they will be on new documents. The
 last category is the label `toxic`; a document is rejected if its probability is 0.5 or more.
 
-The labels table has one toxic column, so the earlier categories are weak labels from the
-sample: `marked` (labelled toxic, with a word that the sample ties to toxic documents) and
-`severe` (three such words or more).
+The categories: `poor` is the labels' quality of 0 (none where the labels have no quality), `severe` a weak
+label (labelled toxic, with three words or more that the sample ties to toxic documents), `toxic` the label itself.
+Out-of-fold probabilities come from models whose vocabulary, weak labels and weights know the other folds alone.
 
 Null texts count as empty. A document with no known word gets the models' base rates. Repeated
-rows get equal results. Without any labelled row nothing is rejected.
+rows get equal results. Without any labelled row nothing is rejected. An empty table gives an empty result; columns
+of the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphvein.llm.common import mixed, portions, stored, table, utf8, word_hashes, words_of
 
-CATEGORIES = ("marked", "severe", "toxic")
+CATEGORIES = ("poor", "severe", "toxic")
 #: Bounds of the fitting sample and of the vocabulary.
 SAMPLE_DOCUMENTS, VOCABULARY, FOLDS = 12_000, 6000, 5
 
@@ -90,24 +91,25 @@ class Chain:
         return earlier
 
 
-def fit_chain(row: np.ndarray, word: np.ndarray, vocabulary: list[str], targets: np.ndarray, folds: np.ndarray) -> Chain:
-    """targets: n x categories of 0 or 1, in the chain's order; folds: 0 .. FOLDS - 1 of each row."""
-    n, n_words = len(targets), len(vocabulary)
+def fit_chain(row: np.ndarray, word: np.ndarray, vocabulary: list[str], known: np.ndarray, targets: np.ndarray, folds: np.ndarray) -> Chain:
+    """known: words that the sample without each fold has in its vocabulary, and last those of the whole sample; targets: the same, n x categories of 0 or 1 each; folds: 0 .. FOLDS - 1 of each row."""
+    n, n_words = len(folds), len(vocabulary)
+
+    def fit(without: int, rows: np.ndarray, earlier: np.ndarray, k: int) -> Linear:
+        place = np.cumsum(rows) - 1
+        use = rows[row] & known[without, word]
+        return fit_linear(place[row[use]], word[use], n_words, earlier[rows], targets[without, rows, k].astype(np.float64))
+
     models, out_of_fold = [], np.zeros((n, 0))
-    for k in range(targets.shape[1]):
-        y = targets[:, k].astype(np.float64)
-        models.append(fit_linear(row, word, n_words, out_of_fold, y))
-        if k == targets.shape[1] - 1:
+    for k in range(targets.shape[2]):
+        models.append(fit(FOLDS, np.ones(n, bool), out_of_fold, k))
+        if k == targets.shape[2] - 1:
             break
         held = np.zeros(n)
         for fold in range(FOLDS):
-            train = folds != fold
-            if not train.any() or train.all():
-                continue
-            place = np.cumsum(train) - 1
-            use = train[row]
-            part = fit_linear(place[row[use]], word[use], n_words, out_of_fold[train], y[train])
-            held[~train] = part.probability(row, word, n, out_of_fold)[~train]
+            own = folds == fold
+            if own.any() and not own.all():
+                held[own] = fit(fold, ~own, out_of_fold, k).probability(row, word, n, out_of_fold)[own]
         out_of_fold = np.column_stack([out_of_fold, held])
     return Chain({w: i for i, w in enumerate(vocabulary)}, models)
 
@@ -126,8 +128,9 @@ def _first_shingle(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, text, toxic of at most `most` labelled documents in hash order; of a group of near copies, one."""
-    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """doc_id, text, toxic, poor of at most `most` labelled documents in hash order; of a group of near copies, one."""
+    poor = F.coalesce(F.max((F.col("quality") == 0).cast("int")), F.lit(0)) if "quality" in labels.columns else F.lit(0)
+    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), poor.alias("poor"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounds the broadcast: 16 bytes a row
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
 
@@ -151,35 +154,50 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, n_documents: int = SAMPL
         return Chain({}, [Linear(np.zeros(k), -8.0) for k in range(len(CATEGORIES))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = Counter(), Counter()
+        seen: Counter = Counter()
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                (toxic if label else clean).update(words(text or ""))
-        names = list(toxic.keys() | clean.keys())
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([toxic[w] for w in names], pa.int64()), pa.array([clean[w] for w in names], pa.int64())], ["word", "t", "n"])
-
-    seen = sample.select("text", "toxic").mapInArrow(count, "word string, t long, n long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+            for doc, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
+                fold = int(fold_of(np.array([doc]))[0])
+                seen.update((w, fold, int(bool(label))) for w in words(text or ""))
+        if seen:
+            w, fold, label = zip(*seen, strict=True)
+            n, label = np.array(list(seen.values())), np.array(label)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.array(fold, np.int32)), pa.array(n * label), pa.array(n * (1 - label))], ["word", "fold", "t", "n"])
+
+    seen = sample.select("doc_id", "text", "toxic").mapInArrow(count, "word string, fold int, t long, n long")
+    # counts of each word without each fold, and over all
+    without = [*((F.col("fold") != f).cast("int") for f in range(FOLDS)), F.lit(1)]
+    seen = seen.groupBy("word").agg(*[F.sum(F.col(c) * use).alias(f"{c}{f}") for f, use in enumerate(without) for c in ("t", "n")])
     rate = n_toxic / (n_toxic + n_clean)
-    part = lambda x, share: f"CASE WHEN {x} > 0 THEN {x} * ln({x} / ((t + n) * {share})) ELSE 0 END"
-    strong = seen.withColumn("g", F.expr(f"2 * ({part('t', rate)} + {part('n', 1 - rate)}) * CASE WHEN t > {rate} * (t + n) THEN 1 ELSE -1 END"))
-    vocabulary = [(r.word, r.t, r.n) for r in strong.where("g > 12 AND t >= 3").orderBy(F.desc("g"), "word").limit(n_vocabulary).collect()]
-    index = {w: i for i, (w, _, _) in enumerate(vocabulary)}
-    tied = np.array([t > 9 * n for _, t, n in vocabulary], bool)
+    part = lambda x, t, n, share: f"CASE WHEN {x} > 0 THEN {x} * ln({x} / (({t} + {n}) * {share})) ELSE 0 END"
+
+    def strength(f: int) -> Column:
+        t, n = f"t{f}", f"n{f}"
+        g = f"2 * ({part(t, t, n, rate)} + {part(n, t, n, 1 - rate)}) * CASE WHEN {t} > {rate} * ({t} + {n}) THEN 1 ELSE -1 END"
+        return F.expr(f"CASE WHEN {t} >= 3 THEN {g} ELSE 0 END")
+
+    strong = seen.select("*", *[strength(f).alias(f"g{f}") for f in range(FOLDS + 1)]).withColumn("g", F.greatest(*[f"g{f}" for f in range(FOLDS + 1)]))
+    chosen = strong.where("g > 12").orderBy(F.desc("g"), "word").limit(n_vocabulary).collect()
+    index = {r.word: i for i, r in enumerate(chosen)}
+    known_by = np.array([[r[f"g{f}"] > 12 for r in chosen] for f in range(FOLDS + 1)], bool).reshape(FOLDS + 1, -1)
+    tied = np.array([[r[f"t{f}"] > 9 * r[f"n{f}"] for r in chosen] for f in range(FOLDS + 1)], bool).reshape(FOLDS + 1, -1) & known_by
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(index[w] for w in words(t or "") if w in index) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "found"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic", "poor")), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "poor", "found"])
 
-    rows = sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(known, "doc_id long, toxic int, found array<int>").orderBy("doc_id").collect()
+    rows = sample.select("doc_id", F.col("toxic").cast("int"), F.col("poor").cast("int"), "text").mapInArrow(known, "doc_id long, toxic int, poor int, found array<int>").orderBy("doc_id").collect()
     row = np.repeat(np.arange(len(rows)), [len(r.found) for r in rows])
     word = np.array([i for r in rows for i in r.found], np.int64)
-    toxic = np.array([r.toxic for r in rows])
-    hits = np.bincount(row, tied[word], len(rows)) if len(word) else np.zeros(len(rows))
-    targets = np.column_stack([toxic * (hits >= 1), toxic * (hits >= 3), toxic])
-    folds = (mixed(np.array([r.doc_id for r in rows], np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-    return fit_chain(row, word, [w for w, _, _ in vocabulary], targets, folds)
+    toxic, poor = np.array([r.toxic for r in rows]), np.array([r.poor for r in rows])
+    hits = [np.bincount(row, tied[f, word], len(rows)) if len(word) else np.zeros(len(rows)) for f in range(FOLDS + 1)]
+    targets = np.stack([np.column_stack([poor, toxic * (h >= 3), toxic]) for h in hits])
+    return fit_chain(row, word, list(index), known_by, targets, fold_of(np.array([r.doc_id for r in rows], np.int64)))
+
+
+def fold_of(doc_ids: np.ndarray) -> np.ndarray:
+    return (mixed(doc_ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
 
 
 def score(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:

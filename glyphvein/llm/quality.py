@@ -4,7 +4,8 @@ A document is the sequence of its \\n-split lines that hold a word. The model, f
 bounded sample of labelled documents, marks each line as content or boilerplate by Viterbi
 decoding; a document stays if content lines hold at least `share` of its words and the base
 rules pass. Null texts count as empty: no words, not kept. Repeated rows get equal results;
-ties in decoding go to content.
+ties in decoding go to content. An empty table gives an empty result; other columns are not looked at. Without
+labelled documents every line is content.
 """
 
 from __future__ import annotations
@@ -216,8 +217,9 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, n_documents: int = SAMPL
         for batch in portions(batches, "text"):
             lines = measured(*utf8(batch.column("text"))).lines
             ids, quality = np.asarray(batch.column("doc_id")), np.asarray(batch.column("quality"))
-            packed = [np.packbits(lines.features[lines.row == r].astype(np.uint8), axis=1) for r in range(batch.num_rows)]
-            states = [np.where(lines.repeated[lines.row == r], BOILERPLATE, quality[r]).astype(np.uint8) for r in range(batch.num_rows)]
+            cuts = np.searchsorted(lines.row, np.arange(batch.num_rows + 1))
+            bits, state = np.packbits(lines.features.astype(np.uint8), axis=1), np.where(lines.repeated, BOILERPLATE, quality[lines.row]).astype(np.uint8)
+            packed, states = ([x[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)] for x in (bits, state))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array([len(s) for s in states], pa.int64()), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array([s.tobytes() for s in states], pa.binary())],
                 ["doc_id", "n", "features", "states"],

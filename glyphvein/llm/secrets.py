@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphvein.llm.common import portions, row_key, table, utf8
+from glyphvein.llm.common import portions, row_key, table, unused, utf8
 
 
 @dataclass(frozen=True)
@@ -81,38 +81,45 @@ def _holding(strings: set[bytes]) -> Query:
     return _either([frozenset([frozenset(s[i : i + 3] for i in range(len(s) - 2))]) for s in strings])
 
 
-def _letters(items: list) -> set[bytes] | None:
+def _letter(point: int, flags: int) -> set[bytes] | None:
+    """The index's form of a character: ASCII is lower-cased, as in the index. None: it may match characters that the index keeps apart."""
+    c = chr(point)
+    if flags & re.IGNORECASE and not flags & re.ASCII and (not c.isascii() or c in "kKsSiI"):
+        return None
+    return {(c.lower() if c.isascii() else c).encode()}
+
+
+def _letters(items: list, flags: int) -> set[bytes] | None:
     found: set[bytes] = set()
     for op, value in items:
-        if op is C.LITERAL:
-            found.add(chr(value).lower().encode())
-        elif op is C.RANGE and value[1] - value[0] < 12:
-            found |= {chr(x).lower().encode() for x in range(value[0], value[1] + 1)}
-        else:
+        points = [value] if op is C.LITERAL else range(value[0], value[1] + 1) if op is C.RANGE and value[1] - value[0] < 12 else None
+        forms = [_letter(p, flags) for p in points] if points is not None else [None]
+        if any(f is None for f in forms):
             return None
+        found = found.union(*forms)
     return found if len(found) <= 12 else None
 
 
-def _parts(tree) -> tuple[set[bytes] | None, Query]:
+def _parts(tree, flags: int) -> tuple[set[bytes] | None, Query]:
     """All strings that a tree stands for, if few; and what holds for its matches."""
     run: set[bytes] | None = {b""}
     whole, query = True, None
     for op, value in tree:
         exact, inner = None, None
         if op is C.LITERAL:
-            exact = {chr(value).lower().encode()}
+            exact = _letter(value, flags)
         elif op is C.IN:
-            exact = _letters(value)
+            exact = _letters(value, flags)
         elif op is C.SUBPATTERN:
-            exact, inner = _parts(value[3])
+            exact, inner = _parts(value[3], (flags | value[1]) & ~value[2])
         elif op is C.BRANCH:
-            branches = [_parts(x) for x in value[1]]
+            branches = [_parts(x, flags) for x in value[1]]
             if all(e is not None for e, _ in branches):
                 exact = set().union(*(e for e, _ in branches))
             inner = _either([_holding(e) if e is not None else q for e, q in branches])
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
             low, high, body = value
-            once, inner = _parts(body)
+            once, inner = _parts(body, flags)
             if once is not None and (low, high) in ((0, 1), (1, 1)):
                 exact = once | ({b""} if low == 0 else set())
             if low == 0:
@@ -142,7 +149,8 @@ def _parts(tree) -> tuple[set[bytes] | None, Query]:
 
 def trigram_query(pattern: str) -> Query:
     """The clauses of which one must hold in a text (lower-cased by ASCII) that pattern matches in."""
-    query = _parts(P.parse(pattern))[1]
+    tree = P.parse(pattern)
+    query = _parts(tree, tree.state.flags)[1]
     return None if query is None else frozenset(c for c in query if not any(o < c for o in query))
 
 
@@ -200,12 +208,13 @@ def find_secrets(df: DataFrame, rules: Sequence[Rule] = RULES, column: str = "te
     queries = [trigram_query(r.pattern) for r in rules]
     scanned = [r for r, q in enumerate(queries) if q is None]
     grams = sorted({_code(g) for q in queries if q for clause in q for g in clause})
-    keyed = df.withColumn("__row_key", row_key(*([c for c in ("doc_id",) if c in names] + [column])))
+    key, chosen_by = unused(df, "row_key"), unused(df, "rules")
+    keyed = df.withColumn(key, row_key(*([c for c in ("doc_id",) if c in names] + [column])))
     if grams:
-        found = candidates(postings(keyed.select(F.col("__row_key").alias("row_key"), column), grams, column), rules)
-        keyed = keyed.join(found.select(F.col("row_key").alias("__row_key"), F.col("rules").alias("__rules")), "__row_key", "left").select(*names, "__rules")
+        found = candidates(postings(keyed.select(F.col(key).alias("row_key"), column), grams, column), rules)
+        keyed = keyed.join(found.select(F.col("row_key").alias(key), F.col("rules").alias(chosen_by)), key, "left").select(*names, chosen_by)
     else:
-        keyed = keyed.select(*names, F.lit(None).cast("array<int>").alias("__rules"))
+        keyed = keyed.select(*names, F.lit(None).cast("array<int>").alias(chosen_by))
     schema = T.StructType([*df.schema.fields, T.StructField(into, _SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +222,7 @@ def find_secrets(df: DataFrame, rules: Sequence[Rule] = RULES, column: str = "te
         arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             spans = []
-            for text, chosen in zip(batch.column(column).to_pylist(), batch.column("__rules").to_pylist(), strict=True):
+            for text, chosen in zip(batch.column(column).to_pylist(), batch.column(chosen_by).to_pylist(), strict=True):
                 own = [(s, r, e) for r in sorted({*scanned, *(chosen or ())}) for s, e in matches(rules[r], compiled[r], text or "")]
                 spans.append([{"kind": rules[r].kind, "start": s, "end": e} for s, r, e in sorted(own)])
             kept = [batch.column(c) for c in names]
@@ -224,16 +233,17 @@ def find_secrets(df: DataFrame, rules: Sequence[Rule] = RULES, column: str = "te
 
 def redacted(df: DataFrame, rules: Sequence[Rule] = RULES, column: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with the union of all spans in a text replaced by mark; null texts stay null."""
-    found = find_secrets(df, rules, column, "__spans")
+    spans = unused(df, "spans")
+    found = find_secrets(df, rules, column, spans)
     done = F.expr(
-        f"""aggregate(array_sort(transform(__spans, s -> struct(s.start, s.end))),
+        f"""aggregate(array_sort(transform({spans}, s -> struct(s.start, s.end))),
             named_struct('done', '', 'at', 0L),
             (a, s) -> CASE WHEN s.end <= a.at THEN a
                 WHEN s.start < a.at THEN named_struct('done', a.done, 'at', s.end)
                 ELSE named_struct('done', concat(a.done, substring({column}, int(a.at) + 1, int(s.start - a.at)), '{mark}'), 'at', s.end) END,
             a -> concat(a.done, substring({column}, int(a.at) + 1)))"""
     )
-    return found.withColumn(column, F.when(F.size("__spans") > 0, done).otherwise(F.col(column))).select(*df.columns)
+    return found.withColumn(column, F.when(F.size(spans) > 0, done).otherwise(F.col(column))).select(*df.columns)
 
 
 def joined(spans: str, kinds: Sequence[str] | None = None) -> F.Column:

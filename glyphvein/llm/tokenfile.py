@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphvein.llm.common import portions, shared_folder, stored, table, utf8, word_hashes
+from glyphvein.llm.common import portions, released, shared_folder, stored, table, utf8, word_hashes
 
 #: Tokens of a block (more if its last document is longer), lanes, steps between checkpoints, bits of frequencies.
 BLOCK, LANES, SEGMENT, SCALE = 1 << 18, 1024, 128, 20
@@ -363,6 +363,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, b
 
     coded = blocks.select("part", "blk", "doc_ids", "sizes", "ids").mapInArrow(run, "part int, blk int, doc_ids array<long>, sizes array<long>, payload binary")
     coded.write.parquet(f"{path}/blocks")
+    released(blocks)
 
 
 def _frequencies(spark: SparkSession, path: str) -> Frequencies:

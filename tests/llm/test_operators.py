@@ -25,7 +25,7 @@ def _docs(n=60, seed=3):
     words = [f"w{i}{'é' * (i % 3)}" for i in range(400)]
     say = lambda k: " ".join(words[i] for i in rng.integers(0, 400, k))
     passage = say(48)
-    texts = [None, "", "one", "two words", " \n\t ", "nbsp x   y", "x" * 5000, say(6000), "it's  a\n\ntest's don't  ", "a | b ### c--d 12'3 4²5"]
+    texts = [None, "", "one", "two words", " \n\t ", "nbsp x   y", "x" * 5000, say(6000), "it's  a\n\ntest's don't  ", "a | b ### c--d 12'3 4²5", "end <|endoftext|> of<|endoftext|>"]
     base = say(120)
     for i in range(n):
         text = say(int(rng.integers(5, 150)))
@@ -300,16 +300,55 @@ def test_toxicity(spark):
             labels.append((i, int(toxic)))
     docs += [(1000, None), (1001, ""), (1002, "vermin Cretin SCOUNDREL"), (5, docs[5][1])]
     labels += [(5, 0), (None, 1), (7, None), (2000, 1)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("p_toxic", F.lit("clash"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("p_severe", F.lit("clash"))
     chain = toxicity.fit_from_labels(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
     got = {r.doc_id: r for r in toxicity.score(frame, chain).collect()}
     assert [got[i].rejected for i in range(300, 400)] == [i % 5 == 0 for i in range(300, 400)]
     assert (got[1000].rejected, got[1001].rejected, got[1002].rejected) == (False, False, True)
     assert len(chain.models[1].weights) == len(chain.vocabulary) + 1 and len(chain.models[2].weights) == len(chain.vocabulary) + 2
+    # probabilities by the definition of a chain of logistic models
+    for i in (5, 10, 301):
+        present, earlier = [chain.vocabulary[w] for w in set(docs[i][1].split()) if w in chain.vocabulary], []
+        for name, m in zip(toxicity.CATEGORIES, chain.models, strict=True):
+            z = m.bias + sum(m.weights[k] for k in present) + sum(w * p for w, p in zip(m.weights[len(chain.vocabulary) :], earlier, strict=True))
+            earlier.append(1 / (1 + math.exp(-z)))
+            assert getattr(got[i], f"p_{name}") == pytest.approx(earlier[-1], rel=1e-6)
+    assert toxicity.score(_empty(spark), chain).count() == 0
     none = toxicity.fit_from_labels(frame, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(frame, none).where("rejected").count() == 0
 
 
+def test_linear_model_is_at_its_optimum():
+    """The penalised likelihood's subgradient holds zero in each weight."""
+    rng = np.random.default_rng(15)
+    n, n_words, l1 = 400, 12, 2e-3
+    x = rng.random((n, n_words)) < 0.3
+    earlier = rng.random((n, 1))
+    y = (rng.random(n) < 1 / (1 + np.exp(2 - 3 * x[:, 0] - 2 * x[:, 1] - earlier[:, 0]))).astype(float)
+    row, word = np.nonzero(x)
+    m = toxicity.fit_linear(row, word, n_words, earlier, y, l1=l1, steps=3000)
+    both = np.column_stack([x, earlier])
+    error = (1 / (1 + np.exp(-(both @ m.weights + m.bias))) - y) / n
+    gradient = both.T @ error
+    assert abs(error.sum()) < 1e-5 and m.weights[0] > 1 and (np.abs(gradient) <= l1 + 1e-5).all()
+    assert np.abs(gradient + l1 * np.sign(m.weights))[m.weights != 0].max() < 1e-5
+
+
+def test_folds_do_not_see_themselves():
+    """A word that one fold alone has takes no part in what is predicted for that fold."""
+    n = 100
+    folds = np.arange(n) % toxicity.FOLDS
+    toxic = (np.arange(n) // toxicity.FOLDS % 2 == 0).astype(int)
+    known = np.ones((toxicity.FOLDS + 1, 2), bool)
+    known[0, 1] = False  # without fold 0, word 1 is unknown
+    targets = np.repeat(np.column_stack([toxic, toxic])[None], toxicity.FOLDS + 1, 0)
+    row, word = np.nonzero(np.column_stack([np.ones(n), (folds == 0) & (toxic == 1)]))
+    chain = toxicity.fit_chain(row, word, ["a", "b"], known, targets, folds)
+    assert chain.models[0].weights[1] > 0.5
+    part = toxicity.fit_linear(row[word == 0], word[word == 0], 2, np.zeros((n, 0)), toxic.astype(float))
+    assert part.weights[1] == 0
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -358,6 +397,49 @@ def test_tiles_of_large_groups(spark, monkeypatch):
     assert jaccard.least_depth(0.8) < jaccard.least_depth(0.95)
 
 
+def test_stretches_of_templated_texts(spark, monkeypatch):
+    """Families that share half their text and signature prefixes, with pairs of near copies in them: no link is lost, whole or in tiles that are tasks."""
+    rng = np.random.default_rng(21)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"x{i}_{k}" for k in range(50)]
+        for copy in range(2 if i % 3 == 0 else 1):
+            w = template + own
+            if copy:
+                w = [*w[:-3], "p", "q", "r"]
+            rows.append((2 * i + copy, " ".join(w)))
+    rng.shuffle(rows)
+    rows = [(int(i), str(x)) for i, x in rows]
+    _, near = _linked(rows)
+    assert sum(map(len, near)) == 100
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for huge in (4096, 20):
+        monkeypatch.setattr(jaccard, "HUGE", huge)
+        got = {r.doc_id: r.n_links for r in jaccard.jaccard_links(jaccard._keyed(frame)).collect()}
+        assert [got[i] for i, _ in rows] == [len(x) for x in near]
+
+
+def test_stretch_ties_miss_none():
+    rng = np.random.default_rng(22)
+    base = rng.integers(0, 256, (12, 128)).astype(np.uint8)
+    full = base[rng.integers(0, 12, 700)]
+    change = rng.random(full.shape) < 0.1
+    full[change] = rng.integers(0, 256, change.sum())
+    a, b = jaccard.stretch_ties(full, 79)
+    i, j = np.nonzero(np.triu((full[:, None] == full[None]).sum(2) >= 79, 1))
+    assert (components.local_components(700, a, b) == components.local_components(700, i, j)).all() and len(a) < 700
+    a, b = jaccard.stretch_ties(full, 79, 300)
+    cross = (i < 300) & (j >= 300)
+    assert (components.local_components(700, a, b) == components.local_components(700, i[cross], j[cross])).all()
+
+
+def test_survivors_do_not_depend_on_order(spark):
+    rows = [(1, "a b c d e f g", "en", s, 1) for s in ("x", "y", None)] + [(2, "a b c d e f g", "en", "z", 1)]
+    kept = {tuple(jaccard.deduplicated(spark.createDataFrame(r, SCHEMA).withColumn("__key", F.lit("mine"))).collect()[0]) for r in (rows, rows[::-1], rows[2:] + rows[:2])}
+    assert len(kept) == 1 and next(iter(kept))[0] == 1 and next(iter(kept))[-1] == "mine"
+
+
 # ---------------------------------------------------------------- 9
 
 
@@ -377,18 +459,91 @@ def test_scores(spark, docs):
     assert scoring.score(_empty(spark)).count() == 0
 
 
+def _model(rng, n_words=40, bits=16):
+    tree = scoring.Tree.of(rng.integers(0, 1000, scoring.WORDS + n_words))
+    words = np.unique(rng.integers(-(1 << 62), 1 << 62, n_words))
+    tables = rng.integers(-60, 60, (scoring.N_TABLES, 1 << bits)).astype(np.int8)
+    return scoring.Model(words, np.arange(scoring.WORDS, scoring.WORDS + len(words), dtype=np.int32), tree, bits, tables, rng.normal(0, 0.3, (scoring.N_INPUTS, scoring.GATES)).astype(np.float32))
+
+
 def test_model_is_a_distribution():
-    """Over all texts of one symbol and the end, and longer ones by their first symbol, probabilities sum to one."""
-    rng = np.random.default_rng(3)
-    tree = scoring.Tree.of(rng.integers(0, 1000, 257))
-    assert sum(2.0 ** -tree.length.astype(float)) == pytest.approx(1)
-    tables = rng.integers(-60, 60, (scoring.N_MODELS, 1 << scoring.TABLE_BITS)).astype(np.int8)
-    model = scoring.Model(tree, tables, rng.normal(0, 0.3, (256, scoring.N_MODELS + 1)).astype(np.float32))
-    for before in ([], [97, 98, 32]):
-        symbols = np.concatenate([[*before, s] for s in range(257)]).astype(np.int16)
-        bits = model.bits(symbols, np.arange(258) * (len(before) + 1))
-        given = model.bits(np.array(before, np.int16), np.array([0, len(before)]))[0] if before else 0
-        assert (2.0 ** (given - bits)).sum() == pytest.approx(1, rel=1e-3)
+    """Whatever came before, the probabilities of all symbols sum to one."""
+    model = _model(np.random.default_rng(3))
+    n = len(model.tree.length)
+    assert sum(2.0 ** -model.tree.length.astype(float)) == pytest.approx(1)
+    for before in ([], [97, 270, 32], [97] * 200):
+        symbols = np.concatenate([[*before, s] for s in range(n)]).astype(np.int32)
+        bits = model.code_lengths(symbols, np.arange(n + 1) * (len(before) + 1))
+        given = model.code_lengths(np.array(before, np.int32), np.array([0, len(before)]))[0] if before else 0
+        assert (2.0 ** (given - bits)).sum() == pytest.approx(1, rel=2e-3)
+
+
+def test_code_lengths_bit_by_bit():
+    """One text at a time and one bit at a time, with weights learned after each block."""
+    rng = np.random.default_rng(12)
+    model = _model(rng)
+    tree, texts = model.tree, [rng.integers(0, 290, k).tolist() for k in (1, 0, 63, 64, 65, 700, 200)]
+    symbols, bounds = np.array(sum(texts, []), np.int32), np.r_[0, np.cumsum([len(t) for t in texts])]
+    found = scoring.contexts(symbols, bounds)
+    expected = []
+    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+        own, at, block, cost = np.zeros(scoring.N_INPUTS - 1), begin, scoring.BLOCK, 0.0
+        while at < end:
+            gradient, n = np.zeros(scoring.N_INPUTS - 1), 0
+            for i in range(at, min(at + block, end)):
+                for b in range(tree.length[symbols[i]]):
+                    at_tree = tree.first[symbols[i]] + b
+                    turn = int(tree.packed[at_tree]) & 1
+                    root, place = at_tree - b % 4, 1
+                    for back in range(b % 4):
+                        place = 2 * place + (int(tree.packed[root + back]) & 1)
+                    spot = [((int(c[i]) + int(tree.salt[root]) & 0xFFFFFFFF) >> (36 - model.bits)) * 16 + place for c in found]
+                    x = np.array([*(model.tables[k][s] * scoring.STEP for k, s in enumerate(spot)), tree.prior[at_tree]])
+                    w = model.weights[:, int(tree.packed[at_tree]) >> 5]
+                    z = min(12, max(-12, (w[:-1] + own) @ x + w[-1]))
+                    p = 1 / (1 + math.exp(-z))
+                    cost -= math.log2(p if turn else 1 - p)
+                    gradient += (turn - p) * x
+                    n += 1
+            own += scoring.RATE / max(n, 400) * gradient
+            at, block = at + block, min(2 * block, scoring.MOST_BLOCK)
+        expected.append(cost)
+    assert model.code_lengths(symbols, bounds) == pytest.approx(expected, rel=1e-4)
+
+
+def test_symbols_tell_texts_apart():
+    """Texts are read back from their symbols: known words stand for themselves, single spaces beside them are understood."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    names = ["the", "of", "é", "rare", "x", "odd"]
+    known = {w: scoring.lowered(pa.array([w]))[5][0] for w in names[:3]}
+    words = np.sort(np.array(list(known.values())))
+    back = {scoring.WORDS + int(np.searchsorted(words, h)): w for w, h in known.items()}
+    model = scoring.Model(words, np.arange(scoring.WORDS, scoring.WORDS + 3, dtype=np.int32), None, 16, None, None)
+    texts = [None, "", "The", " of", "x "] + ["".join(rng.choice([*names, " ", " ", " ", "\n", "  "], 12)) for _ in range(300)]
+    symbols, bounds = model.coded(*scoring.lowered(pa.array(texts, pa.string())))
+    for t, i, j in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        out, last = b"", None
+        assert symbols[j - 1] == scoring.END
+        for s in symbols[i : j - 1].tolist():
+            word = back[s].encode() if s in back else bytes([s])
+            spaced = out and not out[-1:].isspace() and not word.isspace() and (s in back or last in back)
+            out += b" " * bool(spaced) + word
+            last = s
+        assert out.decode() == (t or "").lower()
+
+
+def test_long_text_is_scored_whole(spark):
+    rng = np.random.default_rng(14)
+    words = [f"word{i}" for i in range(500)]
+    text = " ".join(words[i] for i in rng.integers(0, 500, 60_000))
+    assert len(text) > 1 << 18
+    rows = [(i, " ".join(words[k] for k in rng.integers(0, 500, 50))) for i in range(60)] + [(100, text), (101, text[: len(text) // 2])]
+    got = {r.doc_id: r for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100].n_tokens == 60_001 and got[100].score < got[101].score < got[0].score < 0
+    assert got[100].bits_per_byte < got[0].bits_per_byte < 3
+    assert scoring.table_bits(10**6) < scoring.table_bits(10**7)
 
 
 # ---------------------------------------------------------------- 10
@@ -398,7 +553,6 @@ def test_token_file(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     path = str(tmp_path / "tokens")
     tokenfile.write_tokens(docs, path, JSON, 2, block=2000)
     assert spark.read.parquet(f"{path}/blocks").count() > 3

@@ -4,6 +4,10 @@ Each stage is (name, function of (spark, docs, sf_dir)) and works on all rows th
 predecessor kept: documents predicted toxic go; of linked near copies one stays; secrets are
 masked in place; sources are mixed to their targets, so that a document may come up to twice or
 not at all; the rest is encoded. All but the last return the columns of documents.
+
+Null texts are kept by the first three stages and count as empty; of rows equal in doc_id and text one stays in the
+second. Null sources are one source. Where several documents of a group could stay, the least doc_id does. An empty
+table gives an empty result, and further columns are carried to the last stage whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphvein.llm import bpe, jaccard, mixing, secrets, toxicity
-from glyphvein.llm.common import stored, table
+from glyphvein.llm.common import released, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            released(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

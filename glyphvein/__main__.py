@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import resource
 import sys
 import time
 
 from pyspark.sql import SparkSession
 
+from glyphvein.encodings import BY_NAME
 from glyphvein.functions.expressions import format_bytes
-from glyphvein.plans.extract import Options, chunks, extract, found, shuffled
-from glyphvein.sources.lines import lines, write_file
+from glyphvein.plans.extract import Options, chunks, observed, shuffled, unordered
+from glyphvein.sources.chunks import input_files, ranged
+from glyphvein.sources.lines import write_file, write_lines, write_stream
+
+TAG = "glyphvein"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -18,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("input")
     p.add_argument("-s", "--string-only", action="store_true", help="text without offset and encoding")
     p.add_argument("-o", "--output", help="file to write; standard output otherwise")
+    p.add_argument("-d", "--output-dir", help="folder of ordered text files, written by the tasks")
     p.add_argument("-e", "--encoding", action="append", help="encodings, comma-separated or repeated")
     p.add_argument("-f", "--filter", action="append", help="character filters, comma-separated or repeated")
     p.add_argument("-m", "--min-length", type=int, default=4)
@@ -34,26 +40,41 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         options = Options(tuple(args.encoding or Options.encodings), tuple(args.filter or Options.filters), args.min_length, args.jobs, args.chunk_size)
         spark = spark or SparkSession.builder.appName("glyphvein").getOrCreate()
-        runs = extract(spark, args.input, options)
-        if args.output:
-            write_file(runs, args.output, args.string_only)
+        spark.addTag(TAG)
+        runs = unordered(spark, args.input, options)
+        if args.output_dir:
+            runs, seen = observed(runs, options.encodings)
+            write_lines(runs, args.output_dir, args.string_only)
+            found = seen.get
         else:
-            for row in lines(runs, args.string_only).orderBy("path", "offset", "encoding_code").toLocalIterator():
-                sys.stdout.write(row.line + "\n")
+            codes = write_file(runs, args.output, args.string_only) if args.output else write_stream(runs, sys.stdout, args.string_only)
+            found = {name: codes[BY_NAME[name].code] for name in options.encodings}
         if args.stats or args.verbose:
-            total = chunks(spark, args.input, options).selectExpr("sum(length(bytes)) AS n", "count(*) AS chunks").first()
-            for r in found(runs).orderBy("encoding_code").collect():
-                print(f"{r.encoding}: found {r.found}", file=sys.stderr)
-            if args.verbose > 1:
-                for r in shuffled(chunks(spark, args.input, options), options).collect():
-                    print(f"encoding {r.encoding_code}, parity {r.parity}: {r.pieces} pieces joined", file=sys.stderr)
-            elapsed = time.time() - began
-            print(f"input {format_bytes(total.n)}, {total.chunks} chunks, {elapsed:.2f} s, {total.n / elapsed / (1 << 20):.1f} MiB/s", file=sys.stderr)
+            report(spark, args, options, found, time.time() - began)
+    except KeyboardInterrupt:
+        spark.interruptTag(TAG)
+        print("error: cancelled by Ctrl+C", file=sys.stderr)
+        return 1
     except (ValueError, EOFError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     return 0
 
 
+def report(spark: SparkSession, args: argparse.Namespace, options: Options, found: dict[str, int], elapsed: float) -> None:
+    """What was found, to standard error. Counts were taken while the lines were written; sizes come from the store."""
+    for name, n in found.items():
+        print(f"{BY_NAME[name].label} ({name}): found {n}", file=sys.stderr)
+    if args.verbose > 1:
+        for r in shuffled(chunks(spark, args.input, options), options).collect():
+            print(f"encoding {r.encoding_code}: {r.pieces} pieces at chunk edges", file=sys.stderr)
+    if ranged(args.input):
+        total = sum(size for _, size in input_files(args.input))
+        parts = chunks(spark, args.input, options).rdd.getNumPartitions()
+        print(f"input {format_bytes(total)}, {parts} chunks, chunk size {options.chunk_size or 'auto'}, {total / elapsed / (1 << 20):.1f} MiB/s", file=sys.stderr)
+    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss << 10
+    print(f"{spark.sparkContext.defaultParallelism} workers, {elapsed:.2f} s, driver's peak memory {format_bytes(peak)}", file=sys.stderr)
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -1,12 +1,9 @@
-"""Java regex classes over the ISO-8859-1 view of bytes, where a character is a byte."""
+"""Ranges of values, as regular expression classes name them."""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable
 
-import numpy as np
-
 
 def ranges(values: Iterable[int]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
@@ -16,46 +13,3 @@ def ranges(values: Iterable[int]) -> list[tuple[int, int]]:
         else:
             out.append([v, v])
     return [(a, b) for a, b in out]
-
-
-def byte_class(values: Iterable[int], negated: bool = False) -> str:
-    inside = "".join(f"\\x{a:02x}" if a == b else f"\\x{a:02x}-\\x{b:02x}" for a, b in ranges(values))
-    return f"[{'^' * negated}{inside}]" if inside else ("[\\x00-\\xff]" if negated else "(?!)")
-
-
-def pairs(first_to_second: dict[int, Iterable[int]]) -> list[str]:
-    """Alternatives for two-byte sequences: first bytes with equal sets of second bytes share one."""
-    grouped: dict[frozenset[int], list[int]] = defaultdict(list)
-    for first, second in first_to_second.items():
-        if second:
-            grouped[frozenset(second)].append(first)
-    return [byte_class(firsts) + byte_class(second) for second, firsts in sorted(grouped.items(), key=lambda x: -len(x[1]) * len(x[0]))]
-
-
-def units(admitted: np.ndarray, swapped: bool = False) -> list[str]:
-    """Alternatives for the little-endian 16-bit units that a BMP table admits; swapped: bytes in reverse."""
-    by_low: dict[bytes, list[int]] = defaultdict(list)
-    for high in range(256):
-        row = admitted[high << 8 : (high + 1) << 8]
-        if row.any():
-            by_low[row.tobytes()].append(high)
-    out = []
-    for row, highs in sorted(by_low.items(), key=lambda x: -sum(x[0]) * len(x[1])):
-        low, high = byte_class(np.flatnonzero(np.frombuffer(row, bool)).tolist()), byte_class(highs)
-        out.append(high + low if swapped else low + high)
-    return out
-
-
-def surrogate_pairs(admitted: np.ndarray) -> list[str]:
-    """Alternatives for the surrogate pairs of the astral code points that a table admits."""
-    by_low: dict[bytes, np.ndarray] = {}
-    for point in range(0x10000, len(admitted), 0x400):
-        row = admitted[point : point + 0x400]
-        if row.any():
-            by_low.setdefault(row.tobytes(), np.zeros(1 << 16, bool))[0xD800 + ((point - 0x10000) >> 10)] = True
-    out = []
-    for row, highs in by_low.items():
-        lows = np.zeros(1 << 16, bool)
-        lows[0xDC00:0xE000] = np.frombuffer(row, bool)
-        out.append(f"(?:{'|'.join(units(highs))})(?:{'|'.join(units(lows))})")
-    return out

@@ -1,130 +1,55 @@
 """Runs of text in binary values.
 
-scan() takes whole values: a row is an input. Finding runs, their offsets and the decoding of
-the ASCII, Unicode and windows-1251 families are built-in expressions; runs in the double-byte
-encodings are decoded by an Arrow function with a code table.
+scan() takes whole values: a row is an input. One narrow pass over each value finds the runs of all encodings
+asked for, with their offsets and texts; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphvein import encodings
-from glyphvein.encodings import Encoding
-from glyphvein.functions import codecs, filters
-from glyphvein.operators.patterns import CP1251, Pattern, pattern
-
-OUTPUT = ("path", "offset", "encoding_code", "encoding", "cb", "cch", "text")
-
-
-def view(data: Column) -> Column:
-    """Bytes as a string of as many characters."""
-    return F.decode(data, "ISO-8859-1")
-
-
-def tokens(df: DataFrame, p: Pattern, base: Column, least: int = 1, gap: int = 2) -> DataFrame:
-    """Runs in column `view`: df's other columns with `offset` (base added) and `run`. Column `__row` must tell rows apart."""
-    regexp = F.lit(p.tokens(least, gap))
-    found = lambda group: F.regexp_extract_all("view", regexp, F.lit(group))
-    first, second = (found(0), found(2)) if p.own else (found(1), found(2))
-    names = [c for c in df.columns if c != "view"]
-    each = df.select(*names, base.alias("__base"), F.posexplode(F.arrays_zip(first.alias("before"), second.alias("run"))).alias("__pos", "__t"))
-    length = F.length("__t.before") if p.own else F.length("__t.before") + F.length("__t.run")
-    inside = Window.partitionBy("__row").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(length).over(inside)
-    start = end - F.length("__t.before") if p.own else end - F.length("__t.run")
-    placed = each.select(*names, (F.col("__base") + start).alias("offset"), F.col("__t.run").alias("run"))
-    return placed.where(F.coalesce(F.length("run"), F.lit(0)) > 0)
-
-
-def _by_table(e: Encoding):
-    """An Arrow function from a run's bytes to its text."""
-    if e.name == "iso2022-jp":
-        kanji = codecs.kanji_pairs()
-        decode = lambda raw: codecs.decode_iso2022jp(raw, kanji)
-    else:
-        table, singles, four = codecs.pair_table(e.name), frozenset(codecs.single_bytes(e.name)), e.name == "gb18030"
-        decode = lambda raw: codecs.decode_pairs(raw, table, singles, four, 0xFEC0)
-
-    @F.pandas_udf("string")
-    def run_text(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda x: decode(bytes(x)))
-
-    return run_text
-
-
-def text_of(e: Encoding, run: Column) -> Column:
-    """The text of a run, given as a view of its bytes."""
-    raw = F.encode(run, "ISO-8859-1")
-    if e.name == "ascii":
-        return run
-    if e.name == "windows-1251":
-        return F.translate(run, "".join(map(chr, range(0x80, 0x100))), "".join(CP1251[0x80:]))
-    if e.name == "utf16le-ascii":
-        return F.regexp_replace(run, r"([\s\S])[\s\S]", "$1")
-    if e.name == "utf16le":
-        return F.decode(raw, "UTF-16LE")
-    if e.name == "utf8":
-        return F.decode(raw, "UTF-8")
-    return _by_table(e)(raw)
-
-
-def parities(e: Encoding) -> tuple[int, ...]:
-    return (0, 1) if e.name.startswith("utf16le") else (0,)
-
-
-def finished(runs: DataFrame, e: Encoding, keep: Iterable[str] = ()) -> DataFrame:
-    """path, offset, run -> the output columns (and those to keep)."""
-    text = text_of(e, F.col("run"))
-    return runs.select(
-        "path", F.col("offset").cast("long").alias("offset"), F.lit(e.code).cast("short").alias("encoding_code"), F.lit(e.label).alias("encoding"),
-        F.length("run").cast("long").alias("cb"), text.alias("text"), *keep,
-    ).withColumn("cch", F.length("text").cast("long"))
-
-
-def unresolved(df: DataFrame, e: Encoding, names: tuple[str, ...], least: int) -> DataFrame:
-    """All candidate runs of one encoding over (path, bytes, __row); for utf16le also parity and whether a run meets an end of the input."""
-    p = pattern(e.name, names)
-    parts = []
-    for parity in parities(e):
-        shown = view(F.substring("bytes", parity + 1, 2**31 - 1)) if p.width == 2 else view(F.col("bytes"))
-        rows = df.select("path", "__row", F.length("bytes").cast("long").alias("size"), shown.alias("view"))
-        runs = tokens(rows, p, F.lit(parity), least, 0)
-        if e.name == "utf16le":
-            runs = runs.withColumn("parity", F.lit(parity)).withColumn("edge", (F.col("offset") == parity) | (F.col("offset") + F.length("run") >= F.col("size")))
-        parts.append(runs)
-    runs = parts[0]
-    for more in parts[1:]:
-        runs = runs.unionByName(more)
-    return finished(runs, e, ("parity", "edge") if e.name == "utf16le" else ())
-
-
-def scan_one(df: DataFrame, e: Encoding, names: tuple[str, ...], least: int) -> DataFrame:
-    runs = unresolved(df, e, names, least)
-    if e.name == "utf16le":
-        from glyphvein.operators.parity import resolved
-
-        runs = resolved(runs, least)
-    return runs.where(F.col("cch") >= least).select(*OUTPUT)
+from glyphvein.functions import filters
+from glyphvein.operators.runs import RUN_FIELDS, RUN_SCHEMA, Scanner, run_batches, scanner
 
+OUTPUT = ("path", *RUN_FIELDS)
+OUTPUT_SCHEMA = f"path string, {RUN_SCHEMA}"
 
-def scan(df: DataFrame, encodings_: str | Iterable[str] = encodings.DEFAULT, filters_: str | Iterable[str] = "ascii", min_length: int = 4) -> DataFrame:
-    """Runs in df (path, bytes), one row of output columns each. Inputs with null bytes have none."""
+
+def asked(encodings_: str | Iterable[str], filters_: str | Iterable[str], min_length: int) -> list[tuple[str, tuple[str, ...], int]]:
+    """What makes each scanner, checked on the driver."""
     if min_length < 1:
         raise ValueError("min-length must be at least 1")
     names = filters.chosen(filters_)
-    rows = df.select("path", "bytes").where(F.length("bytes") > 0).withColumn("__row", F.monotonically_increasing_id())
-    out = None
-    for e in encodings.chosen(encodings_):
-        one = scan_one(rows, e, names, min_length)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return [(e.name, names, min_length) for e in encodings.chosen(encodings_)]
+
+
+def scanners(wanted: list[tuple[str, tuple[str, ...], int]]) -> list[Scanner]:
+    """The scanners, made once in each worker."""
+    return [scanner(*w) for w in wanted]
+
+
+def scan(df: DataFrame, encodings_: str | Iterable[str] = encodings.DEFAULT, filters_: str | Iterable[str] = "ascii", min_length: int = 4) -> DataFrame:
+    """Runs in df (path, bytes), one row of output columns each. Inputs with null bytes have none."""
+    wanted = asked(encodings_, filters_, min_length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = scanners(wanted)
+        for batch in batches:
+            yield from run_batches(own, batch.column(1), {"path": batch.column(0)})
+
+    return df.select("path", "bytes").mapInArrow(run, OUTPUT_SCHEMA)
 
 
 def merged(runs: DataFrame) -> DataFrame:
     """Output order: by offset, then encoding code; runs of different encodings at one offset all stay."""
     return runs.orderBy("path", "offset", "encoding_code")
+
+
+def counted(runs: DataFrame) -> DataFrame:
+    """How many runs each encoding has: the same for any chunk size."""
+    return runs.groupBy("encoding_code", "encoding").agg(F.count("*").alias("found"), F.sum("cb").alias("bytes"), F.max("cch").alias("longest"))

@@ -1,92 +1,110 @@
 """Scanning of inputs that come in chunks, with the results of a scan of the whole.
 
-A byte that cannot belong to any run ends every run under every reading. So each chunk is cut at
-such bytes: what lies between its first and last is scanned in place; the pieces before and after,
-two a chunk at most, are shuffled, joined where they adjoin (gaps and islands), and scanned then.
+At a cut (a byte that cannot belong to any run) nothing is open under any reading. What lies between the first
+and the last cut of a chunk is scanned in place; the pieces before and after, two a chunk at most, are joined with
+those of the next chunk by the place where they meet, and scanned then. Chunks without a cut are strung together
+first, within stretches of the input: no step takes all pieces of an input into one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphvein import encodings
-from glyphvein.encodings import Encoding
-from glyphvein.functions import filters
-from glyphvein.operators.parity import resolved
-from glyphvein.operators.patterns import Pattern, pattern
-from glyphvein.operators.scan import OUTPUT, finished, parities, tokens, view
+from glyphvein.operators.runs import one_value, run_batches
+from glyphvein.operators.scan import OUTPUT, OUTPUT_SCHEMA, asked, scanners
 
 #: Most bytes of a joined piece: a Spark value holds no more.
 MOST = 1 << 30
-
-
-def fragments(chunks: DataFrame, p: Pattern, parity: int) -> tuple[DataFrame, DataFrame]:
-    """Of chunks (path, chunk_off, bytes, lookahead, file_len): pieces at the edges, and what is between."""
-    data = F.concat("bytes", F.coalesce(F.substring("lookahead", 1, 1), F.lit(b""))) if p.width == 2 else F.col("bytes")
-    shown = view(F.substring(data, parity + 1, 2**31 - 1)) if p.width == 2 else view(data)
-    if p.width == 2:  # whole units; at an even length none straddles the end of parity 0
-        count = F.floor((F.length("bytes") + F.length(F.coalesce(F.substring("lookahead", 1, 1), F.lit(b""))) * parity - parity) / 2) * 2
-        shown = F.substring(shown, F.lit(1), count.cast("int"))
-    rows = chunks.select("path", "file_len", (F.col("chunk_off") + parity).alias("at"), shown.alias("v"))
-    rows = rows.withColumn("head", F.regexp_extract("v", rf"\A((?:{p.shaped})*+)", 1))
-    whole = F.length("head") == F.length("v")
-    rows = rows.withColumn("tail", F.when(whole, F.lit("")).otherwise(F.reverse(F.regexp_extract(F.reverse("v"), rf"\A((?:{p.backwards})*+)", 1))))
-    head = rows.where(F.length("head") > 0).select("path", "file_len", F.col("at").alias("start"), F.col("head").alias("piece"))
-    tail = rows.where(F.length("tail") > 0).select("path", "file_len", (F.col("at") + F.length("v") - F.length("tail")).alias("start"), F.col("tail").alias("piece"))
-    between = rows.where(F.length("head") + F.length("tail") < F.length("v")).select(
-        "path", "file_len", (F.col("at") + F.length("head")).alias("start"), F.expr("substring(v, length(head) + 1, length(v) - length(head) - length(tail))").alias("piece")
-    )
-    return head.unionByName(tail), between
-
-
-def islands(pieces: DataFrame) -> DataFrame:
-    """Adjoining pieces joined, each row an island. Skewed only by a single run that spans very many chunks."""
-    order = Window.partitionBy("path").orderBy("start")
-    apart = F.coalesce((F.lag(F.col("start") + F.length("piece")).over(order) != F.col("start")).cast("int"), F.lit(1))
-    numbered = pieces.withColumn("apart", apart).withColumn("island", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    grown = numbered.groupBy("path", "island").agg(
-        F.first("file_len").alias("file_len"), F.min("start").alias("start"), F.sum(F.length("piece")).alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), "").alias("piece")
+HEAD, TAIL, WHOLE = 0, 1, 2
+_PIECES = "path string, encoding_code short, kind int, start long, size long, file_len long, piece binary"
+
+
+def _bounds(s, data: np.ndarray, first: bool, last: bool) -> tuple[int, int]:
+    """What of a chunk is scanned in place; begin above end where there is no cut."""
+    n = len(data)
+    begin, end = (0 if first else s.next_cut(data, 0)), (n if last else s.last_cut(data))
+    return (begin, end) if begin is not None and end is not None else (n, 0) if not first else (0, 0) if not last else (n, n)
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray, int]]:
+    for k in range(batch.num_rows):
+        data = batch.column("bytes")[k].as_buffer()
+        yield batch.column("path")[k].as_py(), batch.column("chunk_off")[k].as_py(), np.frombuffer(data, np.uint8), batch.column("file_len")[k].as_py()
+
+
+def inner_runs(chunks: DataFrame, wanted: list[tuple]) -> DataFrame:
+    """Runs between the first and last cut of each chunk; the input's ends count as cuts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = scanners(wanted)
+        for batch in batches:
+            for path, off, data, total in _chunks(batch):
+                for s in own:
+                    begin, end = _bounds(s, data, off == 0, off + len(data) == total)
+                    if begin < end:
+                        yield from run_batches([s], one_value(data[:end], begin), {"path": pa.array([path])}, np.array([off + begin]), np.array([total]))
+
+    return chunks.select("path", "chunk_off", "bytes", "file_len").where(F.length("bytes") > 0).mapInArrow(run, OUTPUT_SCHEMA)
+
+
+def pieces(chunks: DataFrame, wanted: list[tuple]) -> DataFrame:
+    """What each chunk has before its first and after its last cut, or the whole of it, for each encoding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = scanners(wanted)
+        for batch in batches:
+            for path, off, data, total in _chunks(batch):
+                n, first, last = len(data), off == 0, off + len(data) == total
+                for s in own:
+                    begin, end = _bounds(s, data, first, last)
+                    parts = [(WHOLE, 0, n)] if begin > end else [(HEAD, 0, begin)] * (not first) + [(TAIL, end, n)] * (not last)
+                    for kind, i, j in parts:
+                        if i < j:
+                            yield pa.RecordBatch.from_pylist([{"path": path, "encoding_code": s.encoding.code, "kind": kind, "start": off + i, "size": j - i, "file_len": total, "piece": data[i:j].tobytes()}], schema)
+
+    schema = pa.schema([("path", pa.string()), ("encoding_code", pa.int16()), ("kind", pa.int32()), ("start", pa.int64()), ("size", pa.int64()), ("file_len", pa.int64()), ("piece", pa.binary())])
+    return chunks.select("path", "chunk_off", "bytes", "file_len").where(F.length("bytes") > 0).mapInArrow(run, _PIECES)
+
+
+def islands(parts: DataFrame) -> DataFrame:
+    """Pieces that adjoin, as one row: path, encoding_code, start, file_len, piece."""
+    end = F.col("start") + F.col("size")
+    bucket = F.floor(F.col("start") / (2 * MOST))
+    # A string of whole chunks is found within its stretch of the input and the one before: a longer one is an error.
+    inside = Window.partitionBy("path", "encoding_code", "bucket").orderBy("start")
+    whole = parts.where(F.col("kind") == WHOLE).select("path", "encoding_code", "start", "size", bucket.alias("own")).withColumn("bucket", F.explode(F.array("own", F.col("own") + 1)))
+    fresh = F.coalesce(F.lag(end).over(inside) != F.col("start"), F.lit(True))
+    strung = whole.withColumn("fresh", fresh).withColumn("key", F.last(F.when(F.col("fresh"), F.col("start")), ignorenulls=True).over(inside)).where("bucket = own")
+    strung = strung.select("path", "encoding_code", end.alias("at"), F.when(end - F.col("key") > MOST, F.raise_error(F.lit("a run spans more than 1 GiB"))).otherwise(F.col("key")).cast("long").alias("key"))
+    # A head meets what ends where it starts; a tail's key is where it ends, which is where the first of what follows starts.
+    meets = F.when(F.col("kind") == TAIL, end).when(F.col("kind") == WHOLE, end).otherwise(F.col("start"))
+    placed = parts.withColumn("at", meets).join(strung, ["path", "encoding_code", "at"], "left")
+    placed = placed.withColumn("key", F.when(F.col("kind") == TAIL, F.col("at")).otherwise(F.coalesce("key", "at")))
+    joined = placed.groupBy("path", "encoding_code", "key").agg(
+        F.min("start").alias("start"), F.first("file_len").alias("file_len"), F.sum("size").alias("bytes"), F.expr("listagg(piece) WITHIN GROUP (ORDER BY start)").alias("piece")
     )
-    checked = F.when(F.col("size") > MOST, F.raise_error(F.lit("a run spans more than 1 GiB"))).otherwise(F.col("piece"))
-    return grown.select("path", "file_len", "start", checked.alias("piece"))
-
-
-def _scanned(pieces: DataFrame, p: Pattern) -> DataFrame:
-    """Runs of pieces; those that end at the input's end, or a byte before, have rules of their own where the encoding has."""
-    rows = pieces.select("path", "file_len", "start", F.col("piece").alias("view")).withColumn("__row", F.monotonically_increasing_id())
-    if not p.own and p.tails == ("", ""):
-        return tokens(rows, p, F.col("start"), 1, 2)
-    left = F.col("file_len") - F.col("start") - F.length("view")
-    return tokens(rows.where(left == 0), p, F.col("start"), 1, 0).unionByName(tokens(rows.where(left == 1), p, F.col("start"), 1, 1)).unionByName(tokens(rows.where(left >= 2), p, F.col("start"), 1, 2))
-
-
-def chunked_runs(chunks: DataFrame, e: Encoding, names: tuple[str, ...], least: int) -> DataFrame:
-    p = pattern(e.name, names)
-    out = None
-    for parity in parities(e):
-        edges, between = fragments(chunks, p, parity)
-        runs = _scanned(islands(edges), p).unionByName(_scanned(between, p))
-        runs = runs.withColumn("parity", F.lit(parity)).withColumn("edge", (F.col("offset") == parity) | (F.col("offset") + F.length("run") >= F.col("file_len")))
-        out = runs if out is None else out.unionByName(runs)
-    done = finished(out, e, ("parity", "edge"))
-    if e.name == "utf16le":
-        done = resolved(done, least)
-    return done.where(F.col("cch") >= least).select(*OUTPUT)
+    checked = F.when(F.col("bytes") > MOST, F.raise_error(F.lit("a run spans more than 1 GiB")).cast("binary")).otherwise(F.col("piece"))
+    return joined.select("path", "encoding_code", "start", "file_len", checked.alias("piece"))
 
 
 def scan_chunks(chunks: DataFrame, encodings_: str | Iterable[str] = encodings.DEFAULT, filters_: str | Iterable[str] = "ascii", min_length: int = 4) -> DataFrame:
-    """Runs of inputs in chunks (path, chunk_off, bytes, lookahead, file_len), equal to those of the whole inputs.
-
-    Chunks are even in size, but for an input's last; lookahead is the next chunk's first bytes.
-    """
-    if min_length < 1:
-        raise ValueError("min-length must be at least 1")
-    names = filters.chosen(filters_)
-    out = None
-    for e in encodings.chosen(encodings_):
-        one = chunked_runs(chunks, e, names, min_length)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Runs of inputs in chunks (path, chunk_off, bytes, file_len), equal to those of the whole inputs."""
+    wanted = asked(encodings_, filters_, min_length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = scanners(wanted)
+        for batch in batches:
+            code = np.asarray(batch.column("encoding_code"))
+            for s in own:
+                rows = batch.take(pa.array(np.flatnonzero(code == s.encoding.code)))
+                if rows.num_rows:
+                    yield from run_batches([s], rows.column("piece"), {"path": rows.column("path")}, np.asarray(rows.column("start")), np.asarray(rows.column("file_len")))
+
+    met = islands(pieces(chunks, wanted)).mapInArrow(run, OUTPUT_SCHEMA)
+    return inner_runs(chunks, wanted).unionByName(met).select(*OUTPUT)

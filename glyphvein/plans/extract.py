@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from glyphvein import encodings
 from glyphvein.functions import filters
 from glyphvein.functions.expressions import parse_size
-from glyphvein.operators.scan import merged, parities
-from glyphvein.operators.patterns import pattern
-from glyphvein.operators.stitch import fragments, scan_chunks
-from glyphvein.sources.chunks import byte_ranges, cut, read_files
+from glyphvein.operators.scan import asked, counted, merged
+from glyphvein.operators.stitch import inner_runs, pieces, scan_chunks
+from glyphvein.sources.chunks import byte_ranges, cut, ranged, read_files, text_runs
 
 #: Default chunk for inputs that only Spark's readers open: one chunk is one row.
 CHUNK = "16M"
+found = counted
 
 
 @dataclass(frozen=True)
@@ -42,28 +41,39 @@ class Options:
 
 
 def chunks(spark: SparkSession, path: str, options: Options) -> DataFrame:
-    """Ranges of a local file or folder; of other stores, whole files that are then cut."""
-    if os.path.exists(path):
+    """Ranges of files in stores that tasks read by range; of other stores, whole files that are then cut."""
+    if ranged(path):
         return byte_ranges(spark, path, options.chunk_size, options.jobs or None)
     return cut(read_files(spark, path), parse_size(options.chunk_size or CHUNK))
 
 
+def unordered(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:
+    """All runs in the files at path. Files read by range are scanned where they are read, without a shuffle."""
+    if ranged(path):
+        return text_runs(spark, path, options.encodings, options.filters, options.min_length, options.chunk_size, options.jobs or None)
+    return scan_chunks(chunks(spark, path, options), options.encodings, options.filters, options.min_length)
+
+
 def extract(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:
     """All runs in the files at path, in output order."""
-    return merged(scan_chunks(chunks(spark, path, options), options.encodings, options.filters, options.min_length))
+    return merged(unordered(spark, path, options))
 
 
-def found(runs: DataFrame) -> DataFrame:
-    """How many runs each encoding has: the same for any chunk size."""
-    return runs.groupBy("encoding_code", "encoding").agg(F.count("*").alias("found"), F.sum("cb").alias("bytes"), F.max("cch").alias("longest"))
+def observed(runs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Observation]:
+    """runs, and what becomes known of them when they are written: how many runs each encoding has."""
+    seen = Observation("found")
+    per: list[Column] = [F.count(F.when(F.col("encoding_code") == e.code, 1)).alias(e.name) for e in encodings.chosen(names)]
+    return runs.observe(seen, *per), seen
 
 
 def shuffled(chunk_rows: DataFrame, options: Options) -> DataFrame:
     """How many pieces at chunk edges each encoding sends to be joined: grows as chunks shrink."""
-    out = None
-    for e in encodings.chosen(options.encodings):
-        for parity in parities(e):
-            edges, _ = fragments(chunk_rows, pattern(e.name, options.filters), parity)
-            one = edges.agg(F.count("*").alias("pieces")).select(F.lit(e.code).cast("short").alias("encoding_code"), F.lit(parity).alias("parity"), "pieces")
-            out = one if out is None else out.unionByName(one)
-    return out
+    wanted = asked(options.encodings, options.filters, options.min_length)
+    return pieces(chunk_rows, wanted).groupBy("encoding_code").agg(F.count("*").alias("pieces"))
+
+
+def scanned(chunk_rows: DataFrame, options: Options) -> DataFrame:
+    """How many records each encoding has before joining: runs inside chunks, and pieces at their edges."""
+    wanted = asked(options.encodings, options.filters, options.min_length)
+    both = inner_runs(chunk_rows, wanted).select("encoding_code").unionByName(pieces(chunk_rows, wanted).select("encoding_code"))
+    return both.groupBy("encoding_code").agg(F.count("*").alias("scanned"))

@@ -13,7 +13,7 @@ from glyphvein.functions.regex import ranges
 from glyphvein.operators.scan import scan
 from glyphvein.operators.stitch import scan_chunks
 from glyphvein.plans.extract import found
-from glyphvein.sources.chunks import column_values, cut
+from glyphvein.sources.chunks import charset_values, column_values, cut
 from glyphvein.sources.lines import lines
 
 DOUBLE = ("cp932", "gbk", "euc-kr", "big5", "gb18030")
@@ -87,8 +87,101 @@ def _chunked(encoding: str, size: int, name: str = "documents", charset: str = "
     return lambda spark, sf_dir: scan_chunks(cut(_values(spark, sf_dir, name, charset), size), encoding)
 
 
-#: Filters with at most a few ranges, whose characters a class can name.
-COUNTED = tuple(n for n in filters.RANGES if n != "kanji-ext-b")
+# ---------------------------------------------------------------- text in other charsets
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: What the letters of the documents are replaced by, so that their text is one of the charset's own: (codec, characters of two bytes, of four, filter).
+OWN = {
+    "cp932": ("cp932", "あいうえおカキクケコ吾輩猫名前無表示能能予申ｱｲｳｴ"[:26], "", "ascii"),
+    "gbk": ("gb18030", "的一是不了人我在有他这为之大来以个中上们到说国和地也", "", "ascii"),
+    "euc-kr": ("cp949", "가나다라마바사아자차카타파하갂갃똠뷁한국어테스트글말", "", "ascii"),
+    "big5": ("big5hkscs", "的一是不了人我在有他這為功許蓋之大來以個中上們到說國", "", "ascii"),
+    "gb18030": ("gb18030", "的一是不了人我在有他这为之大来以个中上们", "ÀÑ𠀀😀ĀŁ", "ascii"),
+    "windows-1251": ("cp1251", "абвгдежзийклмнопрстуфхцчшщ", "", "ascii,cyrillic"),
+    "iso2022-jp": ("iso2022_jp", "あいうえおカキクケコ吾輩猫名前無表示能化予申十百千万", "", "ascii"),
+}
+#: Readings at the other alignment of these are of the same kind.
+WIDE = "乏乎乍乐乑亂亃亄亅了于亏五井亖亗亘亙亚些亜亝亞亟云亓"
+
+
+def _shown(text: str, letters: str, every: str = "") -> str:
+    """ASCII text with its letters replaced; every: the flag of a replacement of all matches, which Spark needs not."""
+    return f"translate(regexp_replace({text}, '[^\\t\\n -~]', ''{every}), '{LETTERS}', '{letters}')"
+
+
+def _own(spark: SparkSession, sf_dir: str, encoding: str) -> DataFrame:
+    codec, two, four, _ = OWN[encoding]
+    key, text = TABLES["documents"]
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"{key} AS key", f"{_shown(text, two + four)} AS text")
+    return charset_values(rows, "key", "text", codec)
+
+
+def _scan_own(encoding: str):
+    return lambda spark, sf_dir: scan(_own(spark, sf_dir, encoding), encoding, OWN[encoding][3])
+
+
+def _chunked_own(encoding: str, size: int):
+    return lambda spark, sf_dir: scan_chunks(cut(_own(spark, sf_dir, encoding), size), encoding, OWN[encoding][3])
+
+
+def _count(token: str, cls: str) -> str:
+    return f"length(regexp_replace({token}, '[^{cls}]', '', 'g'))" if cls else "0"
+
+
+def _own_sql(encoding: str) -> str:
+    """Runs of ASCII and the charset's own characters; sizes by how many bytes each has."""
+    _, two, four, _ = OWN[encoding]
+    key, text = TABLES["documents"]
+    e, single = BY_NAME[encoding], encoding == "windows-1251"
+    double = "" if single else "".join(c for c in two if not "｡" <= c <= "ﾟ")
+    cls = ASCII + two + four
+    size = f"(length(tok) + {_count('tok', double)} + 3 * {_count('tok', four)})"
+    cb = size
+    if encoding == "iso2022-jp":  # each stretch of two-byte characters stands between escapes, the last of which is no part of a run
+        size = f"({size} + 6 * len(regexp_extract_all(tok, '[{double}]+')))"
+        cb = f"({size} - CASE WHEN regexp_matches(tok, '[{double}]$') THEN 3 ELSE 0 END)"
+    shown = _shown(text, two + four, ", 'g'")
+    return f"""
+        WITH tokens AS (SELECT {key} AS path, regexp_extract_all({shown}, '[{cls}]+|[^{cls}]+') AS toks FROM documents),
+        each AS (SELECT path, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM tokens),
+        placed AS (SELECT path, tok, sum({size}) OVER (PARTITION BY path ORDER BY i) - {size} AS place FROM each)
+        SELECT path, CAST(place AS BIGINT) AS "offset", CAST({e.code} AS SMALLINT) AS encoding_code, '{e.label}' AS encoding,
+            CAST({cb} AS BIGINT) AS cb, CAST(length(tok) AS BIGINT) AS cch, tok AS text
+        FROM placed WHERE length(tok) >= 4 AND regexp_matches(tok, '^[{cls}]')"""
+
+
+def scan_utf16le_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text whose bytes are kanji at either alignment: one reading of each place stays."""
+    key, text = TABLES["documents"]
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"{key} AS key", f"{_shown(text, WIDE)} AS text")
+    return scan(column_values(rows, "key", "text", "UTF-16LE"), "utf16le", "ascii,kanji")
+
+
+def _wide_sql(shown: str, admitted: str) -> str:
+    """Units at both alignments, islands of admitted ones, and of two that overlap the one that stays."""
+    key = TABLES["documents"][0]
+    return f"""
+        WITH chars AS (SELECT {key} AS path, regexp_extract_all({shown}, '(?s).') AS cs FROM documents),
+        c AS (SELECT path, ord(unnest(cs)) AS u, generate_subscripts(cs, 1) - 1 AS k FROM chars),
+        units AS (SELECT path, k, 0 AS parity, u FROM c
+            UNION ALL SELECT path, k, 1, (u >> 8) | ((lead(u) OVER (PARTITION BY path ORDER BY k) & 255) << 8) FROM c),
+        ok AS (SELECT *, k - row_number() OVER (PARTITION BY path, parity ORDER BY k) AS g FROM units WHERE u = 9 OR u BETWEEN 32 AND 126 OR {admitted}),
+        runs AS (SELECT path, parity, 2 * min(k) + parity AS place, 2 * count(*) AS cb, count(*) AS cch, string_agg(chr(CAST(u AS INTEGER)), '' ORDER BY k) AS text, bool_and(u < 127) AS plain FROM ok GROUP BY path, parity, g),
+        size AS (SELECT path, 2 * len(cs) AS total FROM chars),
+        able AS (SELECT r.* FROM runs r JOIN size USING (path) WHERE cch >= 4 OR place = parity OR place + cb >= total),
+        met AS (SELECT a.path, CASE WHEN a.plain AND NOT b.plain OR a.plain = b.plain AND a.cb >= b.cb THEN b.place ELSE a.place END AS place
+            FROM able a JOIN able b ON a.path = b.path AND a.parity = 0 AND b.parity = 1 AND a.place < b.place + b.cb AND b.place < a.place + a.cb)
+        SELECT path, CAST(place AS BIGINT) AS "offset", CAST(2 AS SMALLINT) AS encoding_code, 'UTF16LE' AS encoding, CAST(cb AS BIGINT) AS cb, CAST(cch AS BIGINT) AS cch, text
+        FROM runs WHERE cch >= 4 AND NOT EXISTS (SELECT 1 FROM met WHERE met.path = runs.path AND met.place = runs.place)"""
+
+
+_PRINTABLE = "u BETWEEN 160 AND 55295 OR u BETWEEN 63744 AND 64975 OR u BETWEEN 65008 AND 65533"
+_KANJI = "u BETWEEN 13312 AND 19903 OR u BETWEEN 19968 AND 40959"
+
+# ---------------------------------------------------------------- character classes
+
+#: Two letters of each kind: Latin-1, Cyrillic, kanji of three sorts and beyond the BMP, hiragana, katakana, Hangul, punctuation, and what none but the widest admit.
+KINDS = "éßжЩ亜弌丂𠀀𪛖あゟカ・한ㄱ、（〄￠αÿ"
 
 
 def _class(name: str, form: str) -> str:
@@ -97,15 +190,15 @@ def _class(name: str, form: str) -> str:
 
 
 def characters_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many characters of each document each filter admits."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts = [F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[{_class(n, '\\x{{{:x}}}')}]")).cast("long").alias(n.replace("-", "_")) for n in COUNTED]
+    """How many characters each filter admits of each document, some of whose letters are replaced by characters of all kinds."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"translate(coalesce(text, ''), '{LETTERS[: len(KINDS)]}', '{KINDS}') AS text")
+    counts = [F.regexp_count("text", F.lit(f"[{_class(n, '\\x{{{:x}}}')}]")).cast("long").alias(n.replace("-", "_")) for n in filters.NAMES]
     return docs.select("doc_id", *counts)
 
 
 def _characters_sql() -> str:
-    columns = ", ".join(f"CAST(length(regexp_replace(coalesce(text, ''), '[^{_class(n, '\\x{{{:x}}}')}]', '', 'g')) AS BIGINT) AS {n.replace('-', '_')}" for n in COUNTED)
-    return f"SELECT doc_id, {columns} FROM documents"
+    columns = ", ".join(f"CAST(length(regexp_replace(text, '[^{_class(n, '\\x{{{:x}}}')}]', '', 'g')) AS BIGINT) AS {n.replace('-', '_')}" for n in filters.NAMES)
+    return f"SELECT doc_id, {columns} FROM (SELECT doc_id, translate(coalesce(text, ''), '{LETTERS[: len(KINDS)]}', '{KINDS}') AS text FROM documents)"
 
 
 def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,13 +241,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_utf8_pages": _scan("pages", "utf8"),
         "scan_iso2022jp_documents": _scan("documents", "iso2022-jp"),
         "scan_win1251_documents": _scan("documents", "windows-1251"),
-        "scan_win1251_cyrillic_documents": _scan("documents", "windows-1251", "ascii,cyrillic"),
+        "scan_win1251_cyrillic_documents": _scan_own("windows-1251"),
+        "scan_iso2022jp_kanji": _scan_own("iso2022-jp"),
+        "scan_utf16le_wide": scan_utf16le_wide,
         "scan_utf16le_ascii_documents": _scan("documents", "utf16le-ascii", charset="UTF-16LE"),
         "scan_utf16le_ascii_latin1": _scan("documents", "utf16le-ascii", "ascii,latin1", charset="UTF-16LE"),
         "scan_utf16le_documents": _scan("documents", "utf16le", charset="UTF-16LE"),
         "scan_utf16le_printable": _scan("documents", "utf16le", "printable", charset="UTF-16LE"),
     }
-    found_ |= {f"scan_{e.replace('-', '')}_documents": _scan("documents", e) for e in DOUBLE}
+    found_ |= {f"scan_{e.replace('-', '')}_documents": _scan_own(e) for e in DOUBLE}
     found_ |= {f"scan_{e.replace('-', '')}_part": _scan("part", e) for e in DOUBLE}
     found_ |= {
         "chunked_ascii_documents": _chunked("ascii", 64),
@@ -162,6 +257,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chunked_utf16le_ascii": _chunked("utf16le-ascii", 128, charset="UTF-16LE"),
         "chunked_iso2022jp_documents": _chunked("iso2022-jp", 128),
         "chunked_gb18030_part": _chunked("gb18030", 6, "part"),
+        "chunked_cp932_documents": _chunked_own("cp932", 64),
+        "chunked_gb18030_documents": _chunked_own("gb18030", 64),
+        "chunked_iso2022jp_kanji": _chunked_own("iso2022-jp", 64),
         "merge_encodings": merge_encodings,
         "line_format": line_format,
         "string_only": string_only,
@@ -186,6 +284,13 @@ def oracle_sql() -> dict[str, str]:
         "scan_utf16le_ascii_documents": _runs_sql("documents", "utf16le-ascii", unit=wide),
         "scan_utf16le_ascii_latin1": _runs_sql("documents", "utf16le-ascii", LATIN1, unit=wide),
         "scan_utf16le_documents": _runs_sql("documents", "utf16le", unit=wide),
+        "scan_utf16le_printable": _wide_sql("text", _PRINTABLE),
+        "scan_utf16le_wide": _wide_sql(_shown("text", WIDE, ", 'g'"), _KANJI),
+        "scan_win1251_cyrillic_documents": _own_sql("windows-1251"),
+        "scan_iso2022jp_kanji": _own_sql("iso2022-jp"),
+        "chunked_cp932_documents": _own_sql("cp932"),
+        "chunked_gb18030_documents": _own_sql("gb18030"),
+        "chunked_iso2022jp_kanji": _own_sql("iso2022-jp"),
         "chunked_ascii_documents": _runs_sql("documents", "ascii"),
         "chunked_utf8_documents": _runs_sql("documents", "utf8", TEXT),
         "chunked_utf16le_ascii": _runs_sql("documents", "utf16le-ascii", unit=wide),
@@ -193,6 +298,7 @@ def oracle_sql() -> dict[str, str]:
         "chunked_gb18030_part": _runs_sql("part", "gb18030"),
     }
     sql |= {f"scan_{e.replace('-', '')}_part": _runs_sql("part", e) for e in DOUBLE}
+    sql |= {f"scan_{e.replace('-', '')}_documents": _own_sql(e) for e in DOUBLE}
     three = _union(_runs_sql("documents", "ascii"), _runs_sql("documents", "utf8", TEXT), _runs_sql("documents", "iso2022-jp"))
     line = """lpad(CAST("offset" AS VARCHAR), 20, '0') || chr(9) || encoding || chr(9) || text"""
     sql |= {

@@ -1,17 +1,25 @@
-"""Sources: whole files, values of a column, and byte ranges of large files."""
+"""Sources: whole files, values of a column, byte ranges of large files, and the runs in such ranges."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from glyphvein.functions.expressions import auto_chunk_size, parse_size
+from glyphvein.operators.runs import Scanner, one_value, run_batches
+from glyphvein.operators.scan import OUTPUT_SCHEMA, asked, scanners
+from glyphvein.operators.stitch import MOST
 
 LOOKAHEAD = 3
+#: Bytes read at a time beyond a range, until every run is over.
+BEYOND = 1 << 16
 CHUNK_SCHEMA = "path string, chunk_off long, bytes binary, lookahead binary, file_len long"
 
 
@@ -25,6 +33,16 @@ def column_values(df: DataFrame, key: str, column: str, charset: str = "UTF-8")
     return df.select(F.col(key).cast("string").alias("path"), F.encode(column, charset).alias("bytes"))
 
 
+def charset_values(df: DataFrame, key: str, column: str, codec: str) -> DataFrame:
+    """path, bytes of a text column in a charset that Python has and Spark has not; what it lacks is left out."""
+
+    @F.pandas_udf("binary")
+    def coded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else t.encode(codec, "ignore"))
+
+    return df.select(F.col(key).cast("string").alias("path"), coded(column).alias("bytes"))
+
+
 def cut(df: DataFrame, chunk_size: int) -> DataFrame:
     """Rows of (path, bytes) cut into chunks of an even size."""
     chunk_size -= chunk_size % 2
@@ -42,23 +60,43 @@ class ByteRange(InputPartition):
         self.path, self.offset, self.size, self.total = path, offset, size, total
 
 
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a path or URI names, and the path in it. Raises for those that only Spark opens."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def ranged(path: str) -> bool:
+    """Whether tasks can read ranges of the files there, without Spark's readers."""
+    try:
+        return store(path)[0].get_file_info(store(path)[1]).type != fs.FileType.NotFound
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
 def input_files(path: str) -> list[tuple[str, int]]:
     """The file at path, or those of the folder, with their sizes; none may be empty or no regular file."""
-    names = sorted(os.path.join(path, n) for n in os.listdir(path)) if os.path.isdir(path) else [path]
-    for name in names:
-        if not os.path.isfile(name):
-            raise ValueError(f"not a regular file: {name}")
-        if not os.path.getsize(name):
-            raise ValueError(f"empty file: {name}")
-    return [(name, os.path.getsize(name)) for name in names]
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, chunk_size: int, jobs: int):
-        self.path = path
+    system, inner = store(path)
+    prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    info = system.get_file_info(inner)
+    found = sorted(system.get_file_info(fs.FileSelector(inner)), key=lambda f: f.path) if info.type == fs.FileType.Directory else [info]
+    for f in found:
+        if f.type != fs.FileType.File:
+            raise ValueError(f"not a regular file: {f.path}")
+        if not f.size:
+            raise ValueError(f"empty file: {f.path}")
+    return [(prefix + f.path, f.size) for f in found]
+
+
+class _Ranges(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        chunk = options.get("chunk_size", "")
+        asked_size = parse_size(chunk) if chunk else 0
+        if chunk and asked_size <= 0:
+            raise ValueError("chunk size must be greater than zero")
+        jobs = int(options.get("jobs", "8"))
         self.ranges = []
-        for name, total in input_files(path):
-            size = chunk_size or auto_chunk_size(total, jobs)
+        for name, total in input_files(options["path"]):
+            size = asked_size or auto_chunk_size(total, jobs)
             size = max(2, min(size, total + total % 2))
             size -= size % 2
             self.ranges += [ByteRange(name, at, min(size, total - at), total) for at in range(0, total, size)]
@@ -67,13 +105,77 @@ class _Reader(DataSourceReader):
         return self.ranges
 
     def read(self, partition: ByteRange) -> Iterator[tuple]:
-        with open(partition.path, "rb") as file:
-            file.seek(partition.offset)
-            data = file.read(partition.size)
-            ahead = file.read(LOOKAHEAD)
-        if len(data) < partition.size:
-            raise EOFError(f"{partition.path} is shorter than it was")
-        yield partition.path, partition.offset, data, ahead, partition.total
+        with _opened(partition) as file:
+            data = _exactly(file, partition, partition.offset, partition.size)
+            ahead = file.read_at(min(LOOKAHEAD, partition.total - partition.offset - partition.size), partition.offset + partition.size)
+        yield partition.path, partition.offset, bytes(data), bytes(ahead), partition.total
+
+
+def _opened(partition: ByteRange):
+    system, inner = store(partition.path)
+    return system.open_input_file(inner)
+
+
+def _exactly(file, partition: ByteRange, offset: int, size: int) -> pa.Buffer:
+    data = file.read_buffer(size) if file.seek(offset) == offset else b""
+    if len(data) < size:
+        raise EOFError(f"{partition.path} is shorter than it was")
+    return data
+
+
+class _Runs(_Ranges):
+    """Each range gives the runs from its first cut on to the first cut after its end, so ranges need not be joined."""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.wanted = asked(options["encodings"], options["filters"], int(options["min_length"]))
+
+    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        with _opened(partition) as file:
+            begin = max(partition.offset - 1, 0)  # the byte before tells whether a unit is open
+            data = np.frombuffer(_exactly(file, partition, begin, partition.offset + partition.size - begin), np.uint8)
+            for s in scanners(self.wanted):
+                first = 0 if partition.offset == 0 else s.next_cut(data, partition.offset - begin)
+                if first is None or begin + first >= partition.offset + partition.size:
+                    # with the byte after, a cut may show at the range's last byte
+                    whole, first = self._open_end(file, partition, s, data, begin, first)
+                    if first is None:
+                        continue
+                else:
+                    whole = self._beyond(file, partition, s, data, begin)
+                yield from run_batches([s], one_value(whole, first), {"path": pa.array([partition.path])}, np.array([begin + first]), np.array([partition.total]))
+
+    def _open_end(self, file, partition: ByteRange, s: Scanner, data: np.ndarray, begin: int, first: int | None):
+        end = partition.offset + partition.size
+        if end >= partition.total:
+            return data, None
+        more = np.concatenate([data, np.frombuffer(_exactly(file, partition, end, 1), np.uint8)])
+        first = s.next_cut(more, len(data) - 1)
+        if first is None or begin + first >= end:
+            return data, None
+        return self._beyond(file, partition, s, data, begin), first
+
+    def _beyond(self, file, partition: ByteRange, s: Scanner, data: np.ndarray, begin: int) -> np.ndarray:
+        """data, from begin, on to the first cut at or after the range's end."""
+        end, step, parts, looked = partition.offset + partition.size, BEYOND, [data], data[-1:]
+        while end < partition.total:
+            more = np.frombuffer(_exactly(file, partition, end, min(step, partition.total - end)), np.uint8)
+            seen = np.concatenate([looked, more])
+            at_end = end + len(more) == partition.total
+            stop = s.next_cut(seen, 1)
+            if stop is not None:
+                parts.append(more[: stop - 1])
+                break
+            if s.wide and not at_end:  # the last byte's unit is not whole yet
+                parts.append(more[:-1])
+                looked, end = more[-2:-1] if len(more) > 1 else looked, end + len(more) - 1
+            else:
+                parts.append(more)
+                looked, end = more[-1:], end + len(more)
+            step *= 2
+            if end - partition.offset - partition.size > MOST:
+                raise ValueError("a run spans more than 1 GiB")
+        return np.concatenate(parts)
 
 
 class ByteRanges(DataSource):
@@ -87,15 +189,34 @@ class ByteRanges(DataSource):
         return CHUNK_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        chunk = self.options.get("chunk_size", "")
-        size = parse_size(chunk) if chunk else 0
-        if chunk and size <= 0:
-            raise ValueError("chunk size must be greater than zero")
-        return _Reader(self.options["path"], size, int(self.options.get("jobs", "8")))
+        return _Ranges(self.options)
 
 
-def byte_ranges(spark: SparkSession, path: str, chunk_size: str | None = None, jobs: int | None = None) -> DataFrame:
+class TextRuns(DataSource):
+    """spark.read.format("text_runs"): the runs in byte ranges, found where they are read; options encodings, filters, min_length beside those of byte_ranges."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "text_runs"
+
+    def schema(self) -> str:
+        return OUTPUT_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Runs({"encodings": "ascii,utf16le-ascii", "filters": "ascii", "min_length": "4", **self.options})
+
+
+def _reader(spark: SparkSession, source: type[DataSource], path: str, chunk_size: str | None, jobs: int | None):
     input_files(path)
-    spark.dataSource.register(ByteRanges)
-    reader = spark.read.format("byte_ranges").option("jobs", str(jobs or spark.sparkContext.defaultParallelism))
-    return (reader.option("chunk_size", chunk_size) if chunk_size else reader).load(path)
+    spark.dataSource.register(source)
+    reader = spark.read.format(source.name()).option("jobs", str(jobs or spark.sparkContext.defaultParallelism))
+    return reader.option("chunk_size", chunk_size) if chunk_size else reader
+
+
+def byte_ranges(spark: SparkSession, path: str, chunk_size: str | None = None, jobs: int | None = None) -> DataFrame:
+    return _reader(spark, ByteRanges, path, chunk_size, jobs).load(path)
+
+
+def text_runs(spark: SparkSession, path: str, encodings_: tuple[str, ...], filters_: tuple[str, ...], min_length: int = 4, chunk_size: str | None = None, jobs: int | None = None) -> DataFrame:
+    reader = _reader(spark, TextRuns, path, chunk_size, jobs)
+    return reader.option("encodings", ",".join(encodings_)).option("filters", ",".join(filters_)).option("min_length", str(min_length)).load(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from typing import TextIO
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +22,17 @@ def write_lines(runs: DataFrame, path: str, string_only: bool = False, eol: str
     lines(runs, string_only).orderBy("path", "offset", "encoding_code").select("line").write.mode("overwrite").option("lineSep", eol).text(path)
 
 
-def write_file(runs: DataFrame, path: str, string_only: bool = False, eol: str = "\n") -> int:
-    """One local file in output order, taken partition by partition; returns how many lines it has."""
-    ordered = lines(runs, string_only).orderBy("path", "offset", "encoding_code").select("line")
-    n = 0
+def write_stream(runs: DataFrame, out: TextIO, string_only: bool = False, eol: str = "\n") -> Counter:
+    """Lines in output order, taken partition by partition; returns how many each encoding code has."""
+    ordered = lines(runs, string_only).orderBy("path", "offset", "encoding_code").select("encoding_code", "line")
+    seen: Counter = Counter()
+    for row in ordered.toLocalIterator():
+        out.write(row.line + eol)
+        seen[row.encoding_code] += 1
+    return seen
+
+
+def write_file(runs: DataFrame, path: str, string_only: bool = False, eol: str = "\n") -> Counter:
+    """One local file in output order."""
     with open(path, "w", encoding="utf-8", newline="") as out:
-        for row in ordered.toLocalIterator():
-            out.write(row.line + eol)
-            n += 1
-    return n
+        return write_stream(runs, out, string_only, eol)

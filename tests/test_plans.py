@@ -1,12 +1,17 @@
+import re
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from glyphvein.__main__ import main
+from glyphvein.encodings import ENCODINGS
 from glyphvein.functions import expressions as x
+from glyphvein.operators.scan import scan
 from glyphvein.plans import queries as core
-from glyphvein.plans.extract import Options, chunks, extract, found, shuffled
+from glyphvein.plans.extract import Options, chunks, extract, found, scanned, shuffled, unordered
 from glyphvein.streaming.scan import binary_files, scan_stream
 
 SF = "/root/testdata/sf0.001"
@@ -48,15 +53,43 @@ def test_extract_command_and_errors(spark, tmp_path, capsys):
     out = tmp_path / "out.txt"
     assert main([str(file), "-o", str(out), "--stats", "-c", "8"], spark) == 0
     assert out.read_text() == "".join(f"{o:020d}\t{e}\t{t}\n" for (o, t), e in zip(expected, ("ASCII", "UTF16LE", "ASCII"), strict=True))
-    assert "found 2" in capsys.readouterr().err
+    assert "ASCII (ascii): found 2" in capsys.readouterr().err
+    assert main([str(file), "-d", str(tmp_path / "lines"), "-vv", "-c", "16"], spark) == 0
+    assert "".join(p.read_text() for p in sorted((tmp_path / "lines").glob("part-*"))) == out.read_text() and "16 chunks" not in capsys.readouterr().out
     assert main([str(file), "-s", "-o", str(out), "-m", "5"], spark) == 0
     assert out.read_text() == "first text\ntwide text\n"
     (tmp_path / "empty").write_bytes(b"")
     assert main([str(tmp_path / "empty")], spark) == 1
     assert main([str(file), "-m", "0"], spark) == 1
     assert found(extract(spark, str(file))).count() == 2
-    few, many = (shuffled(chunks(spark, str(file), Options(chunk_size=c)), Options()).agg(F.sum("pieces")).first()[0] for c in ("1K", "4"))
+    few, many = (shuffled(chunks(spark, str(file), Options(chunk_size=c)), Options()).agg(F.sum("pieces")).first()[0] or 0 for c in ("1K", "4"))
     assert few < many
+    few, many = (scanned(chunks(spark, str(file), Options(chunk_size=c)), Options()).agg(F.sum("scanned")).first()[0] for c in ("1K", "4"))
+    assert few == 3 < many
+
+
+def test_ranges_give_the_runs_of_the_whole(spark, tmp_path):
+    """Each encoding, by path and by URI, at sizes that cut characters, escapes and units."""
+    parts = [b"abcd", b"\x00", "日本語".encode(), b"\x1b$BF|K\\\x1b(B", b"H\x00i\x00!\x00", b"\x81\x30\x84\x36", b"\x88b", "猫犬".encode("utf-16-le"), b"\xff\xfe\xff"]
+    data = b"".join(parts[k] for k in np.random.default_rng(3).integers(0, len(parts), 400))
+    file = tmp_path / "in.bin"
+    file.write_bytes(data)
+    names = tuple(e.name for e in ENCODINGS)
+    whole = spark.createDataFrame([("", bytearray(data))], "path string, bytes binary")
+    key = lambda rows: sorted((r.encoding_code, r.offset, r.cb, r.text) for r in rows)
+    expected = key(scan(whole, names, "ascii,kanji", 2).collect())
+    for size, path in (("64", str(file)), ("142", f"file://{file}")):
+        runs = extract(spark, path, Options(names, ("ascii", "kanji"), 2, chunk_size=size))
+        assert key(runs.collect()) == expected
+    assert "Exchange" not in unordered(spark, str(file))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_do_not_shuffle(spark):
+    for name in ("scan_ascii_documents", "scan_utf16le_printable", "scan_cp932_documents", "merge_encodings", "scan_utf8_documents"):
+        plan = core.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("FileScan") == 1, name
+    plan = core.queries()["chunked_ascii_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path#" in plan and not re.search(r"hashpartitioning\(path#\d+,? ?\d*\)", plan)
 
 
 def test_stream(spark, tmp_path):

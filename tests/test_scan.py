@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import models
 import numpy as np
+import pyarrow as pa
 import pytest
 from vectors import VECTORS
 
@@ -83,6 +84,29 @@ def test_long_run_and_order(spark):
     assert scan_chunks(cut(df, 4096), "ascii").where("path = 'a'").select("offset", "cch").collect() == [(1, 300_000)]
 
 
+def test_many_escapes_and_long_islands(spark):
+    """A million escapes in a row, before and between text; whole and in chunks that hold nothing else."""
+    e = b"\x1b(B" * 1_000_000
+    df = _frame(spark, {"a": b"\x00ab" + e + b"cd\x00" + e + b"wxyz" + e, "b": "日本".encode("iso2022_jp") * 1000})
+    runs = {(r.path, r.offset): (r.cb, r.cch) for r in scan(df, "iso2022-jp", min_length=4).collect()}
+    assert runs == {("a", 1): (3_000_004, 4), ("a", 3_000_006): (3_000_004, 4), ("b", 0): (9997, 2000)}
+    assert {(r.path, r.offset): (r.cb, r.cch) for r in scan_chunks(cut(df, 1 << 16), "iso2022-jp").collect()} == runs
+
+
+def test_slabs_give_the_runs_of_the_whole(spark, monkeypatch):
+    from glyphvein.operators import runs as found
+
+    values = _inputs(40, [])
+    data = b"".join(values.values())
+    expected = {e.name: None for e in ENCODINGS}
+    for slab in (1 << 20, 64):
+        monkeypatch.setattr(found, "SLAB", slab)
+        for e in ENCODINGS:
+            rows = [tuple(r.values()) for b in found.run_batches([found.Scanner(e.name, ("ascii", "kanji", "cyrillic"), 2)], pa.array([data]), {}) for r in b.to_pylist()]
+            expected[e.name] = expected[e.name] or sorted(rows)
+            assert sorted(rows) == expected[e.name] and rows
+
+
 def test_empty_and_null_inputs(spark):
     df = spark.createDataFrame([("a", None), ("b", bytearray())], "path string, bytes binary")
     assert scan(df, "ascii,utf8").count() == 0
@@ -96,5 +120,9 @@ def test_table_sizes(spark):
     """How many characters each filter and how many sequences each code table has."""
     sizes = {"ascii": 96, "latin1": 96, "cyrillic": 256, "kanji": 27584, "kanji-jis1": 2965, "kanji-jis2": 6355, "kanji-ext-b": 42720, "hiragana": 91, "katakana": 96, "hangul": 11585, "cjkpunct": 196, "cjkpunct-all": 304, "printable": 253592}
     assert {n: filters.size(n) for n in filters.NAMES} == sizes
-    assert {n: len(codecs.pair_table(n)) for n in codecs.LEADS} == {"cp932": 9604, "gbk": 23940, "euc-kr": 17048, "big5": 18474, "gb18030": 23940}
+    assert {n: len(codecs.pair_table(n)) for n in codecs.LEADS} == {"cp932": 9604, "gbk": 23940, "euc-kr": 17048, "big5": 18476, "gb18030": 23940}
     assert len(codecs.kanji_pairs()) == 7336
+    pinned = {"a8bc": 0x1E3F, "a6d9": 0xFE10, "fe59": 0x9FB4, "a6fe": 0xE79F}
+    assert {k: ord(codecs.pair_table("gb18030")[bytes.fromhex(k)]) for k in pinned} == pinned
+    assert codecs.four_points()[codecs.linear(*bytes.fromhex("8135f437"))] == 0xE7C7 and len(np.unique(codecs.four_points())) == codecs.FOUR_BMP
+    assert codecs.pair_table("big5")[bytes.fromhex("87df")] == "\u9fcb" and codecs.pair_table("big5")[bytes.fromhex("8862")] == "\u00ca\u0304"

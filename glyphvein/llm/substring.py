@@ -9,10 +9,12 @@ make up a maximal exact repeat, and all its words go.
 Documents are dealt once to segments of a few MB by a hash of the row. A segment sends each of
 its distinct hashes once, packed and sorted, to the bucket that the hash names; a bucket answers
 each segment with one bit per hash. So a passage shared by many documents costs its bucket one
-entry per segment, and nothing is paired.
+entry per segment, and nothing is paired. A segment sends to FAN buckets at most: where there are more
+segments, relays merge the hashes of FAN segments and send them on by the next digits of the hash, as
+often as needed, so that rows grow in proportion to the corpus.
 
 Null texts have no words. Of equal rows each is elsewhere for the others. Texts shorter than a
-window stay. An empty table gives an empty result.
+window stay. An empty table gives an empty result. Columns of the names of new ones are replaced; other names do not matter.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphvein.llm.common import mixed, table, utf8, word_hashes, words_of
+from glyphvein.llm.common import mixed, stored, table, unused, utf8, word_hashes, words_of
 
 WINDOW = 35
 #: Bytes of text in a segment, about.
 SEGMENT_BYTES = 6 << 20
+#: Buckets that a segment or relay sends to at most, and segments that a relay merges: 2**DIGIT.
+DIGIT = 8
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -98,11 +102,11 @@ def _unpack48(raw: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
-_SENT = "bucket int, seg int, packed binary, extra binary, several binary, aligned binary"
+_SENT = "path long, bucket int, seg int, packed binary, extra binary, several binary, aligned binary"
 
 
-def _sent(seg: int, place: np.ndarray, extra: np.ndarray | None, several: np.ndarray, aligned: np.ndarray | None) -> pa.Table:
-    """A row for each bucket; place is ascending."""
+def _sent(seg: int, place: np.ndarray, extra: np.ndarray | None, several: np.ndarray, aligned: np.ndarray | None, path: int = 0) -> pa.Table:
+    """A row for each bucket; place is ascending. path: the digits by which relays have sent so far."""
     bucket = (place >> np.uint64(40)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     bounds = list(zip(cuts, np.append(cuts[1:], len(bucket)), strict=True))
@@ -110,34 +114,78 @@ def _sent(seg: int, place: np.ndarray, extra: np.ndarray | None, several: np.nda
     bits = lambda x: [b"" if x is None else np.packbits(x[i:j]).tobytes() for i, j in bounds]
     return pa.table(
         [
-            pa.array(bucket[cuts].astype(np.int32)), pa.array([seg] * len(cuts), pa.int32()), pa.array([_pack(low[i:j]) for i, j in bounds], pa.binary()),
+            pa.array([path] * len(cuts), pa.int64()), pa.array(bucket[cuts].astype(np.int32)), pa.array([seg] * len(cuts), pa.int32()), pa.array([_pack(low[i:j]) for i, j in bounds], pa.binary()),
             pa.array([b"" if extra is None else _pack48(extra[i:j]) for i, j in bounds], pa.binary()), pa.array(bits(several), pa.binary()), pa.array(bits(aligned), pa.binary()),
         ],
-        ["bucket", "seg", "packed", "extra", "several", "aligned"],
+        ["path", "bucket", "seg", "packed", "extra", "several", "aligned"],
     )
 
 
-_ANSWER = "seg int, stage int, bucket int, bits binary"
+_ANSWER = "path long, seg int, stage int, bucket int, bits binary"
+
+
+class Merged:
+    """What several senders have for one bucket: each distinct hash once, and whether it occurs twice or more, and in the block index."""
+
+    def __init__(self, stage: int, rows: pa.Table):
+        self.rows, self.stage = rows, stage
+        values = [_unpack(x.as_py()) for x in rows.column("packed")]
+        self.size = [len(v) for v in values]
+        keys = [np.concatenate(values)]
+        if stage == 2:
+            keys.append(np.concatenate([_unpack48(x.as_py()) for x in rows.column("extra")]))
+        self.order, self.first, self.count = _grouped(*keys)
+        self.low, self.extra = keys[0][self.order][self.first], keys[1][self.order][self.first] if stage == 2 else None
+        self.several = (self.count > 1) | self._any("several")
+        self.aligned = self._any("aligned") if stage == 1 else None
+
+    def _any(self, name: str) -> np.ndarray:
+        bits = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[:n] for x, n in zip(self.rows.column(name), self.size, strict=True)]).astype(bool)
+        return np.logical_or.reduceat(bits[self.order], self.first)
+
+    def answers(self, hit: np.ndarray) -> pa.Table:
+        """For each sender one bit per hash that it sent."""
+        found = np.empty(len(self.order), bool)
+        found[self.order] = np.repeat(hit, self.count)
+        bits = [np.packbits(found[e - n : e]).tobytes() for n, e in zip(self.size, np.cumsum(self.size), strict=True)]
+        return pa.table([self.rows.column("path"), self.rows.column("seg"), pa.array([self.stage] * len(bits), pa.int32()), self.rows.column("bucket"), pa.array(bits, pa.binary())], ["path", "seg", "stage", "bucket", "bits"])
+
+    def places(self, depth: int, digit_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """An order by the next digit of the hash, and the places in it."""
+        digit = self.low >> np.uint64(digit_bits * depth) & np.uint64((1 << digit_bits) - 1)
+        order = np.argsort(digit, kind="stable")
+        return order, (digit << np.uint64(40) | self.low)[order]
 
 
 def _answered(stage: int, rows: pa.Table) -> pa.Table:
-    """For each segment's hashes in this bucket, whether they occur twice or more over all (and, of anchors, in the block index)."""
-    values = [_unpack(x.as_py()) for x in rows.column("packed")]
-    size = [len(v) for v in values]
-    unpack = lambda name: np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[:n] for x, n in zip(rows.column(name), size, strict=True)])
-    several = unpack("several").astype(bool)
-    keys = [np.concatenate(values)]
-    if stage == 2:
-        keys.append(np.concatenate([_unpack48(x.as_py()) for x in rows.column("extra")]))
-    order, first, count = _grouped(*keys)
-    hit = (count > 1) | np.logical_or.reduceat(several[order], first)
-    if stage == 1:
-        hit &= np.logical_or.reduceat(unpack("aligned").astype(bool)[order], first)
-    found = np.empty(len(order), bool)
-    found[order] = np.repeat(hit, count)
-    ends = np.cumsum(size)
-    bits = [np.packbits(found[e - n : e]).tobytes() for n, e in zip(size, ends, strict=True)]
-    return pa.table([rows.column("seg"), pa.array([stage] * len(size), pa.int32()), rows.column("bucket"), pa.array(bits, pa.binary())], ["seg", "stage", "bucket", "bits"])
+    """For each sender's hashes in this bucket, whether they occur twice or more over all (and, of anchors, in the block index)."""
+    m = Merged(stage, rows)
+    return m.answers(m.several & m.aligned if stage == 1 else m.several)
+
+
+def exchanged(sent: DataFrame, stage: int, senders: int, depth: int = 0) -> DataFrame:
+    """The answers to all that is sent. Above 2**DIGIT senders, relays merge what so many of them sent."""
+    if senders <= 1 << DIGIT:
+        return sent.groupBy("path", "bucket").applyInArrow(lambda rows: _answered(stage, rows), _ANSWER)
+    digit_bits, relay = DIGIT, F.shiftright("seg", DIGIT)
+
+    def merged(key: tuple, rows: pa.Table) -> pa.Table:
+        path, bucket, own = (k.as_py() for k in key)
+        m = Merged(stage, rows)
+        order, place = m.places(depth, digit_bits)
+        return _sent(own, place, None if m.extra is None else m.extra[order], m.several[order], None if m.aligned is None else m.aligned[order], path << digit_bits | bucket)
+
+    def told(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        m = Merged(stage, rows)
+        order, place = m.places(depth, digit_bits)
+        hit = np.empty(len(order), bool)
+        hit[order] = Segment._told(place, dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)))
+        return m.answers(hit)
+
+    groups = sent.withColumn("relay", relay)
+    inner = exchanged(groups.groupBy("path", "bucket", "relay").applyInArrow(merged, _SENT), stage, (senders + (1 << DIGIT) - 1) >> DIGIT, depth + 1)
+    back = inner.select(F.shiftright("path", DIGIT).alias("to"), F.col("path").bitwiseAND((1 << DIGIT) - 1).cast("int").alias("at"), F.col("seg").alias("relay"), "bucket", "bits")
+    return groups.groupBy("path", "bucket", "relay").cogroup(back.groupBy("to", "at", "relay")).applyInArrow(told, _ANSWER)
 
 
 class Segment:
@@ -201,19 +249,18 @@ def repeats_removed(df: DataFrame, window: int = WINDOW, column: str = "text", d
     new = ["n_words", "n_removed", "kept_sha256" if digest else "kept_text"]
     kept = [c for c in df.columns if c not in (column, *new)]
     size = df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
-    buckets = segments = max(1, -(-size // SEGMENT_BYTES))
+    segments = max(1, -(-size // SEGMENT_BYTES))
+    buckets = min(segments, 1 << DIGIT)
     seg = F.pmod(F.xxhash64(*kept, column), F.lit(segments)).cast("int")
+    seg_name = unused(df, "seg")
     # One exchange by segment serves all three rounds.
-    docs = df.select(*kept, F.col(column).cast("string").alias(column), seg.alias("__seg"))
-    anchors_of = docs.groupBy("__seg")
+    docs = df.select(*kept, F.col(column).cast("string").alias(column), seg.alias(seg_name))
+    anchors_of = docs.groupBy(seg_name)
 
     def probes(key: tuple, rows: pa.Table) -> pa.Table:
         return Segment(rows.column(column), window, buckets).anchors(key[0].as_py())
 
-    def matched(rows: pa.Table) -> pa.Table:
-        return _answered(1, rows)
-
-    hits = anchors_of.applyInArrow(probes, _SENT).groupBy("bucket").applyInArrow(matched, _ANSWER)
+    hits = exchanged(anchors_of.applyInArrow(probes, _SENT), 1, segments)
 
     def extension(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         seg = key[0].as_py()
@@ -224,18 +271,24 @@ def repeats_removed(df: DataFrame, window: int = WINDOW, column: str = "text", d
         # the first round's answer goes on to the last, by a bucket of its own
         n = len(answer)
         passed = pa.table(
-            [pa.array([-1 - seg] * n, pa.int32()), pa.array(list(answer), pa.int32()), pa.array(list(answer.values()), pa.binary()), *[pa.array([b""] * n, pa.binary())] * 3], sent.column_names
+            [pa.array([0] * n, pa.int64()), pa.array([-1 - seg] * n, pa.int32()), pa.array(list(answer), pa.int32()), pa.array(list(answer.values()), pa.binary()), *[pa.array([b""] * n, pa.binary())] * 3], sent.column_names
         )
         return pa.concat_tables([sent, passed])
 
     def compared(key: tuple, rows: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
+        bucket = key[1].as_py()
         if bucket >= 0:
             return _answered(2, rows)
         n = rows.num_rows
-        return pa.table([pa.array([-1 - bucket] * n, pa.int32()), pa.array([1] * n, pa.int32()), rows.column("seg"), rows.column("packed")], ["seg", "stage", "bucket", "bits"])
-
-    found = docs.groupBy("__seg").cogroup(hits.groupBy("seg")).applyInArrow(extension, _SENT).groupBy("bucket").applyInArrow(compared, _ANSWER)
+        return pa.table([rows.column("path"), pa.array([-1 - bucket] * n, pa.int32()), pa.array([1] * n, pa.int32()), rows.column("seg"), rows.column("packed")], ["path", "seg", "stage", "bucket", "bits"])
+
+    extended = docs.groupBy(seg_name).cogroup(hits.groupBy("seg")).applyInArrow(extension, _SENT)
+    if segments <= 1 << DIGIT:
+        found = extended.groupBy("path", "bucket").applyInArrow(compared, _ANSWER)
+    else:
+        extended = stored(extended, "substring-windows")
+        passed = extended.where("bucket < 0").select("path", (-1 - F.col("bucket")).alias("seg"), F.lit(1).alias("stage"), F.col("seg").alias("bucket"), F.col("packed").alias("bits"))
+        found = exchanged(extended.where("bucket >= 0"), 2, segments).unionByName(passed)
     last = T.StringType()
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(new[2], last)])
 
@@ -256,7 +309,7 @@ def repeats_removed(df: DataFrame, window: int = WINDOW, column: str = "text", d
             texts.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
         return pa.table([*(rows.column(c) for c in kept), pa.array(n_words), pa.array(n_removed), pa.array(texts, pa.string())], [*kept, *new])
 
-    return docs.groupBy("__seg").cogroup(found.groupBy("seg")).applyInArrow(result, schema)
+    return docs.groupBy(seg_name).cogroup(found.groupBy("seg")).applyInArrow(result, schema)
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

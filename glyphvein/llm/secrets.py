@@ -1,13 +1,15 @@
 """Secret scans over a trigram inverted index.
 
 Each rule is a regular expression. From its parse tree follows a Boolean query over
-lower-cased trigrams (an OR of ANDs) that every match must satisfy. The index holds one
-posting (trigram, row) for each trigram that some query names; intersecting the postings
+lower-cased trigrams (an OR of ANDs) that every match must satisfy. Where a stretch of rows is read,
+an index of it holds the rows of each trigram that some query names; intersecting the postings
 of a clause leaves candidate rows, on which alone the rule's regex runs. A rule without
-mandatory trigrams has no query and runs on every row.
+mandatory trigrams has no query and runs on every row. The index of a stretch is used where it is made:
+postings and texts do not leave the task, so nothing is shuffled and no hot key arises.
 
 Null texts count as empty and have no spans. Equal rows get equal spans. New columns
-replace columns of the same name. Offsets are code points, ends exclusive.
+replace columns of the same name; other names do not matter. Offsets are code points, ends exclusive.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphvein.llm.common import portions, row_key, table, unused, utf8
+from glyphvein.llm.common import portions, table, unused, utf8
 
 
 @dataclass(frozen=True)
@@ -162,36 +164,40 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def postings(df: DataFrame, grams: Sequence[int], column: str = "text", key: str = "row_key") -> DataFrame:
-    """One row (key, gram) for each of the named trigrams in a row's text."""
-    wanted = np.zeros(1 << 24, bool)
-    wanted[list(grams)] = True
-    grams = np.flatnonzero(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(1 << 24, bool)
-        known[grams] = True
-        for batch in portions(batches, column):
-            data, at = utf8(batch.column(column))
-            low = _LOWER[data].astype(np.uint32)
-            codes = low[:-2] << 16 | low[1:-1] << 8 | low[2:] if len(low) > 2 else low[:0]
-            place = np.flatnonzero(known[codes])
-            row = np.searchsorted(at, place, "right") - 1
-            inside = place + 3 <= at[row + 1]
-            found = np.unique(row[inside] << 24 | codes[place[inside]].astype(np.int64))
-            keys = np.asarray(batch.column(key))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[found >> 24]), pa.array((found & 0xFFFFFF).astype(np.int32))], [key, "gram"])
-
-    return df.select(key, column).mapInArrow(run, f"{key} long, gram int")
-
-
-def candidates(index: DataFrame, rules: Sequence[Rule], key: str = "row_key") -> DataFrame:
-    """key and the places in rules of those whose query a row's postings satisfy."""
-    spark = index.sparkSession
-    wanted = [(r, c, _code(g), len(clause)) for r, rule in enumerate(rules) for c, clause in enumerate(trigram_query(rule.pattern) or ()) for g in clause]
-    clauses = spark.createDataFrame(wanted, "rule int, clause int, gram int, n_grams int")
-    met = index.join(F.broadcast(clauses), "gram").groupBy(key, "rule", "clause").agg(F.countDistinct("gram").alias("n"), F.first("n_grams").alias("n_grams"))
-    return met.where("n = n_grams").groupBy(key).agg(F.sort_array(F.collect_set("rule")).alias("rules"))
+@dataclass
+class Index:
+    """Postings of the rows of a stretch: (trigram, row), each once, in order."""
+
+    grams: np.ndarray
+    rows: np.ndarray
+    n: int
+
+    @staticmethod
+    def of(texts: pa.Array, known: np.ndarray) -> Index:
+        """known: which trigrams are indexed."""
+        data, at = utf8(texts)
+        low = _LOWER[data].astype(np.uint32)
+        codes = low[:-2] << 16 | low[1:-1] << 8 | low[2:] if len(low) > 2 else low[:0]
+        place = np.flatnonzero(known[codes])
+        row = np.searchsorted(at, place, "right") - 1
+        inside = place + 3 <= at[row + 1]
+        found = np.unique(codes[place[inside]].astype(np.int64) << 32 | row[inside])
+        return Index(found >> 32, found & 0xFFFFFFFF, len(texts))
+
+    def postings(self, gram: int) -> np.ndarray:
+        i, j = np.searchsorted(self.grams, [gram, gram + 1])
+        return self.rows[i:j]
+
+    def candidates(self, query: Query) -> np.ndarray:
+        """Which rows satisfy a query: some clause, all of whose trigrams they have."""
+        found = np.zeros(self.n, bool)
+        for clause in query:
+            rows = None
+            for gram in clause:
+                own = self.postings(_code(gram))
+                rows = own if rows is None else np.intersect1d(rows, own, assume_unique=True)
+            found[rows] = True
+        return found
 
 
 def matches(rule: Rule, regex: re.Pattern, text: str) -> list[tuple[int, int]]:
@@ -206,29 +212,25 @@ def find_secrets(df: DataFrame, rules: Sequence[Rule] = RULES, column: str = "te
     df = df.drop(into)
     names = df.columns
     queries = [trigram_query(r.pattern) for r in rules]
-    scanned = [r for r, q in enumerate(queries) if q is None]
     grams = sorted({_code(g) for q in queries if q for clause in q for g in clause})
-    key, chosen_by = unused(df, "row_key"), unused(df, "rules")
-    keyed = df.withColumn(key, row_key(*([c for c in ("doc_id",) if c in names] + [column])))
-    if grams:
-        found = candidates(postings(keyed.select(F.col(key).alias("row_key"), column), grams, column), rules)
-        keyed = keyed.join(found.select(F.col("row_key").alias(key), F.col("rules").alias(chosen_by)), key, "left").select(*names, chosen_by)
-    else:
-        keyed = keyed.select(*names, F.lit(None).cast("array<int>").alias(chosen_by))
     schema = T.StructType([*df.schema.fields, T.StructField(into, _SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [re.compile(r.pattern) for r in rules]
+        known = np.zeros(1 << 24, bool)
+        known[grams] = True
         arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            spans = []
-            for text, chosen in zip(batch.column(column).to_pylist(), batch.column(chosen_by).to_pylist(), strict=True):
-                own = [(s, r, e) for r in sorted({*scanned, *(chosen or ())}) for s, e in matches(rules[r], compiled[r], text or "")]
-                spans.append([{"kind": rules[r].kind, "start": s, "end": e} for s, r, e in sorted(own)])
-            kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, arrow)], [*names, into])
-
-    return keyed.mapInArrow(run, schema)
+        for batch in portions(batches, column):
+            index = Index.of(batch.column(column), known)
+            texts = batch.column(column).to_pylist()
+            own: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+            for r, query in enumerate(queries):
+                for k in range(len(texts)) if query is None else np.flatnonzero(index.candidates(query)).tolist():
+                    own[k] += [(s, r, e) for s, e in matches(rules[r], compiled[r], texts[k] or "")]
+            spans = [[{"kind": rules[r].kind, "start": s, "end": e} for s, r, e in sorted(x)] for x in own]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, arrow)], [*names, into])
+
+    return df.mapInArrow(run, schema)
 
 
 def redacted(df: DataFrame, rules: Sequence[Rule] = RULES, column: str = "text", mark: str = "[SECRET]") -> DataFrame:

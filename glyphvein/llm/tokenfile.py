@@ -181,7 +181,9 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block: int = BLOCK) -> DataFrame:
     """part, blk, n_tokens, doc_ids, sizes, ids: runs of whole documents in ascending doc_id."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # rows of one doc_id, or without, are dealt to ranges by their texts, and equal ones by their numbers: no key has to be in one task
+    ordered = ordered.withColumn("hash", F.xxhash64("text")).withColumn("number", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange("doc_id", "hash", "number").sortWithinPartitions("doc_id", "hash", "number").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, part, blk = _units(tokenizer_path), TaskContext.get().partitionId(), 0

@@ -89,6 +89,32 @@ def test_mixing(spark, docs):
     assert mixing.copies(_empty(spark).select(F.col("doc_id").alias("key"), "source", mixing.size_of().alias("size"))).count() == 0
 
 
+def test_mixing_of_large_cells(spark):
+    """Thousands of documents of one size, of which none is small enough to settle what rounding leaves."""
+    sized = spark.range(9000).select(F.col("id").alias("key"), F.when(F.col("id") < 5000, "a").when(F.col("id") < 8000, "b").otherwise("c").alias("source"), F.lit(mixing.SMALL + 1).cast("long").alias("size"))
+    rows = mixing.copies(sized).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert len(rows) == 3 and all(abs(r.taken - r.target) <= 0.02 * r.target and r.most <= 2 for r in rows)
+
+
+def test_rates_solve_the_dual(spark):
+    """Multipliers by bisection, in floats, source by source."""
+    rng = np.random.default_rng(33)
+    sizes = {"a": rng.integers(1, 400, 300), "b": rng.integers(1, 50, 200), None: rng.integers(1, 900, 150)}
+    rows = [(i, s, int(x)) for i, (s, x) in enumerate((s, x) for s, v in sizes.items() for x in v)]
+    got = mixing.copies(spark.createDataFrame(rows, "key long, source string, size long")).collect()
+    for s, v in sizes.items():
+        own = [r for r in got if r.source == s]
+        low, high = -50.0, math.log(2)
+        for _ in range(200):
+            lam = (low + high) / 2
+            total = sum(x * min(2.0, math.exp(lam * x / v.mean())) for x in v)
+            low, high = (lam, high) if total < own[0].target else (low, lam)
+        if own[0].target < 2 * v.sum() * (1 - 1e-9):
+            assert all(r.rate == pytest.approx(min(2.0, math.exp(lam * r.size / v.mean())), rel=1e-4) for r in own)
+        else:
+            assert all(r.copies == 2 for r in own)
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -151,6 +177,22 @@ def test_leaves_by_the_space(spark):
     assert all(sum(k[1] == space for k in leaves) == 2 for space in (2, 3, 4))
 
 
+def test_rare_links_near_the_threshold(spark):
+    """Thousands of vectors of one label, of which few are linked, at cosines just above and below the threshold."""
+    rng = np.random.default_rng(31)
+    x = rng.standard_normal((2500, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(60):
+        a, cosine = x[2 * k], 0.975 + 0.01 * k / 60
+        side = rng.standard_normal(20)
+        side -= (side @ a) * a
+        x[2 * k + 1] = cosine * a + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    true = (x @ x.T >= 0.98).sum(1) - 1
+    assert 20 < true.sum() < 70
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i] for i in range(2500)] == true.tolist()
+
+
 def test_labels_short_of_links_are_compared_whole(spark, monkeypatch):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((60, 16))
@@ -192,11 +234,39 @@ def test_secrets(spark):
     assert secrets.find_secrets(_empty(spark)).count() == 0
 
 
+def test_secrets_query_columns(spark):
+    """Base kinds by the contract's own expressions, over a whole table."""
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    anycase = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    assign = assign.replace("password|passwd|secret|token|api_?key", anycase)
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    total = 0
+    for r in secrets.op3_secrets(spark, sf).collect():
+        t = texts[r.doc_id]
+        spans = [(m.start(), k, m.end()) for k, (p, least, g) in enumerate(((assign, 6, 2), (r"AKIA[A-Z0-9]+", 20, 0), (r"[0-9a-f]+", 24, 0))) for m in re.finditer(p, t) if len(m[g]) >= least]
+        shown = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in range(3))
+        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest() and set(shown.split(",")) - {""} <= set(r.spans.split(","))
+        total += len(spans)
+    assert total and "Exchange" not in secrets.op3_secrets(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trigrams_of_other_letters(spark):
+    rules = (secrets.Rule("a", "É=[a-z]+"), secrets.Rule("b", "(?i:kelvin)=[0-9]+"), secrets.Rule("c", "(?i:Größe)x"))
+    df = spark.createDataFrame([(1, "É=abc é=abc"), (2, "\u212aelvin=1 KELVIN=2"), (3, "GRÖßEx größex")], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start) for s in r.secret_spans] for r in secrets.find_secrets(df, rules).collect()}
+    assert got == {1: [("a", 0)], 2: [("b", 0), ("b", 9)], 3: [("c", 0), ("c", 7)]}
+
+
 # ---------------------------------------------------------------- 4
 
 
-@pytest.mark.parametrize("window", [35, 6])
-def test_substring(spark, docs, window):
+@pytest.mark.parametrize(("window", "bits"), [(35, 8), (6, 8), (6, 1)])
+def test_substring(spark, docs, window, bits, monkeypatch):
+    if bits == 1:  # many segments, and relays upon relays
+        monkeypatch.setattr(substring, "SEGMENT_BYTES", 16_000)
+        monkeypatch.setattr(substring, "DIGIT", bits)
     count = Counter(tuple(w[i : i + window]) for d in _docs() for w in [_words(d[1])] for i in range(len(w) - window + 1))
     expected = Counter()
     for d in _docs():
@@ -211,6 +281,28 @@ def test_substring(spark, docs, window):
     assert substring.repeats_removed(_empty(spark)).count() == 0
 
 
+def test_rows_sent_grow_with_the_corpus(spark, monkeypatch):
+    """Twice the texts, at most twice the rows that segments and relays send on a level."""
+    monkeypatch.setattr(substring, "SEGMENT_BYTES", 4000)
+    monkeypatch.setattr(substring, "DIGIT", 2)
+    real, rows = substring.exchanged, {}
+
+    def counted(sent, stage, senders, depth=0):
+        rows[stage, depth] = rows.get((stage, depth), 0) + sent.count()
+        return real(sent, stage, senders, depth)
+
+    monkeypatch.setattr(substring, "exchanged", counted)
+    seen = []
+    for n in (80, 160):
+        rng = np.random.default_rng(1)
+        frame = spark.createDataFrame([(i, " ".join(map(str, rng.integers(0, 9, 400)))) for i in range(n)], "doc_id long, text string")
+        rows.clear()
+        assert substring.repeats_removed(frame, 6).count() == n
+        seen.append([v for (stage, _), v in sorted(rows.items()) if stage == 1])
+    sent = [4 * 16, 4 * 32]  # buckets times segments, on each of as many levels as digits tell them apart
+    assert all(max(levels) <= most for levels, most in zip(seen, sent, strict=True)) and [len(x) for x in seen] == [2, 3]
+
+
 # ---------------------------------------------------------------- 5
 
 

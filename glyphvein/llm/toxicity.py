@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from glyphvein.llm.common import mixed, portions, stored, table, utf8, word_hashes, words_of
 
 CATEGORIES = ("poor", "severe", "toxic")
+COLUMNS = (*(f"p_{c}" for c in CATEGORIES), "rejected")
 #: Bounds of the fitting sample and of the vocabulary.
 SAMPLE_DOCUMENTS, VOCABULARY, FOLDS = 12_000, 6000, 5
 
@@ -202,8 +203,8 @@ def fold_of(doc_ids: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
     """docs with p_<category> for each category and `rejected`."""
-    names = [f"p_{c}" for c in CATEGORIES]
-    docs = docs.drop(*names, "rejected")
+    names = list(COLUMNS[:-1])
+    docs = docs.drop(*COLUMNS)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -281,6 +281,12 @@ def test_substring(spark, docs, window, bits, monkeypatch):
     assert substring.repeats_removed(_empty(spark)).count() == 0
 
 
+def test_substring_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g", "mine", "x"), (2, "a b c d e f", None, "y")], "doc_id long, text string, __seg string, n_words string")
+    got = {r.doc_id: r for r in substring.repeats_removed(df, 6).collect()}
+    assert got[1]["__seg"] == "mine" and got[2]["__seg"] is None and (got[1].n_words, got[1].n_removed, got[1].kept_text) == (7, 6, "g") and got[2].kept_text == ""
+
+
 def test_rows_sent_grow_with_the_corpus(spark, monkeypatch):
     """Twice the texts, at most twice the rows that segments and relays send on a level."""
     monkeypatch.setattr(substring, "SEGMENT_BYTES", 4000)
@@ -320,6 +326,15 @@ def test_quality_counts(docs):
         assert r.base_failed == (len(words) < 50 or 100 * len(repeated) > 50 * len(words)) and (r.kept is False or not r.base_failed)
 
 
+def test_quality_of_no_and_long_texts(spark):
+    model = quality.fit([])
+    assert quality.judged(_empty(spark), model).count() == 0
+    line = " ".join(f"w{i}" for i in range(40))
+    long = "\n".join(f"{line} x{i}" for i in range(8000))
+    rows = {r.doc_id: r for r in quality.judged(spark.createDataFrame([(1, long), (2, long + "\n" + line + " x7")], "doc_id long, text string"), model).collect()}
+    assert (rows[1].n_words, rows[1].n_dup_lines, rows[1].base_failed) == (41 * 8000, 0, True) and rows[2].n_dup_lines == 1
+
+
 def test_crf_learns_and_decodes():
     rng = np.random.default_rng(1)
     sequences = []
@@ -367,6 +382,21 @@ def test_bpe(spark, docs, monkeypatch):
     assert isinstance(enc, tiktoken.Encoding) and bpe.encode_texts(_empty(spark), MULTI, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_long_texts(spark):
+    enc = _encoding()
+    rng = np.random.default_rng(17)
+    words = ["alpha", "béta", "\n\n", "  x", "don't", "日本", "12345", "#!"]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 60_000)), "x" * 70_000, " " * 70_000]
+    assert len(texts[0]) > 2 * bpe.LONG_TEXT
+    got = {r.doc_id: r for r in bpe.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MULTI, public_tokenizers.PATTERN).collect()}
+    for i, t in enumerate(texts[:1]):
+        ids = enc.encode_ordinary(t)
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert all(got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts))
+    clash = bpe.encode_texts(spark.createDataFrame([("a b", "old", 1)], "text string, ids string, doc_id int"), MULTI, public_tokenizers.PATTERN).first()
+    assert list(clash.ids) == enc.encode_ordinary("a b") and clash.doc_id == 1
+
+
 def test_safe_boundaries():
     rng = np.random.default_rng(2)
     alphabet = [" ", "\n", "\t", " ", " ", "\x1c", "\x85", "a", "é", "'s", "'", "1", "²", "#", "日", "😀", "́", "_"]

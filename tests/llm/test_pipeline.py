@@ -39,3 +39,15 @@ def test_stages_take_effect(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and {"doc_id", "n_tokens"} <= set(rows.columns)
+
+
+def test_odd_tables(spark, tmp_path):
+    """No documents; then repeats, nulls, ties and a column of an operator's own name."""
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    odd = docs.limit(40).unionByName(docs.limit(40)).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string")).withColumn("doc_id", F.lit(None).cast("long")))
+    odd.withColumn("__key", F.lit("mine")).withColumn("rejected", F.lit("mine")).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and sum(r.doc_id is None for r in rows) <= 6

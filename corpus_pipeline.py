@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphvein.llm import bpe, jaccard, mixing, secrets, toxicity
-from glyphvein.llm.common import released, stored, table
+from glyphvein.llm.common import released, stored, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chain = toxicity.fit_from_labels(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain).where(~F.col("rejected")).select(*docs.columns)
+    own = {c: unused(docs, c) for c in docs.columns if c in toxicity.COLUMNS}  # names that scores take
+    kept = toxicity.score(docs.withColumnsRenamed(own), chain).where(~F.col("rejected")).drop(*toxicity.COLUMNS)
+    return kept.withColumnsRenamed({new: c for c, new in own.items()}).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -361,6 +361,44 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORD
     return settled(done, "jaccard-links", signed, classes, members, compared)
 
 
+#: Rows audited, and bytes of each at most, which bounds what the tasks are sent.
+AUDITED, AUDITED_BYTES = 256, 1 << 18
+
+
+def audited(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS, most: int = AUDITED) -> DataFrame:
+    """key, n_links (as found) and true_links of a sample of rows, compared with every row by their sets.
+
+    Half of the sample has links by `found` (of jaccard_links), half has none, so that lost links show where they are rare.
+    """
+    linked_rows = [found.where((F.col("n_grams") > 0) & (F.col("n_links") > 0 if some else F.col("n_links") == 0)).groupBy("key").agg(F.first("n_links").alias("n_links")).orderBy(F.xxhash64("key"), "key").limit(most // 2) for some in (True, False)]
+    sample = linked_rows[0].unionByName(linked_rows[1])
+    rows = docs.where(F.octet_length("text") <= AUDITED_BYTES).join(F.broadcast(sample), "key").groupBy("key").agg(F.first("n_links").alias("n_links"), F.first("text").alias("text")).toArrow()
+    own, at = shingle_sets(*utf8(rows.column("text")), n)
+    owner, size = np.repeat(np.arange(len(at) - 1), np.diff(at)), np.diff(at)
+    order = np.argsort(own, kind="stable")
+    own, owner = own[order], owner[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        true = np.zeros(len(size), np.int64)
+        for batch in batches:
+            for part in portions(iter([batch]), "text", 2 << 20):
+                keys, bounds = shingle_sets(*utf8(part.column("text")), n)
+                row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                first, last = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
+                times = last - first
+                upto = np.concatenate([[0], np.cumsum(times)])
+                met = np.repeat(first - upto[:-1], times) + np.arange(upto[-1])
+                pair, common = np.unique(owner[met] * part.num_rows + np.repeat(row, times), return_counts=True)
+                i, j = pair // part.num_rows, pair % part.num_rows
+                union = size[i] + np.diff(bounds)[j] - common
+                true += np.bincount(i[common >= threshold * union - 1e-9], minlength=len(size))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(size))), pa.array(true)], ["at", "true_links"])
+
+    sums = docs.select("text").mapInArrow(run, "at long, true_links long").groupBy("at").agg((F.sum("true_links") - 1).alias("true_links"))  # less the row itself
+    known = docs.sparkSession.createDataFrame(list(zip(range(len(size)), rows.column("key").to_pylist(), rows.column("n_links").to_pylist(), strict=True)), "at long, key long, n_links long")
+    return known.join(sums, "at").select("key", "n_links", "true_links")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

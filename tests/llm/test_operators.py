@@ -496,6 +496,9 @@ def test_jaccard(spark, docs):
         expected[rows[i][0], len(near[i]), min((rows[k][0] for k in seen if rows[k][0] is not None), default=None)] += 1
     found = jaccard.jaccard_links(jaccard._keyed(docs)).collect()
     assert Counter((r.doc_id, r.n_links, r.class_id) for r in found) == expected
+    keyed = jaccard._keyed(docs)
+    audit = jaccard.audited(keyed, jaccard.jaccard_links(keyed)).collect()
+    assert len(audit) > 40 and sum(r.n_links > 0 for r in audit) > 10 and all(r.n_links == r.true_links for r in audit)
     kept = jaccard.deduplicated(docs)
     assert kept.columns == docs.columns
     groups = {r.class_id if r.class_id is not None else "none" for r in found if r.n_grams}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphvein import encodings
-from glyphvein.operators.runs import one_value, run_batches
+from glyphvein.operators.runs import run_batches
 from glyphvein.operators.scan import OUTPUT, OUTPUT_SCHEMA, asked, scanners
 
 #: Most bytes of a joined piece: a Spark value holds no more.
@@ -44,11 +44,12 @@ def inner_runs(chunks: DataFrame, wanted: list[tuple]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scanners(wanted)
         for batch in batches:
-            for path, off, data, total in _chunks(batch):
-                for s in own:
-                    begin, end = _bounds(s, data, off == 0, off + len(data) == total)
-                    if begin < end:
-                        yield from run_batches([s], one_value(data[:end], begin), {"path": pa.array([path])}, np.array([off + begin]), np.array([total]))
+            rows = list(_chunks(batch))
+            for s in own:
+                parts = [(path, off + i, total, data[i:j].tobytes()) for path, off, data, total in rows for i, j in (_bounds(s, data, off == 0, off + len(data) == total),) if i < j]
+                if parts:
+                    path, base, total, values = zip(*parts, strict=True)
+                    yield from run_batches([s], pa.array(values, pa.large_binary()), {"path": pa.array(path)}, np.array(base), np.array(total))
 
     return chunks.select("path", "chunk_off", "bytes", "file_len").where(F.length("bytes") > 0).mapInArrow(run, OUTPUT_SCHEMA)
 
@@ -59,6 +60,7 @@ def pieces(chunks: DataFrame, wanted: list[tuple]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scanners(wanted)
         for batch in batches:
+            found = []
             for path, off, data, total in _chunks(batch):
                 n, first, last = len(data), off == 0, off + len(data) == total
                 for s in own:
@@ -66,7 +68,8 @@ def pieces(chunks: DataFrame, wanted: list[tuple]) -> DataFrame:
                     parts = [(WHOLE, 0, n)] if begin > end else [(HEAD, 0, begin)] * (not first) + [(TAIL, end, n)] * (not last)
                     for kind, i, j in parts:
                         if i < j:
-                            yield pa.RecordBatch.from_pylist([{"path": path, "encoding_code": s.encoding.code, "kind": kind, "start": off + i, "size": j - i, "file_len": total, "piece": data[i:j].tobytes()}], schema)
+                            found.append({"path": path, "encoding_code": s.encoding.code, "kind": kind, "start": off + i, "size": j - i, "file_len": total, "piece": data[i:j].tobytes()})
+            yield pa.RecordBatch.from_pylist(found, schema)
 
     schema = pa.schema([("path", pa.string()), ("encoding_code", pa.int16()), ("kind", pa.int32()), ("start", pa.int64()), ("size", pa.int64()), ("file_len", pa.int64()), ("piece", pa.binary())])
     return chunks.select("path", "chunk_off", "bytes", "file_len").where(F.length("bytes") > 0).mapInArrow(run, _PIECES)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphvein.llm import bpe, infill, jaccard, mixing, neighbours, quality, scoring, secrets, sql, substring, tokenfile, toxicity
+from glyphvein.llm import alignment, bpe, chunkreuse, infill, jaccard, mixing, neighbours, quality, scoring, secrets, sql, substring, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard": jaccard.op8_jaccard,
         "op9_scores": scoring.op9_scores,
         "op10_token_file": tokenfile.op10_token_file,
+        "op11_chunk_reuse": chunkreuse.op11_chunk_reuse,
+        "op12_alignment": alignment.op12_alignment,
         "op13_infill": infill.op13_infill,
     }
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glyphvein.encodings import BY_NAME
 from glyphvein.functions import expressions, filters
 from glyphvein.functions.regex import ranges
+from glyphvein.operators.classes import class_counts
 from glyphvein.operators.scan import scan
 from glyphvein.operators.stitch import scan_chunks
 from glyphvein.plans.extract import found
@@ -158,7 +159,7 @@ def scan_utf16le_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide_sql(shown: str, admitted: str) -> str:
-    """Units at both alignments, islands of admitted ones, and of two that overlap the one that stays."""
+    """Units at both alignments, islands of admitted ones, and of two that share a byte the one that stays."""
     key = TABLES["documents"][0]
     return f"""
         WITH chars AS (SELECT {key} AS path, regexp_extract_all({shown}, '(?s).') AS cs FROM documents),
@@ -166,11 +167,13 @@ def _wide_sql(shown: str, admitted: str) -> str:
         units AS (SELECT path, k, 0 AS parity, u FROM c
             UNION ALL SELECT path, k, 1, (u >> 8) | ((lead(u) OVER (PARTITION BY path ORDER BY k) & 255) << 8) FROM c),
         ok AS (SELECT *, k - row_number() OVER (PARTITION BY path, parity ORDER BY k) AS g FROM units WHERE u = 9 OR u BETWEEN 32 AND 126 OR {admitted}),
-        runs AS (SELECT path, parity, 2 * min(k) + parity AS place, 2 * count(*) AS cb, count(*) AS cch, string_agg(chr(CAST(u AS INTEGER)), '' ORDER BY k) AS text, bool_and(u < 127) AS plain FROM ok GROUP BY path, parity, g),
+        runs AS (SELECT path, parity, g, 2 * min(k) + parity AS place, 2 * count(*) AS cb, count(*) AS cch, string_agg(chr(CAST(u AS INTEGER)), '' ORDER BY k) AS text, bool_and(u < 127) AS plain FROM ok GROUP BY path, parity, g),
         size AS (SELECT path, 2 * len(cs) AS total FROM chars),
         able AS (SELECT r.* FROM runs r JOIN size USING (path) WHERE cch >= 4 OR place = parity OR place + cb >= total),
+        shared AS (SELECT DISTINCT path, e.g AS g, o.g AS h FROM ok e JOIN ok o USING (path, k) WHERE e.parity = 0 AND o.parity = 1
+            UNION SELECT e.path, e.g, o.g FROM ok e JOIN ok o ON e.path = o.path AND e.k = o.k + 1 WHERE e.parity = 0 AND o.parity = 1),
         met AS (SELECT a.path, CASE WHEN a.plain AND NOT b.plain OR a.plain = b.plain AND a.cb >= b.cb THEN b.place ELSE a.place END AS place
-            FROM able a JOIN able b ON a.path = b.path AND a.parity = 0 AND b.parity = 1 AND a.place < b.place + b.cb AND b.place < a.place + a.cb)
+            FROM shared s JOIN able a ON a.path = s.path AND a.parity = 0 AND a.g = s.g JOIN able b ON b.path = s.path AND b.parity = 1 AND b.g = s.h)
         SELECT path, CAST(place AS BIGINT) AS "offset", CAST(2 AS SMALLINT) AS encoding_code, 'UTF16LE' AS encoding, CAST(cb AS BIGINT) AS cb, CAST(cch AS BIGINT) AS cch, text
         FROM runs WHERE cch >= 4 AND NOT EXISTS (SELECT 1 FROM met WHERE met.path = runs.path AND met.place = runs.place)"""
 
@@ -192,8 +195,7 @@ def _class(name: str, form: str) -> str:
 def characters_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many characters each filter admits of each document, some of whose letters are replaced by characters of all kinds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"translate(coalesce(text, ''), '{LETTERS[: len(KINDS)]}', '{KINDS}') AS text")
-    counts = [F.regexp_count("text", F.lit(f"[{_class(n, '\\x{{{:x}}}')}]")).cast("long").alias(n.replace("-", "_")) for n in filters.NAMES]
-    return docs.select("doc_id", *counts)
+    return class_counts(docs, "text")
 
 
 def _characters_sql() -> str:

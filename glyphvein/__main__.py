@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 
 from glyphvein.encodings import BY_NAME
 from glyphvein.functions.expressions import format_bytes
-from glyphvein.plans.extract import Options, chunks, observed, shuffled, unordered
-from glyphvein.sources.chunks import input_files, ranged
-from glyphvein.sources.lines import write_file, write_lines, write_stream
+from glyphvein.plans.extract import Options, Told, told_lines
+from glyphvein.sources.chunks import input_files, range_size
+from glyphvein.sources.lines import write_file, write_lines
 
 TAG = "glyphvein"
 
@@ -41,16 +41,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         options = Options(tuple(args.encoding or Options.encodings), tuple(args.filter or Options.filters), args.min_length, args.jobs, args.chunk_size)
         spark = spark or SparkSession.builder.appName("glyphvein").getOrCreate()
         spark.addTag(TAG)
-        runs = unordered(spark, args.input, options)
+        texts, told = told_lines(spark, args.input, options, args.string_only)
         if args.output_dir:
-            runs, seen = observed(runs, options.encodings)
-            write_lines(runs, args.output_dir, args.string_only)
-            found = seen.get
+            write_lines(texts, args.output_dir)
+        elif args.output:
+            with open(args.output, "wb") as out:
+                write_file(texts, out, args.output)
         else:
-            codes = write_file(runs, args.output, args.string_only) if args.output else write_stream(runs, sys.stdout, args.string_only)
-            found = {name: codes[BY_NAME[name].code] for name in options.encodings}
+            write_file(texts, sys.stdout.buffer)
+            sys.stdout.buffer.flush()
         if args.stats or args.verbose:
-            report(spark, args, options, found, time.time() - began)
+            report(spark, args, options, told(), time.time() - began)
     except KeyboardInterrupt:
         spark.interruptTag(TAG)
         print("error: cancelled by Ctrl+C", file=sys.stderr)
@@ -61,19 +62,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return 0
 
 
-def report(spark: SparkSession, args: argparse.Namespace, options: Options, found: dict[str, int], elapsed: float) -> None:
-    """What was found, to standard error. Counts were taken while the lines were written; sizes come from the store."""
-    for name, n in found.items():
-        print(f"{BY_NAME[name].label} ({name}): found {n}", file=sys.stderr)
-    if args.verbose > 1:
-        for r in shuffled(chunks(spark, args.input, options), options).collect():
-            print(f"encoding {r.encoding_code}: {r.pieces} pieces at chunk edges", file=sys.stderr)
-    if ranged(args.input):
-        total = sum(size for _, size in input_files(args.input))
-        parts = chunks(spark, args.input, options).rdd.getNumPartitions()
-        print(f"input {format_bytes(total)}, {parts} chunks, chunk size {options.chunk_size or 'auto'}, {total / elapsed / (1 << 20):.1f} MiB/s", file=sys.stderr)
+def report(spark: SparkSession, args: argparse.Namespace, options: Options, told: Told, elapsed: float) -> None:
+    """What was found and done, to standard error. The tasks counted it while they wrote the lines."""
+    jobs = options.jobs or spark.sparkContext.defaultParallelism
+    say = lambda text: print(text, file=sys.stderr)
+    for name in options.encodings:
+        more = f", scanned {told.scanned[name]}, {told.seconds[name]:.3f} s of tasks" if args.verbose > 1 and told.scanned else ""
+        say(f"{BY_NAME[name].label} ({name}): found {told.found[name]}{more}")
+    if told.size:
+        sizes = {range_size(size, options.chunk_size, jobs) for _, size in input_files(args.input)}
+        say(f"input {format_bytes(told.size)}, {told.chunks} chunks, chunk size {' to '.join(format_bytes(n) for n in sorted({min(sizes), max(sizes)}))}, {told.size / elapsed / (1 << 20):.1f} MiB/s")
     peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss << 10
-    print(f"{spark.sparkContext.defaultParallelism} workers, {elapsed:.2f} s, driver's peak memory {format_bytes(peak)}", file=sys.stderr)
+    say(f"{jobs} workers, {elapsed:.2f} s, driver's peak memory {format_bytes(peak)}")
 
 
 if __name__ == "__main__":

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from glyphvein import encodings
@@ -12,7 +13,8 @@ from glyphvein.functions import filters
 from glyphvein.functions.expressions import parse_size
 from glyphvein.operators.scan import asked, counted, merged
 from glyphvein.operators.stitch import inner_runs, pieces, scan_chunks
-from glyphvein.sources.chunks import byte_ranges, cut, ranged, read_files, text_runs
+from glyphvein.sources.chunks import byte_ranges, cut, ranged, read_files, text_lines, text_runs
+from glyphvein.sources.lines import lines
 
 #: Default chunk for inputs that only Spark's readers open: one chunk is one row.
 CHUNK = "16M"
@@ -38,6 +40,8 @@ class Options:
             raise ValueError("jobs must be at least 1")
         if self.chunk_size is not None and parse_size(self.chunk_size) < 2:
             raise ValueError("chunk size must be at least 2")
+        if self.chunk_size is not None and parse_size(self.chunk_size) % 2 and "utf16le" in self.encodings:
+            raise ValueError("chunk size must be even where utf16le is asked for")
 
 
 def chunks(spark: SparkSession, path: str, options: Options) -> DataFrame:
@@ -55,15 +59,44 @@ def unordered(spark: SparkSession, path: str, options: Options = Options()) -> D
 
 
 def extract(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:
-    """All runs in the files at path, in output order."""
-    return merged(unordered(spark, path, options))
+    """All runs in the files at path, in output order. Ranges that tasks read give them so; others are sorted."""
+    runs = unordered(spark, path, options)
+    return runs if ranged(path) else merged(runs)
 
 
-def observed(runs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Observation]:
-    """runs, and what becomes known of them when they are written: how many runs each encoding has."""
-    seen = Observation("found")
-    per: list[Column] = [F.count(F.when(F.col("encoding_code") == e.code, 1)).alias(e.name) for e in encodings.chosen(names)]
-    return runs.observe(seen, *per), seen
+@dataclass(frozen=True)
+class Told:
+    """What became known of an extraction while its output was written."""
+
+    found: dict[str, int]
+    scanned: dict[str, int]
+    seconds: dict[str, float]
+    size: int
+    chunks: int
+
+
+def told_lines(spark: SparkSession, path: str, options: Options, string_only: bool = False, eol: str = "\n") -> tuple[DataFrame, Callable[[], Told]]:
+    """The output as one column, and a function that tells, once it was written, what the tasks counted: the input is read once.
+
+    Inputs that are not read by range have no chunks to count; their runs are sorted, and found is all that is told.
+    """
+    names = options.encodings
+    seen = Observation()
+    if not ranged(path):
+        runs = extract(spark, path, options)
+        per = [F.count(F.when(F.col("encoding_code") == e.code, 1)).alias(e.name) for e in encodings.chosen(names)]
+        texts = lines(runs.observe(seen, *per), string_only).select("line")
+        return texts, lambda: Told({n: seen.get[n] for n in names}, {}, {}, 0, 0)
+    rows = text_lines(spark, path, names, options.filters, options.min_length, options.chunk_size, options.jobs or None, string_only, eol)
+    kinds = ("found", "scanned", "seconds")
+    per = [F.sum(F.get(kind, k)).alias(f"{kind}-{n}") for kind in kinds for k, n in enumerate(names)]
+    rows = rows.observe(seen, *per, F.sum("size").alias("size"), F.count(F.when(F.col("size") > 0, 1)).alias("chunks"))
+
+    def told() -> Told:
+        got = seen.get
+        return Told(*({n: got[f"{kind}-{n}"] or 0 for n in names} for kind in kinds), got["size"] or 0, got["chunks"])
+
+    return rows.where("block IS NOT NULL").select("block"), told
 
 
 def shuffled(chunk_rows: DataFrame, options: Options) -> DataFrame:

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from glyphvein.encodings import ENCODINGS
 from glyphvein.functions.expressions import auto_chunk_size, parse_size
-from glyphvein.operators.runs import Scanner, one_value, run_batches
+from glyphvein.operators.runs import RUN_FIELDS, Scanner
 from glyphvein.operators.scan import OUTPUT_SCHEMA, asked, scanners
 from glyphvein.operators.stitch import MOST
 
 LOOKAHEAD = 3
-#: Bytes read at a time beyond a range, until every run is over.
-BEYOND = 1 << 16
+#: Bytes read at once before and after a range, to find the cuts beside it.
+BESIDE = 1 << 16
 CHUNK_SCHEMA = "path string, chunk_off long, bytes binary, lookahead binary, file_len long"
 
 
@@ -87,18 +91,20 @@ def input_files(path: str) -> list[tuple[str, int]]:
     return [(prefix + f.path, f.size) for f in found]
 
 
+def range_size(total: int, chunk_size: str | None, jobs: int) -> int:
+    """Bytes of each range of a file but the last: even, at most the file's length."""
+    asked_size = parse_size(chunk_size) if chunk_size else 0
+    if chunk_size and asked_size <= 0:
+        raise ValueError("chunk size must be greater than zero")
+    size = max(2, min(asked_size or auto_chunk_size(total, jobs), total + total % 2))
+    return size - size % 2
+
+
 class _Ranges(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        chunk = options.get("chunk_size", "")
-        asked_size = parse_size(chunk) if chunk else 0
-        if chunk and asked_size <= 0:
-            raise ValueError("chunk size must be greater than zero")
-        jobs = int(options.get("jobs", "8"))
         self.ranges = []
         for name, total in input_files(options["path"]):
-            size = asked_size or auto_chunk_size(total, jobs)
-            size = max(2, min(size, total + total % 2))
-            size -= size % 2
+            size = range_size(total, options.get("chunk_size"), int(options.get("jobs", "8")))
             self.ranges += [ByteRange(name, at, min(size, total - at), total) for at in range(0, total, size)]
 
     def partitions(self) -> list[ByteRange]:
@@ -123,59 +129,169 @@ def _exactly(file, partition: ByteRange, offset: int, size: int) -> pa.Buffer:
     return data
 
 
+class _Around:
+    """The bytes of a range and some beside it; more are read where a scanner finds no cut there."""
+
+    def __init__(self, file, partition: ByteRange):
+        self.file, self.partition = file, partition
+        self.offset, self.end, self.total = partition.offset, partition.offset + partition.size, partition.total
+        self.begin = max(self.offset - BESIDE, 0)
+        self.data = self._read(self.begin, min(self.end + BESIDE, self.total))
+
+    def _read(self, begin: int, end: int) -> np.ndarray:
+        return np.frombuffer(_exactly(self.file, self.partition, begin, end - begin), np.uint8)
+
+    def bytes(self, begin: int, end: int) -> np.ndarray:
+        if self.begin <= begin and end <= self.begin + len(self.data):
+            return self.data[begin - self.begin : end - self.begin]
+        return self._read(begin, end)
+
+    def section(self, s: Scanner) -> tuple[np.ndarray, int]:
+        """Bytes from the last cut at or before the range on to the first at or after its end, and where they begin: all runs that begin in the range, whole."""
+        first, look = 0 if self.offset == 0 else None, BESIDE
+        while first is None:
+            begin = max(self.offset - look, 0)
+            found = s.last_cut(self.bytes(begin, min(self.offset + (2 if s.wide else 1), self.total)))
+            first = begin + found if found is not None else 0 if begin == 0 else None
+            look *= 4
+            if look > 4 * MOST:
+                raise ValueError("a run spans more than 1 GiB")
+        last, look = self.total if self.end == self.total else None, BESIDE
+        while last is None:
+            upto = min(self.end + look, self.total)
+            found = s.next_cut(self.bytes(self.end - 1, upto), 1)
+            last = self.end - 1 + found if found is not None else upto if upto == self.total else None
+            look *= 4
+            if look > 4 * MOST:
+                raise ValueError("a run spans more than 1 GiB")
+        return self.bytes(first, last), first
+
+
+LABELS, CODES = pa.array([e.label for e in ENCODINGS], pa.string()), {e.name: e.code for e in ENCODINGS}
+
+
+class Counters:
+    """What a range's scanners did: records seen, records that begin in the range, and seconds, for each."""
+
+    def __init__(self, n: int):
+        self.scanned, self.found, self.seconds = [0] * n, [0] * n, [0.0] * n
+
+
+@dataclass
+class _Part:
+    """Runs in order of their offsets."""
+
+    offset: np.ndarray
+    code: np.ndarray
+    cb: np.ndarray
+    cch: np.ndarray
+    text: pa.Array
+
+    @staticmethod
+    def joined(parts: list[_Part]) -> _Part:
+        """In order of offset, then code."""
+        if len(parts) == 1:
+            return parts[0]
+        out = _Part(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("offset", "code", "cb", "cch")), pa.concat_arrays([p.text for p in parts]))
+        return out.taken(np.argsort(out.offset << 4 | out.code, kind="stable"))
+
+    def taken(self, rows: np.ndarray) -> _Part:
+        return _Part(self.offset[rows], self.code[rows], self.cb[rows], self.cch[rows], self.text.take(pa.array(rows)))
+
+    def split(self, limit: int) -> tuple[_Part, _Part]:
+        n = int(np.searchsorted(self.offset, limit))
+        cut = lambda a, b: _Part(self.offset[a:b], self.code[a:b], self.cb[a:b], self.cch[a:b], self.text.slice(a, b - a))
+        return cut(0, n), cut(n, len(self.offset))
+
+
+def _scanned(around: _Around, s: Scanner, counters: Counters, k: int) -> Iterator[tuple[int, _Part]]:
+    """Runs of one scanner that begin in the range, a slab at a time, and up to where all are known."""
+    data, base = around.section(s)
+    for slab in s.slabs(data, base, around.total):
+        began = time.perf_counter()
+        row, begin, cb, cch, text = s.runs(slab)
+        offset = slab.base[row] + begin
+        part = _Part(offset, np.full(len(offset), s.encoding.code, np.int64), cb.astype(np.int64), cch.astype(np.int64), text)
+        if (offset[1:] < offset[:-1]).any():
+            part = part.taken(np.argsort(offset, kind="stable"))
+        part = part.split(around.offset)[1].split(around.end)[0]
+        counters.scanned[k] += len(offset)
+        counters.found[k] += len(part.offset)
+        counters.seconds[k] += time.perf_counter() - began
+        yield int(slab.base[0]) + len(slab.data), part
+
+
+def range_runs(file, partition: ByteRange, own: list[Scanner], counters: Counters) -> Iterator[_Part]:
+    """Runs that begin in a range, of all scanners, in output order: a range needs nothing of the others.
+
+    Scanners advance slab by slab, the one that is furthest back first; what lies before the least of their places
+    is merged and handed on, so that no more than about a slab's runs of each are held.
+    """
+    around = _Around(file, partition)
+    streams = [_scanned(around, s, counters, k) for k, s in enumerate(own)]
+    upto, held = [partition.offset] * len(own), [[] for _ in own]
+    while any(u is not None for u in upto):
+        k = min((k for k, u in enumerate(upto) if u is not None), key=lambda k: upto[k])
+        upto[k], part = next(streams[k], (None, None))
+        if part is not None and len(part.offset):
+            held[k].append(part)
+        limit = min((u for u in upto if u is not None), default=around.end)
+        ready = []
+        for k, parts in enumerate(held):
+            if parts:
+                done, rest = (_Part.joined(parts) if len(parts) > 1 else parts[0]).split(limit)
+                held[k] = [rest] if len(rest.offset) else []
+                ready += [done] if len(done.offset) else []
+        if ready:
+            yield _Part.joined(ready)
+
+
 class _Runs(_Ranges):
-    """Each range gives the runs from its first cut on to the first cut after its end, so ranges need not be joined."""
+    """Each range gives the runs that begin in it, in output order: ranges need be neither joined nor sorted."""
 
     def __init__(self, options: dict[str, str]):
         super().__init__(options)
         self.wanted = asked(options["encodings"], options["filters"], int(options["min_length"]))
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        own = scanners(self.wanted)
         with _opened(partition) as file:
-            begin = max(partition.offset - 1, 0)  # the byte before tells whether a unit is open
-            data = np.frombuffer(_exactly(file, partition, begin, partition.offset + partition.size - begin), np.uint8)
-            for s in scanners(self.wanted):
-                first = 0 if partition.offset == 0 else s.next_cut(data, partition.offset - begin)
-                if first is None or begin + first >= partition.offset + partition.size:
-                    # with the byte after, a cut may show at the range's last byte
-                    whole, first = self._open_end(file, partition, s, data, begin, first)
-                    if first is None:
-                        continue
-                else:
-                    whole = self._beyond(file, partition, s, data, begin)
-                yield from run_batches([s], one_value(whole, first), {"path": pa.array([partition.path])}, np.array([begin + first]), np.array([partition.total]))
-
-    def _open_end(self, file, partition: ByteRange, s: Scanner, data: np.ndarray, begin: int, first: int | None):
-        end = partition.offset + partition.size
-        if end >= partition.total:
-            return data, None
-        more = np.concatenate([data, np.frombuffer(_exactly(file, partition, end, 1), np.uint8)])
-        first = s.next_cut(more, len(data) - 1)
-        if first is None or begin + first >= end:
-            return data, None
-        return self._beyond(file, partition, s, data, begin), first
-
-    def _beyond(self, file, partition: ByteRange, s: Scanner, data: np.ndarray, begin: int) -> np.ndarray:
-        """data, from begin, on to the first cut at or after the range's end."""
-        end, step, parts, looked = partition.offset + partition.size, BEYOND, [data], data[-1:]
-        while end < partition.total:
-            more = np.frombuffer(_exactly(file, partition, end, min(step, partition.total - end)), np.uint8)
-            seen = np.concatenate([looked, more])
-            at_end = end + len(more) == partition.total
-            stop = s.next_cut(seen, 1)
-            if stop is not None:
-                parts.append(more[: stop - 1])
-                break
-            if s.wide and not at_end:  # the last byte's unit is not whole yet
-                parts.append(more[:-1])
-                looked, end = more[-2:-1] if len(more) > 1 else looked, end + len(more) - 1
-            else:
-                parts.append(more)
-                looked, end = more[-1:], end + len(more)
-            step *= 2
-            if end - partition.offset - partition.size > MOST:
-                raise ValueError("a run spans more than 1 GiB")
-        return np.concatenate(parts)
+            for p in range_runs(file, partition, own, Counters(len(own))):
+                path = pa.repeat(pa.scalar(partition.path), len(p.offset))
+                yield pa.RecordBatch.from_arrays([path, pa.array(p.offset), pa.array(p.code.astype(np.int16)), LABELS.take(pa.array(p.code)), pa.array(p.cb), pa.array(p.cch), p.text], ["path", *RUN_FIELDS])
+
+
+#: Runs whose lines are one block of text.
+BLOCK = 1 << 16
+LINES_SCHEMA = "path string, chunk_off long, size long, block string, found array<long>, scanned array<long>, seconds array<double>"
+
+
+class _Lines(_Runs):
+    """Each range gives its output lines, many in a block (without the end of the last), then a row that tells what was done for it."""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.string_only, self.eol = options.get("string_only") == "true", options.get("eol", "\n")
+
+    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        own = scanners(self.wanted)
+        counters = Counters(len(own))
+        with _opened(partition) as file:
+            for p in range_runs(file, partition, own, counters):
+                for at in range(0, len(p.offset), BLOCK):
+                    rows = slice(at, at + BLOCK)
+                    text = p.text.slice(at, BLOCK)
+                    if not self.string_only:
+                        text = pc.binary_join_element_wise(pc.utf8_lpad(pc.cast(pa.array(p.offset[rows]), pa.string()), 20, "0"), LABELS.take(pa.array(p.code[rows])), text, "\t")
+                    block = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(text)], pa.int32()), text), self.eol)
+                    yield self._row(partition, 0, block, [[]] * 3)
+        yield self._row(partition, partition.size, pa.nulls(1, pa.string()), [counters.found, counters.scanned, counters.seconds])
+
+    @staticmethod
+    def _row(partition: ByteRange, size: int, block: pa.Array, told: list) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        counts = [pa.array([v], pa.list_(t)) for v, t in zip(told, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([partition.offset]), pa.array([size]), block, *counts], ["path", "chunk_off", "size", "block", "found", "scanned", "seconds"])
 
 
 class ByteRanges(DataSource):
@@ -193,7 +309,7 @@ class ByteRanges(DataSource):
 
 
 class TextRuns(DataSource):
-    """spark.read.format("text_runs"): the runs in byte ranges, found where they are read; options encodings, filters, min_length beside those of byte_ranges."""
+    """spark.read.format("text_runs"): the runs in byte ranges, found where they are read and in output order; options encodings, filters, min_length beside those of byte_ranges."""
 
     @classmethod
     def name(cls) -> str:
@@ -203,14 +319,33 @@ class TextRuns(DataSource):
         return OUTPUT_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Runs({"encodings": "ascii,utf16le-ascii", "filters": "ascii", "min_length": "4", **self.options})
+        return _Runs({**DEFAULTS, **self.options})
+
+
+class TextLines(DataSource):
+    """spark.read.format("text_lines"): the output lines of byte ranges in blocks, and counters; options string_only and eol beside those of text_runs."""
 
+    @classmethod
+    def name(cls) -> str:
+        return "text_lines"
+
+    def schema(self) -> str:
+        return LINES_SCHEMA
 
-def _reader(spark: SparkSession, source: type[DataSource], path: str, chunk_size: str | None, jobs: int | None):
+    def reader(self, schema) -> DataSourceReader:
+        return _Lines({**DEFAULTS, **self.options})
+
+
+DEFAULTS = {"encodings": "ascii,utf16le-ascii", "filters": "ascii", "min_length": "4"}
+
+
+def _reader(spark: SparkSession, source: type[DataSource], path: str, chunk_size: str | None, jobs: int | None, **options: str):
     input_files(path)
     spark.dataSource.register(source)
     reader = spark.read.format(source.name()).option("jobs", str(jobs or spark.sparkContext.defaultParallelism))
-    return reader.option("chunk_size", chunk_size) if chunk_size else reader
+    for name, value in {**options, **({"chunk_size": chunk_size} if chunk_size else {})}.items():
+        reader = reader.option(name, value)
+    return reader
 
 
 def byte_ranges(spark: SparkSession, path: str, chunk_size: str | None = None, jobs: int | None = None) -> DataFrame:
@@ -218,5 +353,12 @@ def byte_ranges(spark: SparkSession, path: str, chunk_size: str | None = None, j
 
 
 def text_runs(spark: SparkSession, path: str, encodings_: tuple[str, ...], filters_: tuple[str, ...], min_length: int = 4, chunk_size: str | None = None, jobs: int | None = None) -> DataFrame:
-    reader = _reader(spark, TextRuns, path, chunk_size, jobs)
-    return reader.option("encodings", ",".join(encodings_)).option("filters", ",".join(filters_)).option("min_length", str(min_length)).load(path)
+    """Runs in output order."""
+    wanted = {"encodings": ",".join(encodings_), "filters": ",".join(filters_), "min_length": str(min_length)}
+    return _reader(spark, TextRuns, path, chunk_size, jobs, **wanted).load(path)
+
+
+def text_lines(spark: SparkSession, path: str, encodings_: tuple[str, ...], filters_: tuple[str, ...], min_length: int = 4, chunk_size: str | None = None, jobs: int | None = None, string_only: bool = False, eol: str = "\n") -> DataFrame:
+    """Blocks of output lines in output order. found, scanned and seconds have an entry for each encoding asked for, by code."""
+    wanted = {"encodings": ",".join(encodings_), "filters": ",".join(filters_), "min_length": str(min_length), "string_only": str(string_only).lower(), "eol": eol}
+    return _reader(spark, TextLines, path, chunk_size, jobs, **wanted).load(path)

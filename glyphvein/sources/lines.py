@@ -1,14 +1,20 @@
-"""Output lines, as a text sink and as one ordered file."""
+"""Output lines, as a text sink and as one ordered file. Runs come in output order; lines are written by the tasks."""
 
 from __future__ import annotations
 
-from collections import Counter
-from typing import TextIO
+import os
+import shutil
+import uuid
+from typing import BinaryIO
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphvein.functions.expressions import line
+from glyphvein.sources.chunks import ranged, store
+
+#: Bytes copied at a time.
+COPY = 1 << 22
 
 
 def lines(runs: DataFrame, string_only: bool = False) -> DataFrame:
@@ -17,22 +23,49 @@ def lines(runs: DataFrame, string_only: bool = False) -> DataFrame:
     return runs.select("path", "offset", "encoding_code", text.alias("line"))
 
 
-def write_lines(runs: DataFrame, path: str, string_only: bool = False, eol: str = "\n") -> None:
-    """A folder of text files in output order."""
-    lines(runs, string_only).orderBy("path", "offset", "encoding_code").select("line").write.mode("overwrite").option("lineSep", eol).text(path)
+def write_lines(texts: DataFrame, path: str, eol: str = "\n") -> None:
+    """A folder of text files from a DataFrame of one column, a line or a block of lines a row, in its order."""
+    texts.write.mode("overwrite").option("lineSep", eol).text(path)
+
+
+def parts_folder(spark: SparkSession, near: str | None) -> str:
+    """A new folder that driver and tasks share, in spark.checkpoint.dir; on one machine beside the output."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = os.path.dirname(os.path.abspath(near)) if near else os.getcwd()
+    return f"{shared.rstrip('/')}/lines-{uuid.uuid4().hex}"
+
+
+def join_parts(spark: SparkSession, folder: str, out: BinaryIO) -> None:
+    """The files of a folder that write_lines() made, byte by byte one after another."""
+    if ranged(folder):
+        system, inner = store(folder)
+        found = sorted(f.path for f in _listed(system, inner) if f.base_name.startswith("part-"))
+        for name in found:
+            with system.open_input_stream(name) as part:
+                shutil.copyfileobj(part, out, COPY)
+        return
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    for name in sorted(r.path for r in parts.select("path").collect()):  # a part at a time; as many as the input has ranges
+        out.write(parts.where(F.col("path") == name).first().content)
+
 
+def _listed(system, inner: str):
+    from pyarrow import fs
 
-def write_stream(runs: DataFrame, out: TextIO, string_only: bool = False, eol: str = "\n") -> Counter:
-    """Lines in output order, taken partition by partition; returns how many each encoding code has."""
-    ordered = lines(runs, string_only).orderBy("path", "offset", "encoding_code").select("encoding_code", "line")
-    seen: Counter = Counter()
-    for row in ordered.toLocalIterator():
-        out.write(row.line + eol)
-        seen[row.encoding_code] += 1
-    return seen
+    return system.get_file_info(fs.FileSelector(inner))
 
 
-def write_file(runs: DataFrame, path: str, string_only: bool = False, eol: str = "\n") -> Counter:
-    """One local file in output order."""
-    with open(path, "w", encoding="utf-8", newline="") as out:
-        return write_stream(runs, out, string_only, eol)
+def write_file(texts: DataFrame, out: BinaryIO, near: str | None = None, eol: str = "\n") -> None:
+    """One file, open on the driver: tasks write their parts of it, which are joined as bytes."""
+    spark = texts.sparkSession
+    folder = parts_folder(spark, near)
+    try:
+        write_lines(texts, folder, eol)
+        join_parts(spark, folder, out)
+    finally:
+        if ranged(folder):
+            system, inner = store(folder)
+            system.delete_dir(inner)

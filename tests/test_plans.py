@@ -9,7 +9,7 @@ import __spark_entry__
 from glyphvein.__main__ import main
 from glyphvein.encodings import ENCODINGS
 from glyphvein.functions import expressions as x
-from glyphvein.operators.scan import scan
+from glyphvein.operators.scan import merged, scan
 from glyphvein.plans import queries as core
 from glyphvein.plans.extract import Options, chunks, extract, found, scanned, shuffled, unordered
 from glyphvein.streaming.scan import binary_files, scan_stream
@@ -55,7 +55,10 @@ def test_extract_command_and_errors(spark, tmp_path, capsys):
     assert out.read_text() == "".join(f"{o:020d}\t{e}\t{t}\n" for (o, t), e in zip(expected, ("ASCII", "UTF16LE", "ASCII"), strict=True))
     assert "ASCII (ascii): found 2" in capsys.readouterr().err
     assert main([str(file), "-d", str(tmp_path / "lines"), "-vv", "-c", "16"], spark) == 0
-    assert "".join(p.read_text() for p in sorted((tmp_path / "lines").glob("part-*"))) == out.read_text() and "16 chunks" not in capsys.readouterr().out
+    assert "".join(p.read_text() for p in sorted((tmp_path / "lines").glob("part-*"))) == out.read_text()
+    told = capsys.readouterr().err
+    assert "found 2, scanned 3" in told and "8 chunks, chunk size 16 B" in told and "input 120 B" in told
+    assert not list(tmp_path.glob("lines-*"))
     assert main([str(file), "-s", "-o", str(out), "-m", "5"], spark) == 0
     assert out.read_text() == "first text\ntwide text\n"
     (tmp_path / "empty").write_bytes(b"")
@@ -81,7 +84,45 @@ def test_ranges_give_the_runs_of_the_whole(spark, tmp_path):
     for size, path in (("64", str(file)), ("142", f"file://{file}")):
         runs = extract(spark, path, Options(names, ("ascii", "kanji"), 2, chunk_size=size))
         assert key(runs.collect()) == expected
-    assert "Exchange" not in unordered(spark, str(file))._jdf.queryExecution().executedPlan().toString()
+        rows = runs.collect()
+        assert [(r.offset, r.encoding_code) for r in rows] == sorted((r.offset, r.encoding_code) for r in rows)
+        assert "Exchange" not in runs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_come_in_order(spark, tmp_path, monkeypatch):
+    """Runs of several files and encodings, by slabs and ranges of a few bytes, in the order of a sort; none is lost or doubled."""
+    rng = np.random.default_rng(8)
+    parts = [b"abcd", b"some words ", b"\x00", b"\n", "日本語".encode(), "wide text".encode("utf-16-le"), b"\xff\xfe", b"x" * 300, "猫犬".encode("utf-16-le") * 90]
+    (tmp_path / "in").mkdir()
+    values = {f"f{i}": b"".join(parts[k] for k in rng.integers(0, len(parts), 120)) for i in range(3)}
+    for name, data in values.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    names = ("ascii", "utf16le-ascii", "utf16le", "utf8", "cp932")
+    whole = spark.createDataFrame([(f"{tmp_path}/in/{k}", bytearray(v)) for k, v in values.items()], "path string, bytes binary")
+    expected = [tuple(r) for r in merged(scan(whole, names, "ascii,kanji", 3)).collect()]
+    for size in ("32", "64", "500", "1M"):
+        assert [tuple(r) for r in extract(spark, f"{tmp_path}/in", Options(names, ("ascii", "kanji"), 3, chunk_size=size)).collect()] == expected, size
+    with pytest.raises(ValueError):
+        Options(("utf16le",), chunk_size="3")
+
+
+def test_ranges_advance_together(tmp_path, monkeypatch):
+    """Scanners whose slabs end at different places: what is handed on is in order, and as much as the whole holds."""
+    from glyphvein.operators import runs as found
+    from glyphvein.sources import chunks as source
+
+    data = b"".join([b"abcdef\x00", b"\x00", "wide".encode("utf-16-le"), b"\xff" * 5, "日本".encode()][k] for k in np.random.default_rng(4).integers(0, 5, 300))
+    file = tmp_path / "in"
+    file.write_bytes(data)
+    own = [found.Scanner(n, ("ascii",), 2) for n in ("ascii", "utf16le-ascii", "utf8")]
+    read = lambda lo, n: [(int(o), int(c)) for p in source.range_runs(source._opened(part(lo, n)), part(lo, n), own, source.Counters(3)) for o, c in zip(p.offset, p.code)]
+    part = lambda lo, n: source.ByteRange(str(file), lo, n, len(data))
+    expected = read(0, len(data))
+    assert expected == sorted(expected) and len(expected) > 150
+    for slab, beside, size in ((16, 8, 50), (64, 4, 16), (7, 1 << 16, 2)):
+        monkeypatch.setattr(found, "SLAB", slab)
+        monkeypatch.setattr(source, "BESIDE", beside)
+        assert [r for lo in range(0, len(data), size) for r in read(lo, min(size, len(data) - lo))] == expected
 
 
 def test_scans_do_not_shuffle(spark):

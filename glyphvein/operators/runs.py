@@ -315,6 +315,9 @@ class Scanner:
         open_ = self.shaped[v[:-1] | v[1:] << 8]
         return np.flatnonzero(~open_[:-1] & ~open_[1:]) + begin
 
+    def all_cuts(self, data: np.ndarray) -> np.ndarray:
+        return self._cuts(data, 0, len(data))
+
     def next_cut(self, data: np.ndarray, at: int) -> int | None:
         """The first cut from `at` on."""
         for begin in range(at, len(data), LOOK):

@@ -12,7 +12,7 @@ from glyphvein import encodings
 from glyphvein.functions import filters
 from glyphvein.functions.expressions import parse_size
 from glyphvein.operators.scan import asked, counted, merged
-from glyphvein.operators.stitch import inner_runs, pieces, scan_chunks
+from glyphvein.operators.stitch import HEAD, RUNS, TAIL, WHOLE, parts, scan_chunks
 from glyphvein.sources.chunks import byte_ranges, cut, ranged, read_files, text_lines, text_runs
 from glyphvein.sources.lines import lines
 
@@ -100,13 +100,13 @@ def told_lines(spark: SparkSession, path: str, options: Options, string_only: bo
 
 
 def shuffled(chunk_rows: DataFrame, options: Options) -> DataFrame:
-    """How many pieces at chunk edges each encoding sends to be joined: grows as chunks shrink."""
+    """How many pieces at chunk edges each encoding sends to be joined: grows as chunks shrink, but for chunks that follow each other in a task."""
     wanted = asked(options.encodings, options.filters, options.min_length)
-    return pieces(chunk_rows, wanted).groupBy("encoding_code").agg(F.count("*").alias("pieces"))
+    return parts(chunk_rows, wanted).where(F.col("kind").isin(HEAD, TAIL, WHOLE)).groupBy("encoding_code").agg(F.count("*").alias("pieces"))
 
 
 def scanned(chunk_rows: DataFrame, options: Options) -> DataFrame:
     """How many records each encoding has before joining: runs inside chunks, and pieces at their edges."""
     wanted = asked(options.encodings, options.filters, options.min_length)
-    both = inner_runs(chunk_rows, wanted).select("encoding_code").unionByName(pieces(chunk_rows, wanted).select("encoding_code"))
-    return both.groupBy("encoding_code").agg(F.count("*").alias("scanned"))
+    own = F.when(F.col("kind") == RUNS, F.col("n")).otherwise(F.lit(1))
+    return parts(chunk_rows, wanted).groupBy("encoding_code").agg(F.sum(own).alias("scanned"))

@@ -130,7 +130,7 @@ def test_scans_do_not_shuffle(spark):
         plan = core.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and plan.count("FileScan") == 1, name
     plan = core.queries()["chunked_ascii_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(path#" in plan and not re.search(r"hashpartitioning\(path#\d+,? ?\d*\)", plan)
+    assert re.search(r"hashpartitioning\(path#\d+, encoding_code#\d+, bucket#", plan) and plan.count("Exchange") == plan.count("FileScan") == 1
 
 
 def test_stream(spark, tmp_path):

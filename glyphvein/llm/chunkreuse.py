@@ -5,7 +5,8 @@ distinct chunk is encoded once while a worker remembers it, whatever text it com
 within its text: only what lies between its first and its last safe place is, a safe place being one that no match of the
 tokenizer's splitting pattern runs across, and that its encoding has a token boundary at. Each join of chunks is
 repaired by encoding anew what lies between the safe places around it; while a chunk has none that agrees, the stretch goes on into the
-next. So ids equal those of the whole text. Joins, too, are encoded once each while remembered.
+next. So ids equal those of the whole text. Joins, too, are encoded once each while remembered. What is new goes to the
+library by way of the token file's store of short units.
 
 Tokenizers may have added tokens, whose strings become one token wherever they stand, as in the library; texts that hold one
 that takes white space with it are encoded whole. Byte-level tokenizers without normalizer are taken, others are an error.
@@ -20,9 +21,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphvein.llm.common import mixed, portions, table, utf8
+from glyphvein.llm.tokenfile import Units
 
 #: Bytes of the rolling hash (a power of two, 32 at most), and of a chunk on average.
 WINDOW, CHUNK = 32, 256
@@ -39,9 +41,10 @@ REMEMBERED = 24 << 20
 #: Bytes of texts worked off together.
 BATCH = 4 << 20
 
-#: No match of the splitting pattern goes on from a character that is no white space to ASCII white space.
-_SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r])")
-_LAST_SAFE = re.compile(r".*[^\s\x1c-\x1f\x85](?=[ \t\n\r])", re.S)
+#: No match of the splitting pattern goes on from a character that is no white space to ASCII white space. Of such characters
+#: those that bytes show are taken: visible ASCII, and characters of two bytes that begin with C3 to DF.
+_SPACE, _VISIBLE, _LEAD = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[9, 10, 13, 32]], _VISIBLE[0x21:0x7F], _LEAD[0xC3:0xE0] = True, True, True
 _GEAR = (mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -87,32 +90,32 @@ class Memory:
         self.size += len(key)
 
 
-class Chunk:
-    """A chunk's text, ids, and its safe places: how many ids come before the first and the last, and the text before and after them."""
+def safe_places(data: np.ndarray) -> np.ndarray:
+    """Where bytes begin that no match runs across from those before."""
+    if len(data) < 2:
+        return np.zeros(0, np.int64)
+    before = _VISIBLE[data[:-1]]
+    before[1:] |= (data[1:-1] >= 0x80) & _LEAD[data[:-2]]
+    return np.flatnonzero(_SPACE[data[1:]] & before) + 1
+
 
-    __slots__ = ("text", "ids", "first", "last", "head", "tail")
+class Chunk(NamedTuple):
+    """A chunk's bytes, ids, and its safe places: how many ids come before the first (-1: there is none) and the last, and the bytes before and after them."""
 
-    def __init__(self, text: str, ids: np.ndarray, sizes: np.ndarray):
-        self.text, self.ids, self.first = text, ids, -1
-        safe = _SAFE.search(text)
-        if safe:
-            end = _LAST_SAFE.match(text).end()
-            self.head, self.tail = text[: safe.start()], text[end:]
-            upto = np.concatenate([[0], np.cumsum(sizes[ids])])
-            places = np.array([len(self.head.encode()), upto[-1] - len(self.tail.encode())])
-            spot = np.minimum(np.searchsorted(upto, places), len(ids))
-            if (upto[spot] == places).all():  # its encoding agrees: a token begins there
-                self.first, self.last = map(int, spot)
+    raw: bytes
+    ids: np.ndarray
+    first: int
+    last: int
+    head: bytes
+    tail: bytes
 
 
 class Encoder:
-    """Encodes texts as the tokenizers library does, by chunks. encoded: how many chunks and joins the library was given, and their bytes."""
+    """Encodes texts as the tokenizers library does, by chunks. encoded: how many chunks and joins were encoded, and their characters."""
 
     def __init__(self, path: str, average: int = CHUNK, most: int = REMEMBERED):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.units = Units(path)
+        self.library = self.units.library
         self.library.no_truncation()
         self.library.no_padding()
         said = json.loads(self.library.to_str())
@@ -128,10 +131,28 @@ class Encoder:
         self.average, self.chunks, self.joins = average, Memory(most), Memory(most // 4)
         self.encoded, self.encoded_bytes = 0, 0
 
-    def _each(self, texts: list[str]) -> list[np.ndarray]:
+    def _each(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all texts, and where those of each begin and the last end."""
         self.encoded += len(texts)
         self.encoded_bytes += sum(map(len, texts))
-        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids, counts = self.units.encode(pa.array(texts, pa.string()))
+        return ids.astype(np.uint32), [0, *np.cumsum(counts).tolist()]
+
+    def _chunks(self, fresh: list[bytes]) -> Iterator[Chunk]:
+        """Chunks that are new, encoded alone. A safe place counts where its encoding agrees: a token begins there."""
+        ids, at = self._each(fresh)
+        data, upto = np.frombuffer(b"".join(fresh), np.uint8), np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        begin = np.concatenate([[0], np.cumsum([len(f) for f in fresh])])
+        safe = safe_places(data)
+        safe = safe[upto[np.searchsorted(upto, safe)] == safe]
+        i, j = np.searchsorted(safe, begin[:-1], "right"), np.searchsorted(safe, begin[1:]) - 1
+        some = (i <= j).tolist()
+        places = [safe[np.clip(k, 0, max(len(safe) - 1, 0))] if len(safe) else begin[:-1] for k in (i, j)]
+        tokens = [(np.searchsorted(upto, p) - at[:-1]).tolist() for p in places]
+        first, last = ((p - begin[:-1]).tolist() for p in places)
+        for k, raw in enumerate(fresh):
+            own = ids[at[k] : at[k + 1]].copy()
+            yield Chunk(raw, own, tokens[0][k], tokens[1][k], raw[: first[k]], raw[last[k] :]) if some[k] else Chunk(raw, own, -1, -1, b"", b"")
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
@@ -149,26 +170,26 @@ class Encoder:
                 found[key] = known = self.chunks.get(key)
                 if known is None:
                     fresh.append(key)
-        for key, ids in zip(fresh, self._each([k.decode() for k in fresh]) if fresh else (), strict=True):
-            found[key] = chunk = Chunk(key.decode(), ids, self.sizes)
-            self.chunks.put(key, chunk)
+        for chunk in self._chunks(fresh) if fresh else ():
+            found[chunk.raw] = chunk
+            self.chunks.put(chunk.raw, chunk)
         bounds = np.searchsorted(begin, at).tolist()
         parts: list[list] = [self._parts([found[k] for k in keys[i:j]]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-        repaired = self._repaired({p for own in parts for p in own if isinstance(p, str)})
-        return [np.concatenate([repaired[p] if isinstance(p, str) else p for p in own]) if own else np.zeros(0, np.uint32) for own in parts]
+        repaired = self._repaired({p for own in parts for p in own if isinstance(p, bytes)})
+        return [np.concatenate([repaired[p] if isinstance(p, bytes) else p for p in own]) if own else np.zeros(0, np.uint32) for own in parts]
 
     @staticmethod
     def _parts(chunks: list[Chunk]) -> list:
         """What makes the ids of a text: ids of chunks between their safe places, and stretches to be encoded anew."""
         out: list = []
-        held, start = "", True  # the stretch that is open, and whether it is the text's beginning
+        held, start = b"", True  # the stretch that is open, and whether it is the text's beginning
         for k, c in enumerate(chunks):
             final = k == len(chunks) - 1
             if c.first < 0:
                 if final and not held:
                     out.append(c.ids)
                 else:
-                    held += c.text
+                    held += c.raw
                     if final:
                         out.append(held)
                 continue
@@ -179,12 +200,14 @@ class Encoder:
             held, start = c.tail, False
         return out
 
-    def _repaired(self, stretches: set[str]) -> dict[str, np.ndarray]:
+    def _repaired(self, stretches: set[bytes]) -> dict[bytes, np.ndarray]:
         known = {s: self.joins.get(s) for s in stretches}
         fresh = [s for s, ids in known.items() if ids is None]
-        for s, ids in zip(fresh, self._each(fresh) if fresh else (), strict=True):
-            known[s] = ids
-            self.joins.put(s, ids)
+        if fresh:
+            ids, at = self._each(fresh)
+            for k, s in enumerate(fresh):
+                known[s] = ids[at[k] : at[k + 1]].copy()
+                self.joins.put(s, known[s])
         return known
 
     @functools.cached_property

@@ -12,7 +12,6 @@ beginning, every second byte begins one, counted from the last certain one.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,6 +62,8 @@ class Marks:
     cover: np.ndarray
     joined: np.ndarray
     stride: int = 1
+    #: 16-bit codes that begin at each byte, of double-byte encodings.
+    code: np.ndarray | None = None
 
 
 def _then(mask: np.ndarray, by: int) -> np.ndarray:
@@ -134,18 +135,44 @@ def _utf8(slab: Slab) -> Marks:
     return Marks(chars, cover, joined)
 
 
-def _double(name: str, slab: Slab) -> Marks:
-    v, n = np.concatenate([slab.data, np.zeros(3, np.uint8)]), len(slab.data)
-    single, lead = _flags(codecs.single_bytes(name)), np.flatnonzero(slab.data >= 0x81)
-    room = slab.ends(lead) - lead
-    code = v[lead].astype(np.uint16) << 8 | v[lead + 1]
-    pair = lead[(codecs.pair_points(name)[code] > 0) & (room > 1)]
-    chars = single[slab.data].astype(np.uint8)
-    chars[pair] = 1
+#: What two bytes may begin: a single character, an assigned pair, a pair of two code points, half of a four-byte sequence.
+ONE, PAIR, TWICE, HALF = 1, 2, 4, 8
+
+
+@functools.lru_cache(maxsize=8)
+def pair_classes(name: str) -> np.ndarray:
+    """The class of each 16-bit code."""
+    out = np.zeros((256, 256), np.uint8)
+    out[_flags(codecs.single_bytes(name))] = ONE
+    out.reshape(-1)[codecs.pair_points(name) > 0] |= PAIR
     if name == "big5":
         for twice in codecs.BIG5_DOUBLES:
-            chars[lead[(code == (twice[0] << 8 | twice[1])) & (room > 1)]] = 2
-    second = pair + 1
+            out[twice[0], twice[1]] |= TWICE
+    if name == "gb18030":
+        out[np.ix_(_flags(codecs.spread(codecs.LEADS[name])), DIGIT)] |= HALF
+    return out.reshape(-1)
+
+
+@functools.lru_cache(maxsize=8)
+def first_points(name: str) -> np.ndarray:
+    """The code point of what each 16-bit code begins with: of pairs their first, else that of the single byte."""
+    byte = np.arange(256, dtype=np.uint32)
+    single = np.where(_flags(codecs.single_bytes(name)), np.where(byte > 0x7F, byte + 0xFEC0, byte), 0)
+    return np.where(codecs.pair_points(name) > 0, codecs.pair_points(name), np.repeat(single, 256)).astype(np.uint32)
+
+
+def _double(name: str, slab: Slab) -> Marks:
+    n = len(slab.data)
+    code = slab.data.astype(np.uint16) << 8
+    code[:-1] |= slab.data[1:]
+    kind = pair_classes(name)[code]
+    last = slab.last_bytes()
+    kind[last] &= ONE  # no pair goes on from one part to the next
+    pairs = kind & PAIR != 0
+    chars = kind & ONE | pairs
+    if name == "big5":
+        chars += kind & (TWICE | PAIR) == TWICE | PAIR
+    second = np.flatnonzero(pairs) + 1
     inner = second[ranks(second, 1) % 2 == 0]  # bytes that no character begins at
     chars[inner] = 0
     cover = chars > 0
@@ -153,9 +180,10 @@ def _double(name: str, slab: Slab) -> Marks:
     if name == "gb18030":
         begins = np.ones(n, bool)
         begins[inner] = False
-        leads = _flags(codecs.spread(codecs.LEADS[name]))
-        form = lead[(room > 3) & leads[v[lead]] & DIGIT[v[lead + 1]] & leads[v[lead + 2]] & DIGIT[v[lead + 3]]]
-        place = codecs.linear(*(v[form + k].astype(np.int64) for k in range(4)))
+        half = kind & HALF != 0
+        form = np.flatnonzero(half[:-2] & half[2:]) if n > 3 else np.zeros(0, np.int64)
+        form = form[slab.ends(form) - form > 3]
+        place = codecs.linear(*(slab.data[form + k].astype(np.int64) for k in range(4)))
         form = form[(place < codecs.FOUR_BMP) | (place >= codecs.FOUR_ASTRAL) & (place < codecs.FOUR_END)]
         form = form[begins[form]]  # digits follow no lead of two, so that pairs are in step whatever comes of fours
         form = form[ranks(form, 2) % 2 == 0]
@@ -170,12 +198,12 @@ def _double(name: str, slab: Slab) -> Marks:
             s = end - size
             some = np.flatnonzero((left <= within) & (s >= slab.at[:-1]))
             s = s[some]
-            s = s[begins[s] & leads[v[s]] & DIGIT[v[s + 1]]]
+            s = s[begins[s] & half[s]]
             for k in range(size):
                 chars[s + k], cover[s + k], begins[s + k] = 0, False, False
     joined = cover & _then(cover, 1)
-    joined[slab.last_bytes()] = False
-    return Marks(chars, cover, joined)
+    joined[last] = False
+    return Marks(chars, cover, joined, code=code)
 
 
 def _wide(table: np.ndarray, astral: np.ndarray | None, slab: Slab) -> Marks:
@@ -218,59 +246,76 @@ def _within(begin: np.ndarray, size: np.ndarray, stride: int = 1) -> np.ndarray:
 
 def _double_points(name: str, slab: Slab, p: np.ndarray, m: Marks) -> np.ndarray:
     """Code points of the characters that begin at p."""
-    v = np.concatenate([slab.data, np.zeros(3, np.uint8)])
-    a, b = v[p].astype(np.uint32), v[p + 1].astype(np.uint32)
-    table = codecs.pair_points(name)
-    single = _flags(codecs.single_bytes(name))[v[p]]
-    points = np.where(single, np.where(a > 0x7F, a + 0xFEC0, a), table[a << 8 | b])
+    code = m.code[p]
+    points = first_points(name)[code]
     if name == "gb18030":
-        four = np.flatnonzero(~single & DIGIT[v[p + 1]])
-        place = codecs.linear(*(v[p[four] + k].astype(np.int64) for k in range(4)))
+        four = np.flatnonzero((points == 0) | (pair_classes(name)[code] & HALF != 0))
+        place = codecs.linear(*(slab.data[p[four] + k].astype(np.int64) for k in range(4)))
         points[four] = np.where(place < codecs.FOUR_BMP, codecs.four_points()[np.minimum(place, codecs.FOUR_BMP - 1)], place - codecs.FOUR_ASTRAL + 0x10000)
     if name == "big5":
         twice = np.flatnonzero(m.chars[p] == 2)
         if len(twice):
             second = {c[0] << 8 | c[1]: ord(t[1]) for c, t in codecs.BIG5_DOUBLES.items()}
-            points = np.insert(points, twice + 1, [second[int(x)] for x in a[twice] << 8 | b[twice]])
+            points = np.insert(points, twice + 1, [second[int(x)] for x in code[twice]])
     return points
 
 
 # ---------------------------------------------------------------- ISO-2022-JP
 
-_ESCAPE = rb"\x1b(?:\([BJI]|\$[@B])"
-
-
-@functools.lru_cache(maxsize=1)
-def _escaped() -> tuple[re.Pattern, re.Pattern]:
-    """Runs in a stretch with escapes, inside the input and at its end. A byte that ends a run is consumed with it: the mode is lost there."""
-    seconds: dict[int, list[int]] = {}
-    for pair in codecs.kanji_pairs():
-        seconds.setdefault(pair[0], []).append(pair[1])
-    kanji = b"|".join(re.escape(bytes([a])) + b"[" + b"".join(b"\\x%02x" % b for b in bs) + b"]" for a, bs in seconds.items())
-    text = rb"[\t\x20-\x7e]"
-    part = rb"(?:" + _ESCAPE + rb")*+(?:(?<=\([BJ])" + text + rb"++|(?<=\(I)[\x21-\x5f]++|(?<=\$[@B])(?:" + kanji + rb")++)"
-    body = rb"(?:(?=\x1b)" + part + rb")"
-    run = rb"(" + text + rb"++" + body + rb"*+|" + body + rb"++)[^\x1b]?+|(?:" + _ESCAPE + rb")++[^\x1b]?+"
-    return re.compile(run, re.S), re.compile(run + rb"|\x1b[($]?\Z", re.S)
-
-
-def decode_iso2022jp(raw: bytes) -> str:
-    """The text of a run, which begins in ASCII. Of escapes that follow each other the last counts."""
-    out = []
-    for k, part in enumerate(re.split(rb"\x1b(\([BJI]|\$[@B])", raw)):
-        if k % 2:
-            mode = part
-        elif part and k:
-            v = np.frombuffer(part, np.uint8)
-            if mode[:1] == b"$":
-                points = codecs.kanji_points()[v[::2].astype(np.uint16) << 8 | v[1::2]]
-            else:
-                points = v + np.uint32(0xFF40 if mode == b"(I" else 0)
-            text = points.astype("<u4").tobytes().decode("utf-32-le")
-            out.append(text.replace("\\", "¥").replace("~", "‾") if mode == b"(J" else text)
-        else:
-            out.append(part.decode("ascii"))
-    return "".join(out)
+#: Modes by what follows ESC; fixed values.
+ASCII_MODE, ROMAN, KANA, KANJI = 0, 1, 2, 3
+_SHIFTS = {b"(B": ASCII_MODE, b"(J": ROMAN, b"(I": KANA, b"$@": KANJI, b"$B": KANJI}
+#: Bytes of half-width katakana, and of halves of kanji.
+_KANA, _HALVES = _flags(range(0x21, 0x60)), _flags(range(0x21, 0x7F))
+
+
+@dataclass
+class Shifts:
+    """Escapes of a slab, in order, and what is valid after each in its mode.
+
+    begin: of the escape; mode; first: of what follows; size: how many bytes of it are characters, without a break; after:
+    where the next escape or the end of its part is. What comes after a break, up to the next escape, is ASCII.
+    """
+
+    begin: np.ndarray
+    mode: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    after: np.ndarray
+    #: The next escape is in the same part, and nothing breaks before it.
+    goes_on: np.ndarray
+
+
+def _next(positions: np.ndarray, at: np.ndarray, default: np.ndarray) -> np.ndarray:
+    """The first of the positions from each place on, default at most."""
+    i = np.searchsorted(positions, at)
+    return np.minimum(np.append(positions, np.iinfo(np.int64).max)[i], default)
+
+
+def shifts(slab: Slab) -> Shifts:
+    v = slab.data
+    escape = np.flatnonzero(v == 0x1B)
+    escape = escape[slab.ends(escape) - escape > 2] if len(escape) else escape
+    code = v[escape + 1].astype(np.int64) << 8 | v[escape + 2]
+    mode = np.full(len(escape), -1)
+    for said, m in _SHIFTS.items():
+        mode[code == (said[0] << 8 | said[1])] = m
+    begin, mode = escape[mode >= 0], mode[mode >= 0]
+    end = slab.ends(begin) if len(begin) else begin
+    after = np.minimum(np.append(begin[1:], len(v)), end) if len(begin) else begin
+    first, size = begin + 3, np.zeros(len(begin), np.int64)
+    for modes, table in (((ASCII_MODE, ROMAN), TEXT), ((KANA,), _KANA), ((KANJI,), _HALVES)):
+        own = np.flatnonzero(np.isin(mode, modes))
+        if len(own):
+            size[own] = _next(np.flatnonzero(~table[v]), first[own], after[own]) - first[own]
+    own = np.flatnonzero(mode == KANJI)
+    if len(own):
+        n = size[own] // 2
+        at = _within(first[own], n, 2)
+        bad = np.flatnonzero(codecs.kanji_points()[v[at].astype(np.int64) << 8 | v[at + 1]] == 0)
+        upto = np.cumsum(n) - n
+        size[own] = 2 * (_next(bad, upto, upto + n) - upto)
+    return Shifts(begin, mode, first, size, after, (first + size == after) & (after < end))
 
 
 # ---------------------------------------------------------------- scanners
@@ -418,35 +463,58 @@ class Scanner:
         return stay
 
     def _shifted(self, slab: Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """ISO-2022-JP: runs of ASCII, but where a stretch of bytes that may be text holds escapes, which is read in order."""
-        m = _single(TEXT, slab)
-        begin, end = spans(m, self.least)
-        escapes = np.flatnonzero(slab.data == 0x1B)
-        stretch, upto = spans(_single(self.shaped, slab), 1)
-        which = np.unique(np.searchsorted(stretch, escapes, "right") - 1)
-        own = np.searchsorted(stretch, begin, "right") - 1
-        outside = ~np.isin(own, which) if len(begin) else np.zeros(0, bool)
-        begin, end = begin[outside], end[outside]
+        """ISO-2022-JP: runs of ASCII, and chains of escapes with the characters after them that no break parts.
+
+        A chain begins with the ASCII run that ends at its first escape, or at that escape; escapes at its end are no part of it.
+        """
+        v, found = slab.data, shifts(slab)
+        table = TEXT[v]
+        # the input's last bytes may begin an escape: they are no text
+        end = slab.at[1:][(slab.base + np.diff(slab.at) == slab.total) & (np.diff(slab.at) > 1)] - 1
+        table[end[(v[end - 1] == 0x1B) & ((v[end] == 0x28) | (v[end] == 0x24))]] = False
+        if len(found.begin):
+            table[_within(found.begin, np.minimum(found.first + found.size + 1, found.after) - found.begin)] = False  # and the byte that breaks
+        joined = table & _then(table, 1)
+        joined[slab.last_bytes()] = False
+        begin, stop = spans(Marks(table, table, joined), self.least)
+        chain = np.cumsum(np.concatenate([[True], ~found.goes_on[:-1]])) - 1 if len(found.begin) else found.begin
+        head = np.flatnonzero(np.concatenate([[True], ~found.goes_on[:-1]])) if len(found.begin) else found.begin
+        if len(head):
+            where = found.begin[head]
+            plain = ~np.isin(stop, where[~np.isin(where, slab.at)])  # what ends where a part begins belongs to the part before
+            begin, stop = begin[plain], stop[plain]
         row = np.searchsorted(slab.at, begin, "right") - 1
-        counts = end - begin
-        text = strings(slab.data[_within(begin, counts)], counts)
-        inner, final = _escaped()
-        found: list[tuple[int, int, int, str]] = []
-        for s, e in zip(stretch[which].tolist(), upto[which].tolist(), strict=True):
-            raw = slab.data[s:e].tobytes()
-            r = int(np.searchsorted(slab.at, s, "right")) - 1
-            at_end = slab.base[r] + e - slab.at[r] == slab.total[r]
-            for x in (final if at_end else inner).finditer(raw):
-                if x[1] is not None:
-                    t = decode_iso2022jp(x[1])
-                    if len(t) >= self.least:
-                        found.append((s + x.start(1), len(x[1]), len(t), t))
-        if not found:
+        counts = stop - begin
+        text = strings(v[_within(begin, counts)], counts)
+        if not len(head):
             return row, begin - slab.at[row], counts, counts, text
-        more = [np.array([f[k] for f in found], np.int64) for k in range(3)]
-        row = np.concatenate([row, np.searchsorted(slab.at, more[0], "right") - 1])
-        begin, size, counts = (np.concatenate([x, y]) for x, y in zip((begin, counts, counts), more, strict=True))
-        return row, begin - slab.at[row], size, counts, pa.concat_arrays([text, pa.array([f[3] for f in found], pa.string())])
+        # what each chain says, stretch by stretch: the ASCII before it, then what follows each escape
+        gaps = np.concatenate([[-1], np.flatnonzero(~table)])
+        lead = np.maximum(gaps[np.searchsorted(gaps, where) - 1] + 1, slab.at[np.searchsorted(slab.at, where, "right") - 1])
+        of = np.concatenate([np.arange(len(head)), chain])
+        first, size = np.concatenate([lead, found.first]), np.concatenate([where - lead, found.size])
+        mode = np.concatenate([np.full(len(head), ASCII_MODE), found.mode])
+        some = np.flatnonzero(size > 0)
+        some = some[np.lexsort((first[some], of[some]))]
+        of, first, size, mode = of[some], first[some], size[some], mode[some]
+        stride = np.where(mode == KANJI, 2, 1)
+        chars = size // stride
+        total = np.bincount(of, chars, len(head)).astype(np.int64)
+        last = np.zeros(len(head), np.int64)
+        np.maximum.at(last, of, first + size)
+        keep = total >= max(self.least, 1)
+        mine = keep[of]
+        first, chars, mode, stride = first[mine], chars[mine], mode[mine], stride[mine]
+        at = np.repeat(first - (np.cumsum(chars) - chars) * stride, chars) + np.arange(chars.sum()) * np.repeat(stride, chars)
+        kind, byte = np.repeat(mode, chars), v[at].astype(np.uint32)
+        points = np.where(kind == KANA, byte + 0xFF40, byte)
+        points[(kind == ROMAN) & (byte == 0x5C)], points[(kind == ROMAN) & (byte == 0x7E)] = 0xA5, 0x203E
+        pair = np.flatnonzero(kind == KANJI)
+        points[pair] = codecs.kanji_points()[byte[pair] << 8 | v[at[pair] + 1]]
+        start = lead[keep]
+        row = np.concatenate([row, np.searchsorted(slab.at, start, "right") - 1])
+        begin, size, counts = np.concatenate([begin, start]), np.concatenate([counts, last[keep] - start]), np.concatenate([counts, total[keep]])
+        return row, begin - slab.at[row], size, counts, pa.concat_arrays([text, strings(points, total[keep])])
 
 
 @functools.lru_cache(maxsize=64)

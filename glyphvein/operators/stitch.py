@@ -77,31 +77,35 @@ def _bounds(s: Scanner, data: np.ndarray, at: np.ndarray, starts: np.ndarray, en
     return inner_begin, inner_end
 
 
-def parts(chunks: DataFrame, wanted: list[tuple], most: int = MOST) -> DataFrame:
+def parted(batches: Iterable[pa.RecordBatch], own: list[Scanner], task: int, most: int = MOST) -> Iterator[pa.RecordBatch]:
     """Of each batch of chunks (path, chunk_off, bytes, file_len): blocks of runs, and pieces at the edges of what is contiguous."""
-    bucket = BUCKETS * most
+    number = task << 32
+    for batch in batches:
+        data, row_at = _offsets(batch.column("bytes"))
+        off, total, path = np.asarray(batch.column("chunk_off"), np.int64), np.asarray(batch.column("file_len"), np.int64), batch.column("path")
+        first = np.flatnonzero(_fresh(_codes(path), off, np.diff(row_at)))
+        if not len(first):
+            continue
+        at = np.append(row_at[first], row_at[-1])
+        base, total, path, size = off[first], total[first], path.take(pa.array(first)), np.diff(at)
+        for s in own:
+            begin, end = _bounds(s, data, at, base == 0, base + size == total)
+            inner = np.flatnonzero(begin < end)
+            if len(inner):
+                whole = (begin[inner] == at[inner]).all() and (end[inner] == at[inner + 1]).all() and len(inner) == len(size)
+                cut_at = np.concatenate([[0], np.cumsum(end[inner] - begin[inner])])
+                values = _binary(data, at) if whole else _binary(np.concatenate([data[i:j] for i, j in zip(begin[inner].tolist(), end[inner].tolist(), strict=True)]), cut_at)
+                for found in run_batches([s], values, {"path": path.take(pa.array(inner))}, (base + begin - at[:-1])[inner], total[inner]):
+                    yield _block(found, s.encoding.code, number)
+                    number += 1
+            yield from _edges(s, data, at, begin, end, base, total, path, most)
+
+
+def parts(chunks: DataFrame, wanted: list[tuple], most: int = MOST) -> DataFrame:
+    """parted() by the tasks: one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, number = scanners(wanted), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            data, row_at = _offsets(batch.column("bytes"))
-            off, total, path = np.asarray(batch.column("chunk_off"), np.int64), np.asarray(batch.column("file_len"), np.int64), batch.column("path")
-            first = np.flatnonzero(_fresh(_codes(path), off, np.diff(row_at)))
-            if not len(first):
-                continue
-            at = np.append(row_at[first], row_at[-1])
-            base, total, path, size = off[first], total[first], path.take(pa.array(first)), np.diff(at)
-            for s in own:
-                begin, end = _bounds(s, data, at, base == 0, base + size == total)
-                inner = np.flatnonzero(begin < end)
-                if len(inner):
-                    whole = (begin[inner] == at[inner]).all() and (end[inner] == at[inner + 1]).all() and len(inner) == len(size)
-                    cut_at = np.concatenate([[0], np.cumsum(end[inner] - begin[inner])])
-                    values = _binary(data, at) if whole else _binary(np.concatenate([data[i:j] for i, j in zip(begin[inner].tolist(), end[inner].tolist(), strict=True)]), cut_at)
-                    for found in run_batches([s], values, {"path": path.take(pa.array(inner))}, (base + begin - at[:-1])[inner], total[inner]):
-                        yield _block(found, s.encoding.code, number)
-                        number += 1
-                yield from _edges(s, data, at, begin, end, base, total, path, bucket, most)
+        return parted(batches, scanners(wanted), TaskContext.get().partitionId(), most)
 
     return chunks.select("path", "chunk_off", "bytes", "file_len").where(F.length("bytes") > 0).mapInArrow(run, PARTS_SCHEMA)
 
@@ -114,7 +118,8 @@ def _block(found: pa.RecordBatch, code: int, number: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{"path": None, "encoding_code": code, "bucket": number, "kind": RUNS, "start": 0, "size": 0, "file_len": 0, "n": found.num_rows, "data": sink.getvalue().to_pybytes()}], _PARTS)
 
 
-def _edges(s: Scanner, data: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.ndarray, total: np.ndarray, path: pa.Array, bucket: int, most: int) -> Iterator[pa.RecordBatch]:
+def _edges(s: Scanner, data: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.ndarray, total: np.ndarray, path: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    bucket = BUCKETS * most
     none = begin > end
     lo = np.concatenate([at[:-1][none], at[:-1][~none], end[~none]])
     hi = np.concatenate([at[1:][none], begin[~none], at[1:][~none]])
@@ -142,7 +147,7 @@ def _edges(s: Scanner, data: np.ndarray, at: np.ndarray, begin: np.ndarray, end:
     )
 
 
-def joined(rows: pa.RecordBatch, bucket: int, most: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def joined(rows: pa.RecordBatch, most: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces in order, strung together where they adjoin: code, path, bytes, start and input's length of each string that begins in the rows' own stretch."""
     code, kind, start, size, own = (np.asarray(rows.column(c), np.int64) for c in ("encoding_code", "kind", "start", "size", "bucket"))
     fresh = _begins(_codes(rows.column("path")), code, own, kind, start, size)
@@ -151,7 +156,7 @@ def joined(rows: pa.RecordBatch, bucket: int, most: int) -> tuple[pa.Array, pa.A
     values = _binary(data, np.append(at[first], at[-1]))
     if len(first) and np.diff(np.append(at[first], at[-1])).max() > most:
         raise ValueError("a run spans more than 1 GiB")
-    here = (kind[first] != MARK) & (start[first] // bucket == own[first])
+    here = (kind[first] != MARK) & (start[first] // (BUCKETS * most) == own[first])
     kept = first[here]
     return code[kept], rows.column("path").take(pa.array(kept)), values.take(pa.array(np.flatnonzero(here))), start[kept], np.asarray(rows.column("file_len"), np.int64)[kept]
 
@@ -163,17 +168,18 @@ def _begins(path, code, own, kind, start, size) -> np.ndarray:
     return fresh
 
 
-def stitched(batches: Iterator[pa.RecordBatch], own: dict[int, Scanner], bucket: int, most: int) -> Iterator[pa.RecordBatch]:
+def stitched(batches: Iterable[pa.RecordBatch], own: list[Scanner], most: int = MOST) -> Iterator[pa.RecordBatch]:
     """Runs of parts that come sorted by path, encoding, bucket and start. A string that a batch leaves open is held until it ends."""
     held: list[pa.RecordBatch] = []
+    by_code = {s.encoding.code: s for s in own}
 
     def scanned() -> Iterator[pa.RecordBatch]:
         if held:
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
-            code, path, values, start, total = joined(rows, bucket, most)
+            code, path, values, start, total = joined(rows, most)
             for c in np.unique(code).tolist():
                 mine = np.flatnonzero(code == c)
-                yield from run_batches([own[c]], values.take(pa.array(mine)), {"path": path.take(pa.array(mine))}, start[mine], total[mine])
+                yield from run_batches([by_code[c]], values.take(pa.array(mine)), {"path": path.take(pa.array(mine))}, start[mine], total[mine])
 
     for batch in batches:
         kind = np.asarray(batch.column("kind"))
@@ -205,7 +211,7 @@ def scan_chunks(chunks: DataFrame, encodings_: str | Iterable[str] = encodings.D
     wanted = asked(encodings_, filters_, min_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from stitched(batches, {s.encoding.code: s for s in scanners(wanted)}, BUCKETS * most, most)
+        return stitched(batches, scanners(wanted), most)
 
     keys = ("path", "encoding_code", "bucket")
     met = parts(chunks, wanted, most).repartition(*keys).sortWithinPartitions(*keys, "start")

@@ -103,3 +103,35 @@ def utf16_resolved(data, names, least):
                 wins = plain(a[2]) if plain(a[2]) != plain(b[2]) else a[1] >= b[1]
                 lost.add((b if wins else a)[:1] + ((b if wins else a)[3],))
     return sorted((r[0], r[2]) for r in runs if (r[0], r[3]) not in lost and len(r[2]) >= least)
+
+
+def iso2022jp_runs(data, least):
+    modes = {b"(B": 0, b"(J": 1, b"(I": 2, b"$@": 3, b"$B": 3}
+    pairs = codecs.kanji_pairs()
+    out, i, mode, start, text, end = [], 0, 0, None, "", 0
+
+    def close():
+        if text and len(text) >= least:
+            out.append((start, text))
+
+    while i < len(data):
+        if data[i] == 0x1B and bytes(data[i + 1 : i + 3]) in modes:
+            mode, start, i = modes[bytes(data[i + 1 : i + 3])], i if start is None else start, i + 3
+            continue
+        c, n = None, 1
+        if mode == 3:
+            c, n = pairs.get(bytes(data[i : i + 2])), 2
+        elif mode == 2:
+            c = chr(data[i] + 0xFF40) if 0x21 <= data[i] <= 0x5F else None
+        elif data[i] == 9 or 0x20 <= data[i] < 0x7F:
+            c = {(1, 0x5C): "\u00a5", (1, 0x7E): "\u203e"}.get((mode, data[i]), chr(data[i]))
+        if c is not None:
+            start, text, i = i if start is None else start, text + c, i + n
+            continue
+        close()
+        mode, start, text = 0, None, ""
+        if bytes(data[i:]) in (b"\x1b", b"\x1b(", b"\x1b$"):
+            break
+        i += 1
+    close()
+    return out

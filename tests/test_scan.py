@@ -8,8 +8,9 @@ from vectors import VECTORS
 
 from glyphvein.encodings import ENCODINGS
 from glyphvein.functions import codecs, filters
+from glyphvein.operators.runs import Scanner, run_batches
 from glyphvein.operators.scan import OUTPUT, merged, scan
-from glyphvein.operators.stitch import scan_chunks
+from glyphvein.operators.stitch import parted, scan_chunks, stitched
 from glyphvein.sources.chunks import cut
 
 
@@ -69,6 +70,44 @@ def test_patterns_agree_with_models(spark):
         assert _found(scan(df, "utf16le", names, 2)) == keep({k: models.utf16_resolved(v, names, 2) for k, v in values.items()}), names
 
 
+def _rows(scanner, values):
+    batches = run_batches([scanner], pa.array(list(values.values()), pa.binary()), {"path": pa.array(list(values))})
+    return sorted(tuple(r.values()) for b in batches for r in b.to_pylist())
+
+
+def test_shifted_runs_agree_with_the_model():
+    parts = [b"ab", b"K", b"\x00", b"\x1b$B", b"\x1b$@", b"\x1b(B", b"\x1b(J", b"\x1b(I", b"\x1b", b"\x1b$", b"\x1b(", b"\x1b$A", b"F|", b"K\\", b"~\\", b"6@", b"\x7f", b"!", b" ", b"\t", b"\x80", b"zz\x1b(H"]
+    rng = np.random.default_rng(7)
+    for least in (1, 2, 4):
+        values = {str(i): b"".join(parts[k] for k in rng.integers(0, len(parts), int(rng.integers(0, 25)))) for i in range(2000)}
+        found = defaultdict(list)
+        for r in _rows(Scanner("iso2022-jp", ("ascii",), least), values):
+            found[r[0]].append((r[1], r[6]))
+        assert found == {k: v for k, v in ((k, models.iso2022jp_runs(v, least)) for k, v in values.items()) if v}
+
+
+def _chunk_batch(rows):
+    path, at, data, total = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(path), pa.array(at, pa.int64()), pa.array(data, pa.binary()), pa.array(total, pa.int64())], ["path", "chunk_off", "bytes", "file_len"])
+
+
+@pytest.mark.parametrize("name", [e.name for e in ENCODINGS])
+def test_every_chunk_size_without_spark(name):
+    """Chunks of 1 byte up to more than the input, in order, shuffled, and in batches of any size; pieces dealt by stretches of 512 bytes."""
+    values = {k: v[:90] for k, v in _inputs(40, [bytes([0x81, 0xFE])]).items()}
+    scanner, rng = Scanner(name, ("ascii", "kanji", "cyrillic"), 2), np.random.default_rng(2)
+    expected = _rows(scanner, values)
+    for size in range(1, max(map(len, values.values())) + 3):
+        rows = [(k, at, v[at : at + size], len(v)) for k, v in values.items() for at in range(0, len(v), size)]
+        if size % 3:
+            rows = [rows[i] for i in rng.permutation(len(rows))]
+        per = len(rows) if size % 2 else int(rng.integers(1, 60))
+        sent = pa.Table.from_batches(list(parted([_chunk_batch(rows[i : i + per]) for i in range(0, len(rows), per)], [scanner], 0, 128)))
+        sent = sent.sort_by([(c, "ascending") for c in ("path", "encoding_code", "bucket", "start")]).combine_chunks()
+        got = [tuple(r.values()) for b in stitched(sent.to_batches(max_chunksize=1 + size % 9), [scanner], 128) for r in b.to_pylist()]
+        assert sorted(got) == expected, size
+
+
 @pytest.mark.parametrize("size", [6])
 def test_chunks_do_not_change_results(spark, size):
     df = _frame(spark, _inputs(60, [])).cache()

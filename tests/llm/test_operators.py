@@ -636,6 +636,22 @@ def test_code_lengths_bit_by_bit():
     assert model.code_lengths(symbols, bounds) == pytest.approx(expected, rel=1e-4)
 
 
+def test_held_out_bits_beat_single_words(spark):
+    """Held-out documents of the driver's table cost fewer bits a byte than under single words, and fewer than 2.20."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = scoring.score(docs).join(docs.select("doc_id", F.octet_length("text").alias("size")), "doc_id").where("held_out")
+    base, model = rows.select(*(F.sum(c) / F.sum("size") * -math.log2(10) for c in ("base_score", "score"))).first()
+    assert model < base and model < 2.2
+
+
+def test_spelled_words_are_told_apart():
+    """What is spelled so far, from each word's own beginning; nothing of it crosses a space, a known word or a text."""
+    symbols = np.array([97, 98, 32, 97, 98, 300, 97, 98, 256, 98, 97], np.int32)
+    inside, so_far = scoring.spelled(symbols, np.array([0, 9]))
+    assert inside.tolist() == [False, True, True, False, True, True, False, True, True, False, True]
+    assert so_far[1] == so_far[4] == so_far[7] != so_far[10] and so_far[2] == so_far[5] == so_far[8] != so_far[1]
+
+
 def test_symbols_tell_texts_apart():
     """Texts are read back from their symbols: known words stand for themselves, single spaces beside them are understood."""
     import pyarrow as pa

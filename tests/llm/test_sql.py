@@ -19,4 +19,4 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))

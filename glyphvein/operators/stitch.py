@@ -77,8 +77,11 @@ def _bounds(s: Scanner, data: np.ndarray, at: np.ndarray, starts: np.ndarray, en
     return inner_begin, inner_end
 
 
-def parted(batches: Iterable[pa.RecordBatch], own: list[Scanner], task: int, most: int = MOST) -> Iterator[pa.RecordBatch]:
-    """Of each batch of chunks (path, chunk_off, bytes, file_len): blocks of runs, and pieces at the edges of what is contiguous."""
+def parted(batches: Iterable[pa.RecordBatch], own: list[Scanner], task: int, most: int = MOST, closing: bool = False) -> Iterator[pa.RecordBatch]:
+    """Of each batch of chunks (path, chunk_off, bytes, file_len): blocks of runs, and pieces at the edges of what is contiguous.
+
+    closing: heads come even where they are empty, so that each string ends with one.
+    """
     number = task << 32
     for batch in batches:
         data, row_at = _offsets(batch.column("bytes"))
@@ -98,14 +101,14 @@ def parted(batches: Iterable[pa.RecordBatch], own: list[Scanner], task: int, mos
                 for found in run_batches([s], values, {"path": path.take(pa.array(inner))}, (base + begin - at[:-1])[inner], total[inner]):
                     yield _block(found, s.encoding.code, number)
                     number += 1
-            yield from _edges(s, data, at, begin, end, base, total, path, most)
+            yield from _edges(s, data, at, begin, end, base, total, path, most, closing)
 
 
-def parts(chunks: DataFrame, wanted: list[tuple], most: int = MOST) -> DataFrame:
+def parts(chunks: DataFrame, wanted: list[tuple], most: int = MOST, closing: bool = False) -> DataFrame:
     """parted() by the tasks: one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return parted(batches, scanners(wanted), TaskContext.get().partitionId(), most)
+        return parted(batches, scanners(wanted), TaskContext.get().partitionId(), most, closing)
 
     return chunks.select("path", "chunk_off", "bytes", "file_len").where(F.length("bytes") > 0).mapInArrow(run, PARTS_SCHEMA)
 
@@ -118,14 +121,14 @@ def _block(found: pa.RecordBatch, code: int, number: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{"path": None, "encoding_code": code, "bucket": number, "kind": RUNS, "start": 0, "size": 0, "file_len": 0, "n": found.num_rows, "data": sink.getvalue().to_pybytes()}], _PARTS)
 
 
-def _edges(s: Scanner, data: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.ndarray, total: np.ndarray, path: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+def _edges(s: Scanner, data: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.ndarray, total: np.ndarray, path: pa.Array, most: int, closing: bool) -> Iterator[pa.RecordBatch]:
     bucket = BUCKETS * most
     none = begin > end
     lo = np.concatenate([at[:-1][none], at[:-1][~none], end[~none]])
     hi = np.concatenate([at[1:][none], begin[~none], at[1:][~none]])
     row = np.concatenate([np.flatnonzero(none), np.flatnonzero(~none), np.flatnonzero(~none)])
     kind = np.repeat([WHOLE, HEAD, TAIL], [none.sum(), (~none).sum(), (~none).sum()])
-    some = np.flatnonzero(lo < hi)
+    some = np.flatnonzero((lo < hi) | closing & (kind == HEAD) & (base[row] > 0))
     if not len(some):
         return
     lo, hi, row, kind = lo[some], hi[some], row[some], kind[some]

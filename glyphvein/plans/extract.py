@@ -13,10 +13,11 @@ from glyphvein.functions import filters
 from glyphvein.functions.expressions import parse_size
 from glyphvein.operators.scan import asked, counted, merged
 from glyphvein.operators.stitch import HEAD, RUNS, TAIL, WHOLE, parts, scan_chunks
-from glyphvein.sources.chunks import byte_ranges, cut, ranged, read_files, text_lines, text_runs
+from glyphvein.sources.chunks import byte_ranges, ranged, text_lines, text_runs
 from glyphvein.sources.lines import lines
+from glyphvein.sources.stores import store_chunks
 
-#: Default chunk for inputs that only Spark's readers open: one chunk is one row.
+#: Default chunk for packed files in stores that only Spark's readers open.
 CHUNK = "16M"
 found = counted
 
@@ -45,10 +46,10 @@ class Options:
 
 
 def chunks(spark: SparkSession, path: str, options: Options) -> DataFrame:
-    """Ranges of files in stores that tasks read by range; of other stores, whole files that are then cut."""
+    """Ranges of files in stores that tasks read by range; of other stores, lines that Spark reads, strung together."""
     if ranged(path):
         return byte_ranges(spark, path, options.chunk_size, options.jobs or None)
-    return cut(read_files(spark, path), parse_size(options.chunk_size or CHUNK))
+    return store_chunks(spark, path, parse_size(options.chunk_size or CHUNK))
 
 
 def unordered(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:

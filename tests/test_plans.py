@@ -12,6 +12,7 @@ from glyphvein.functions import expressions as x
 from glyphvein.operators.scan import merged, scan
 from glyphvein.plans import queries as core
 from glyphvein.plans.extract import Options, chunks, extract, found, scanned, shuffled, unordered
+from glyphvein.sources.chunks import ranged
 from glyphvein.streaming.scan import binary_files, scan_stream
 
 SF = "/root/testdata/sf0.001"
@@ -125,6 +126,59 @@ def test_ranges_advance_together(tmp_path, monkeypatch):
         assert [r for lo in range(0, len(data), size) for r in read(lo, min(size, len(data) - lo))] == expected
 
 
+def _mounted(spark, folder):
+    """A path to a local folder that only Spark's readers open."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{folder}")
+    path = "viewfs://store/in"
+    assert not ranged(path)
+    return path
+
+
+def test_files_of_any_store(spark, tmp_path):
+    """Bytes come back from lines at their places: marks, line ends of all kinds, files with and without a last line feed, ranges of a few bytes."""
+    rng = np.random.default_rng(6)
+    parts = [b"\n", b"\r\n", b"\r", b"some text", b"\x00", "日本語".encode(), "wide\n".encode("utf-16-le"), b"\xef\xbb\xbf", b"\x1b$BF|", bytes(range(256))]
+    values = {f"f{i}": b"".join(parts[k] for k in rng.integers(0, len(parts), 150)) for i in range(4)}
+    values |= {"mark": b"\xef\xbb\xbfafter a mark\nmore", "mark2": b"\xef\xbb\xbf\n", "only": b"\xef\xbb\xbf", "feed": b"\n", "none": b"no line feed", "wide": "\ufeffwide text\nand more\u0a0a\u0a41 text".encode("utf-16-le")}
+    for name, data in values.items():
+        (tmp_path / name).write_bytes(data)
+    path = _mounted(spark, tmp_path)
+    names, filters = tuple(e.name for e in ENCODINGS), ("ascii", "kanji", "printable")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "37b")
+    try:
+        chunks_ = chunks(spark, path, Options(names, filters, 2)).collect()
+        runs = [tuple(r) for r in extract(spark, path, Options(names, filters, 2)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    back = {}
+    for r in sorted(chunks_, key=lambda r: (r.path, r.chunk_off)):
+        name = r.path.rsplit("/", 1)[1]
+        assert r.chunk_off == len(back.get(name, b"")) and r.file_len == len(values[name])
+        back[name] = back.get(name, b"") + bytes(r.bytes)
+    assert back == values and len(chunks_) > 100
+    whole = spark.createDataFrame([(f"{path}/{k}", bytearray(v)) for k, v in values.items()], "path string, bytes binary")
+    assert runs == [tuple(r) for r in merged(scan(whole, names, filters, 2)).collect()]
+    out = tmp_path.parent / "store.txt"
+    assert main([path, "-s", "-m", "9", "-o", str(out)], spark) == 0
+    assert out.read_text().split("\n")[:-1] == [r[-1] for r in (tuple(r) for r in merged(scan(whole, min_length=9)).collect())]
+    (tmp_path / "x.gz").write_bytes(b"\x1f\x8bnot really packed")
+    assert "not really packed" in {r.text for r in extract(spark, path).collect()}
+    (tmp_path / "empty").write_bytes(b"")
+    with pytest.raises(ValueError):
+        extract(spark, path)
+
+
+def test_a_file_beyond_two_gib(spark, tmp_path):
+    """Sparse in the file system, so that it costs no disk: lines of zeros of 64 MiB, with text at their ends."""
+    step, n = 64 << 20, 34
+    with open(tmp_path / "large", "wb") as file:
+        for k in range(n):
+            file.seek((k + 1) * step - 9)
+            file.write(b"text %02d!\n" % k)
+    rows = extract(spark, _mounted(spark, tmp_path), Options(("ascii",))).collect()
+    assert [(r.offset, r.text) for r in rows] == [((k + 1) * step - 9, f"text {k:02d}!") for k in range(n)] and n * step > 2 << 30
+
+
 def test_scans_do_not_shuffle(spark):
     for name in ("scan_ascii_documents", "scan_utf16le_printable", "scan_cp932_documents", "merge_encodings", "scan_utf8_documents"):
         plan = core.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphvein.llm.common import mixed, portions, row_key, settled, stored, table, unused, utf8, word_hashes, words_of
+from glyphvein.llm.common import mixed, portions, released, row_key, settled, stored, table, unused, utf8, word_hashes, words_of
 from glyphvein.llm.components import components, forest, local_components
 
 N_WORDS, THRESHOLD = 5, 0.8
@@ -139,10 +139,10 @@ def stretch_ties(full: np.ndarray, least: float, across: int = 0) -> tuple[np.nd
     return ties[0][:, 0], ties[0][:, 1]
 
 
-def tied(classes: DataFrame, threshold: float) -> DataFrame:
+def tied(classes: DataFrame, threshold: float, depth: int | None = None) -> DataFrame:
     """Edges (a, b) that tie classes (fp, signature) which are candidates of each other in some tree: a spanning forest for each stretch of a tree."""
     label = 2 * DEPTH
-    shortest = least_depth(threshold)
+    shortest = depth or least_depth(threshold)
     wider = max(1, shortest - 1)
     least = (threshold - SLACK) * TREES * DEPTH
     prefix = lambda values: F.expr(f"substring(label, 1, {2 * values})")
@@ -203,7 +203,10 @@ def tied(classes: DataFrame, threshold: float) -> DataFrame:
         cut = cut.withColumn("side", F.when((F.col("p.i") != F.col("p.j")) & (F.col("part") == F.col("p.j")), 1).otherwise(0))
         more = cut.select("tree", "label", "signature", "fp", "side", F.xxhash64("tree", "head", "p.i", "p.j").alias("tile")).groupBy("tile").applyInArrow(tile, "a long, b long")
         rows = marked.where("size IS NULL").drop("size")
-    forest = rows.select("tree", "label", "fp", "signature", "stem").repartition("tree", "stem").sortWithinPartitions("tree", "label", "fp")
+    # Rows of a shorter prefix meet in one task where they are few; else those of each longer prefix do, as they are compared so.
+    wide = stored(rows.groupBy("tree", "stem").agg(F.count("*").alias("many")).where(F.col("many") > HUGE).select("tree", "stem", F.lit(True).alias("wide")), "jaccard-wide")
+    rows = rows.join(F.broadcast(wide) if wide.count() < 100_000 else wide, ["tree", "stem"], "left").withColumn("place", F.when(F.col("wide"), F.col("head")).otherwise(F.col("stem")))
+    forest = rows.select("tree", "label", "fp", "signature", "place").repartition("tree", "place").sortWithinPartitions("tree", "label", "fp")
     edges = forest.mapInArrow(run, "a long, b long")
     return (edges.unionByName(more) if n_large else edges).distinct()
 
@@ -315,14 +318,15 @@ def _verified(threshold: float):
     return run
 
 
-def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS) -> DataFrame:
+def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS, depth: int | None = None) -> DataFrame:
     """key, doc_id, n_grams, n_links, class_id for each row of docs (key long, doc_id long, text string).
 
-    n_links counts the other rows that are as similar; class_id is the least doc_id reachable by links.
+    n_links counts the other rows that are as similar; class_id is the least doc_id reachable by links. depth: the
+    values that candidates' labels share in some tree, by default as many as recall allows.
     """
     signed = stored(_signed(docs, n), "jaccard-signed")
     classes = stored(signed.where("n_grams > 0").groupBy("fp").agg(F.count("*").alias("n_docs"), F.min("key").alias("key"), F.first("n_grams").alias("n_grams"), F.first("signature").alias("signature")), "jaccard-classes")
-    ties = components(tied(classes, threshold))
+    ties = components(tied(classes, threshold, depth))
     members = classes.select("fp", "n_docs", "key", "n_grams").join(ties.select(F.col("id").alias("fp"), "component"), "fp")
     members = stored(members, "jaccard-members")
     sizes = members.groupBy("component").agg(F.count("*").alias("n_classes"), (8 * F.sum("n_grams")).alias("bytes"))
@@ -361,6 +365,8 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORD
     return settled(done, "jaccard-links", signed, classes, members, compared)
 
 
+#: Share of a sample's true links to be found, or prefixes get shorter.
+LEAST_RECALL = 0.995
 #: Rows audited, and bytes of each at most, which bounds what the tasks are sent.
 AUDITED, AUDITED_BYTES = 256, 1 << 18
 
@@ -399,13 +405,27 @@ def audited(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, n:
     return known.join(sums, "at").select("key", "n_links", "true_links")
 
 
+def measured_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS, depth: int | None = None) -> DataFrame:
+    """jaccard_links() with its recall measured on a sample against all rows; where that falls short, again at prefixes one value shorter."""
+    depth = depth or least_depth(threshold)
+    while True:
+        found = jaccard_links(docs, threshold, n, depth)
+        told = audited(docs, found, threshold, n).agg(F.sum(F.least("n_links", "true_links")).alias("met"), F.sum("true_links").alias("true")).first()
+        if not told.true or told.met >= LEAST_RECALL * told.true:
+            return found
+        released(found)
+        depth -= 1
+        if not depth:
+            raise RuntimeError(f"{told.met} of {told.true} links were found at the shortest prefix")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def deduplicated(df: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS) -> DataFrame:
     """df with one document of each group of linked ones (its least doc_id; of rows equal in that and text, the least by a hash of the row); texts without words all stay."""
-    keys = jaccard_links(_keyed(df), threshold, n)
+    keys = measured_links(_keyed(df), threshold, n)
     names, key = df.columns, unused(df, "key")
     first = keys.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select(F.col("k.key").alias(key))
     keyed = df.withColumn(key, row_key("doc_id", "text"))
@@ -416,5 +436,5 @@ def deduplicated(df: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_links(_keyed(table(spark, sf_dir, "documents")))
+    found = measured_links(_keyed(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_grams", "n_links", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))

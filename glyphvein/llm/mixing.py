@@ -27,6 +27,8 @@ from glyphvein.llm.common import WORD, released, row_key, stored, table, unused
 
 #: A cell (source, size) with more documents is dealt out in salted parts of about so many.
 PART = 2000
+#: Most cells that are sent to every task, at about a hundred bytes; of more, each meets its documents in SALTS parts.
+FEW_CELLS, SALTS = 200_000, 64
 #: Documents up to so many words settle what rounding leaves: bounds the array of a source.
 SMALL = 4096
 
@@ -129,6 +131,14 @@ def rounded(cells: DataFrame, cap: float) -> DataFrame:
     return cells.join(changes, ["skey", "size"], "left").withColumn("more", F.col("more") + F.coalesce("change", F.lit(0))).drop("change")
 
 
+def planned(sized: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """The plan's row for each document. A cell may hold a third of all documents (empty texts of one source): none is gathered in one task."""
+    if few:
+        return sized.join(F.broadcast(plan), ["skey", "size"])
+    salted = sized.withColumn("part", F.pmod(F.xxhash64("key", F.lit(13)), F.lit(SALTS)).cast("int"))
+    return salted.join(plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["skey", "size", "part"]).drop("part")
+
+
 def copies(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """sized (key, source, size) with source_size, target, rate, copies."""
     sized = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
@@ -138,8 +148,9 @@ def copies(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     lam = balanced(cells, sources, cap)
     tilted = cells.select("skey", "size", "n").join(sources.drop("n"), "skey").join(lam, "skey", "left")
     tilted = tilted.withColumn("x", F.col("size") / F.col("mean")).withColumn("rate", F.when((F.col("size") == 0) | F.col("lam").isNull(), F.lit(1.0)).otherwise(_tilt(cap)))
-    plan = rounded(tilted.select("skey", "size", "n", "rate", "target"), cap).drop("target")
-    docs = sized.join(plan, ["skey", "size"]).join(sources.drop("n"), "skey")
+    plan = rounded(tilted.select("skey", "size", "n", "rate", "target"), cap).drop("target").join(sources.drop("n"), "skey")
+    plan = stored(plan, "mixing-plan")
+    docs = planned(sized, plan, plan.count() <= FEW_CELLS)
     parts = F.ceil(F.col("n") / PART)
     docs = docs.withColumn("order", F.xxhash64("key", F.lit(11))).withColumn("salt", F.pmod(F.xxhash64("key", F.lit(12)), parts))
     cell = Window.partitionBy("skey", "size", "salt")

@@ -58,6 +58,25 @@ def _empty(spark):
 # ---------------------------------------------------------------- 1
 
 
+def test_a_cell_of_a_third_of_all_documents(spark):
+    """50,000 empty texts of one source meet the plan without being gathered, by broadcast and by salt, with the same result."""
+    rows = [(i, None, "a") for i in range(50_000)] + [(100_000 + i, " ".join(["w"] * (1 + i % 40)), "ab"[i % 2]) for i in range(400)]
+    sized = spark.createDataFrame(rows, "key long, text string, source string").select("key", "source", mixing.size_of().alias("size"))
+    results = []
+    for few in (200_000, -1):
+        mixing.FEW_CELLS = few
+        try:
+            results.append(sorted(map(tuple, mixing.copies(sized).select("key", "size", "copies", "target").collect())))
+        finally:
+            mixing.FEW_CELLS = 200_000
+    assert results[0] == results[1] and len(results[0]) == len(rows) and all(r[2] == 1 for r in results[0][:50_000])
+    plan = sized.select(F.lit("sa").alias("skey"), "size", F.lit(1).alias("n")).distinct()
+    salted = mixing.planned(sized.withColumn("skey", F.lit("sa")), plan, False)
+    most = salted.where("size = 0").groupBy(F.pmod(F.xxhash64("key", F.lit(13)), F.lit(mixing.SALTS))).count().agg(F.max("count")).first()[0]
+    assert salted.count() == len(rows) and most < 50_000 / mixing.SALTS * 1.3
+    assert "BroadcastHashJoin" in mixing.planned(sized.withColumn("skey", F.lit("sa")), plan, True)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mixing(spark, docs):
     sized = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), "source", mixing.size_of().alias("size"))
     rows = mixing.copies(sized).collect()
@@ -565,6 +584,29 @@ def test_survivors_do_not_depend_on_order(spark):
     assert len(kept) == 1 and next(iter(kept))[0] == 1 and next(iter(kept))[-1] == "mine"
 
 
+def test_recall_is_measured_and_acted_on(spark, docs, monkeypatch):
+    """With prefixes so long that links are lost, the audit shortens them until the links are those of the exact join."""
+    keyed = jaccard._keyed(docs)
+    expected = sorted(map(tuple, jaccard.jaccard_links(keyed).select("doc_id", "n_links", "class_id").collect()), key=str)
+    asked = []
+    links = jaccard.jaccard_links
+    monkeypatch.setattr(jaccard, "jaccard_links", lambda d, t, n, depth: asked.append(depth) or (links(d, t, n, depth) if depth < 7 else links(d, t, n, depth).withColumn("n_links", F.lit(0).cast("long"))))
+    got = jaccard.measured_links(keyed, depth=8)
+    assert sorted(map(tuple, got.select("doc_id", "n_links", "class_id").collect()), key=str) == expected and asked[:2] == [8, 7] and len(asked) > 2
+
+
+def test_hot_stems_are_split(spark, monkeypatch):
+    """Many middling heads under one stem: each is dealt by itself, and no tie is lost."""
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, text(i // 3) + f" tail{i % 3}") for i in range(240)]
+    df = jaccard._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = sorted(map(tuple, jaccard.jaccard_links(df).select("doc_id", "n_links", "class_id").collect()))
+    assert all(n == 2 and c == d // 3 * 3 for d, n, c in expected)
+    monkeypatch.setattr(jaccard, "HUGE", 2)
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    assert sorted(map(tuple, jaccard.jaccard_links(df).select("doc_id", "n_links", "class_id").collect())) == expected
+
+
 # ---------------------------------------------------------------- 9
 
 

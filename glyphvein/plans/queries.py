@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphvein.encodings import BY_NAME
-from glyphvein.functions import expressions, filters
+from glyphvein.functions import codecs, expressions, filters
 from glyphvein.functions.regex import ranges
 from glyphvein.operators.classes import class_counts
 from glyphvein.operators.scan import scan
@@ -105,15 +105,27 @@ OWN = {
 WIDE = "乏乎乍乐乑亂亃亄亅了于亏五井亖亗亘亙亚些亜亝亞亟云亓"
 
 
-def _shown(text: str, letters: str, every: str = "") -> str:
-    """ASCII text with its letters replaced; every: the flag of a replacement of all matches, which Spark needs not."""
-    return f"translate(regexp_replace({text}, '[^\\t\\n -~]', ''{every}), '{LETTERS}', '{letters}')"
+def kept(encoding: str) -> tuple[str, str]:
+    """The Latin letters beyond ASCII that a charset has, by their two and by their four bytes: documents keep these."""
+    codec = OWN[encoding][0]
+    pairs = codecs.pair_table(encoding) if encoding in DOUBLE else {}
+    found: dict[int, list[str]] = {2: [], 4: []}
+    for c in map(chr, [*range(0xA1, 0xAD), *range(0xAE, 0x180)]):
+        raw = c.encode(codec, "ignore")
+        if pairs.get(raw) == c or encoding == "gb18030" and len(raw) == 4:
+            found[len(raw)].append(c)
+    return "".join(found[2]), "".join(found[4])
+
+
+def _shown(text: str, letters: str, every: str = "", own: str = "") -> str:
+    """Text with its ASCII letters replaced, and of other characters those of its own that stay; every: the flag of a replacement of all matches, which Spark needs not."""
+    return f"translate(regexp_replace({text}, '[^\\t\\n -~{own}]', ''{every}), '{LETTERS}', '{letters}')"
 
 
 def _own(spark: SparkSession, sf_dir: str, encoding: str) -> DataFrame:
     codec, two, four, _ = OWN[encoding]
     key, text = TABLES["documents"]
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"{key} AS key", f"{_shown(text, two + four)} AS text")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"{key} AS key", f"{_shown(text, two + four, own=''.join(kept(encoding)))} AS text")
     return charset_values(rows, "key", "text", codec)
 
 
@@ -134,6 +146,7 @@ def _own_sql(encoding: str) -> str:
     _, two, four, _ = OWN[encoding]
     key, text = TABLES["documents"]
     e, single = BY_NAME[encoding], encoding == "windows-1251"
+    two, four = (a + b for a, b in zip((two, four), kept(encoding), strict=True))
     double = "" if single else "".join(c for c in two if not "｡" <= c <= "ﾟ")
     cls = ASCII + two + four
     size = f"(length(tok) + {_count('tok', double)} + 3 * {_count('tok', four)})"
@@ -141,7 +154,7 @@ def _own_sql(encoding: str) -> str:
     if encoding == "iso2022-jp":  # each stretch of two-byte characters stands between escapes, the last of which is no part of a run
         size = f"({size} + 6 * len(regexp_extract_all(tok, '[{double}]+')))"
         cb = f"({size} - CASE WHEN regexp_matches(tok, '[{double}]$') THEN 3 ELSE 0 END)"
-    shown = _shown(text, two + four, ", 'g'")
+    shown = _shown(text, "".join(OWN[encoding][1:3]), ", 'g'", "".join(kept(encoding)))
     return f"""
         WITH tokens AS (SELECT {key} AS path, regexp_extract_all({shown}, '[{cls}]+|[^{cls}]+') AS toks FROM documents),
         each AS (SELECT path, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM tokens),

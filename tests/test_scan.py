@@ -1,3 +1,4 @@
+import hashlib
 from collections import defaultdict
 
 import models
@@ -86,6 +87,31 @@ def test_shifted_runs_agree_with_the_model():
         assert found == {k: v for k, v in ((k, models.iso2022jp_runs(v, least)) for k, v in values.items()) if v}
 
 
+#: Digests of all assigned two-byte sequences of each charset with what they stand for.
+TABLES = {
+    "cp932": "03382ad0127c624757fbccac3f7476f144212d682dd7eb139f69621248b89cdd",
+    "gbk": "e136c29944aeac6107cb6c890376a3be32e10915a78df7334ab49b7efc3214c1",
+    "euc-kr": "92904e503704c0bc6ce8827c0f0123bc8cfd220c2ff977c9c618b7c9a47d8320",
+    "big5": "17fb673f8a5670dd022fd43de1f6529b0c5cf9870592cf13e4758591a569a857",
+    "gb18030": "e136c29944aeac6107cb6c890376a3be32e10915a78df7334ab49b7efc3214c1",
+}
+
+
+@pytest.mark.parametrize("name", list(codecs.LEADS))
+def test_every_pair(name):
+    """Each of the 65,536 two-byte values, alone and between letters: what the model finds, one scalar a pair but for four of Big5's."""
+    pairs = [bytes([a, b]) for a in range(256) for b in range(256)]
+    for values in ({p.hex(): p for p in pairs}, {p.hex(): b"x" + p + b"y" for p in pairs}):
+        found = defaultdict(list)
+        for r in _rows(Scanner(name, ("ascii",), 1), values):
+            found[r[0]].append((r[1], r[6]))
+            assert r[5] == len(r[6])
+        assert found == {k: v for k, v in ((k, models.double_byte_runs(v, name, 1)) for k, v in values.items()) if v}
+    table = codecs.pair_table(name)
+    assert sorted(k for k, t in table.items() if len(t) != 1) == (sorted(codecs.BIG5_DOUBLES) if name == "big5" else [])
+    assert hashlib.sha256("\n".join(f"{k.hex()} {t}" for k, t in sorted(table.items())).encode()).hexdigest() == TABLES[name]
+
+
 def _chunk_batch(rows):
     path, at, data, total = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(path), pa.array(at, pa.int64()), pa.array(data, pa.binary()), pa.array(total, pa.int64())], ["path", "chunk_off", "bytes", "file_len"])

@@ -7,6 +7,7 @@ import resource
 import sys
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from glyphvein.encodings import BY_NAME
@@ -56,8 +57,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         spark.interruptTag(TAG)
         print("error: cancelled by Ctrl+C", file=sys.stderr)
         return 1
-    except (ValueError, EOFError, OSError) as e:
-        print(f"error: {e}", file=sys.stderr)
+    except (ValueError, EOFError, OSError, AnalysisException) as e:  # the last where Spark's readers find no such path
+        print(f"error: {str(e).splitlines()[0]}", file=sys.stderr)
         return 1
     return 0
 

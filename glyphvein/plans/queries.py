@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,14 @@ from glyphvein.encodings import BY_NAME
 from glyphvein.functions import codecs, expressions, filters
 from glyphvein.functions.regex import ranges
 from glyphvein.operators.classes import class_counts
+from glyphvein.operators.runs import RUN_FIELDS
 from glyphvein.operators.scan import scan
 from glyphvein.operators.stitch import scan_chunks
-from glyphvein.plans.extract import found
+from glyphvein.plans.extract import Options, extract, found
+from glyphvein.plans.functions import register
 from glyphvein.sources.chunks import charset_values, column_values, cut
-from glyphvein.sources.lines import lines
+from glyphvein.sources.lines import lines, shared_folder
+from glyphvein.streaming.chunks import scan_chunk_stream
 
 DOUBLE = ("cp932", "gbk", "euc-kr", "big5", "gb18030")
 
@@ -88,6 +92,30 @@ def _chunked(encoding: str, size: int, name: str = "documents", charset: str = "
     return lambda spark, sf_dir: scan_chunks(cut(_values(spark, sf_dir, name, charset), size), encoding)
 
 
+def table_function_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan as SQL calls it."""
+    _values(spark, sf_dir, "documents").createOrReplaceTempView("glyphvein_values")
+    register(spark, "glyphvein_text_runs")
+    return spark.sql("SELECT * FROM glyphvein_text_runs(TABLE(glyphvein_values), 'ascii,utf8', 'ascii', min_length => 6)")
+
+
+def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents, dealt at random to the files of a stream that is read a third at a time: runs over micro-batches."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    chunks = cut(_values(spark, sf_dir, "documents"), 2048).drop("lookahead")
+    chunks.repartition(12, F.xxhash64("path", "chunk_off")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    runs = scan_chunk_stream(spark, stream, "utf8")
+    runs.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(runs.schema).parquet(f"{folder}/out")
+
+
+def extract_lineitem_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text in the bytes of a table's files themselves, by ranges, in output order."""
+    runs = extract(spark, f"{sf_dir}/lineitem.parquet", Options(("ascii", "utf16le-ascii", "utf8"), chunk_size="1M"))
+    return runs.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), *RUN_FIELDS)
+
+
 # ---------------------------------------------------------------- text in other charsets
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -275,6 +303,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chunked_cp932_documents": _chunked_own("cp932", 64),
         "chunked_gb18030_documents": _chunked_own("gb18030", 64),
         "chunked_iso2022jp_kanji": _chunked_own("iso2022-jp", 64),
+        "table_function_documents": table_function_documents,
+        "streamed_documents": streamed_documents,
+        "extract_lineitem_file": extract_lineitem_file,
         "merge_encodings": merge_encodings,
         "line_format": line_format,
         "string_only": string_only,
@@ -317,6 +348,8 @@ def oracle_sql() -> dict[str, str]:
     three = _union(_runs_sql("documents", "ascii"), _runs_sql("documents", "utf8", TEXT), _runs_sql("documents", "iso2022-jp"))
     line = """lpad(CAST("offset" AS VARCHAR), 20, '0') || chr(9) || encoding || chr(9) || text"""
     sql |= {
+        "table_function_documents": _union(_runs_sql("documents", "ascii", least=6), _runs_sql("documents", "utf8", TEXT, least=6)),
+        "streamed_documents": _runs_sql("documents", "utf8", TEXT),
         "merge_encodings": three,
         "line_format": f"SELECT path, {line} AS line FROM ({_runs_sql('documents', 'ascii')})",
         "string_only": f"SELECT path, text AS line FROM ({_runs_sql('documents', 'ascii', least=8)})",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import tempfile
 import uuid
 from typing import BinaryIO
 
@@ -28,14 +29,14 @@ def write_lines(texts: DataFrame, path: str, eol: str = "\n") -> None:
     texts.write.mode("overwrite").option("lineSep", eol).text(path)
 
 
-def parts_folder(spark: SparkSession, near: str | None) -> str:
-    """A new folder that driver and tasks share, in spark.checkpoint.dir; on one machine beside the output."""
+def shared_folder(spark: SparkSession, near: str | None = None) -> str:
+    """The folder that driver and tasks share, from spark.checkpoint.dir; on one machine, where that is unset, beside the output."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = os.path.dirname(os.path.abspath(near)) if near else os.getcwd()
-    return f"{shared.rstrip('/')}/lines-{uuid.uuid4().hex}"
+        shared = os.path.dirname(os.path.abspath(near)) if near else tempfile.mkdtemp(prefix="spark-")
+    return shared.rstrip("/")
 
 
 def join_parts(spark: SparkSession, folder: str, out: BinaryIO) -> None:
@@ -61,7 +62,7 @@ def _listed(system, inner: str):
 def write_file(texts: DataFrame, out: BinaryIO, near: str | None = None, eol: str = "\n") -> None:
     """One file, open on the driver: tasks write their parts of it, which are joined as bytes."""
     spark = texts.sparkSession
-    folder = parts_folder(spark, near)
+    folder = f"{shared_folder(spark, near)}/lines-{uuid.uuid4().hex}"
     try:
         write_lines(texts, folder, eol)
         join_parts(spark, folder, out)

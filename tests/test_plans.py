@@ -11,8 +11,9 @@ from glyphvein.encodings import ENCODINGS
 from glyphvein.functions import expressions as x
 from glyphvein.operators.scan import merged, scan
 from glyphvein.plans import queries as core
-from glyphvein.plans.extract import Options, chunks, extract, found, scanned, shuffled, unordered
+from glyphvein.plans.extract import Options, chunks, extract, found, scanned, shuffled, told_lines, unordered
 from glyphvein.sources.chunks import ranged
+from glyphvein.sources.lines import write_file
 from glyphvein.streaming.scan import binary_files, scan_stream
 
 SF = "/root/testdata/sf0.001"
@@ -72,6 +73,38 @@ def test_extract_command_and_errors(spark, tmp_path, capsys):
     assert few == 3 < many
 
 
+def test_command_details(spark, tmp_path, capsysbinary, monkeypatch):
+    """Standard output, ends of lines, statistics only where asked for, Ctrl+C, folders and what is no file."""
+    import glyphvein.__main__ as command
+
+    file = tmp_path / "in.bin"
+    file.write_bytes(b"\x00first text\x00second text\xff")
+    assert main([str(file), "-s"], spark) == 0
+    told = capsysbinary.readouterr()
+    assert told.out == b"first text\nsecond text\n" and not [x for x in told.err.splitlines() if b"found" in x]
+    assert main([str(file), "-v"], spark) == 0
+    told = capsysbinary.readouterr()
+    assert told.out.startswith(b"00000000000000000001\tASCII\tfirst text\n") and b"found 2" in told.err and b"scanned" not in told.err
+    texts, counted = told_lines(spark, str(file), Options(), eol="\r\n")
+    with open(tmp_path / "out", "wb") as out:
+        write_file(texts, out, str(tmp_path / "out"), eol="\r\n")
+    assert (tmp_path / "out").read_bytes() == b"00000000000000000001\tASCII\tfirst text\r\n00000000000000000012\tASCII\tsecond text\r\n"
+    assert counted().found == {"ascii": 2, "utf16le-ascii": 0} and counted().size == 24 and counted().chunks == 1
+    monkeypatch.setattr(command, "told_lines", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+    assert main([str(file)], spark) == 1 and b"cancelled by Ctrl+C" in capsysbinary.readouterr().err
+    monkeypatch.undo()
+    (tmp_path / "sub" / "inner").mkdir(parents=True)
+    assert main([str(tmp_path / "sub")], spark) == 1 and b"not a regular file" in capsysbinary.readouterr().err
+    assert main([str(tmp_path / "nothing")], spark) == 1
+
+
+def test_a_tables_own_files(spark):
+    got = core.extract_lineitem_file(spark, SF)
+    data = open(f"{SF}/lineitem.parquet", "rb").read()
+    whole = spark.createDataFrame([("lineitem.parquet", bytearray(data))], "path string, bytes binary")
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in merged(scan(whole, "ascii,utf16le-ascii,utf8")).collect()]
+
+
 def test_ranges_give_the_runs_of_the_whole(spark, tmp_path):
     """Each encoding, by path and by URI, at sizes that cut characters, escapes and units."""
     parts = [b"abcd", b"\x00", "日本語".encode(), b"\x1b$BF|K\\\x1b(B", b"H\x00i\x00!\x00", b"\x81\x30\x84\x36", b"\x88b", "猫犬".encode("utf-16-le"), b"\xff\xfe\xff"]
@@ -169,14 +202,14 @@ def test_files_of_any_store(spark, tmp_path):
 
 
 def test_a_file_beyond_two_gib(spark, tmp_path):
-    """Sparse in the file system, so that it costs no disk: lines of zeros of 64 MiB, with text at their ends."""
-    step, n = 64 << 20, 34
+    """Sparse in the file system, so that it costs no disk: lines of zeros of 4 MiB, with text at their ends."""
+    step, n = 4 << 20, 520
     with open(tmp_path / "large", "wb") as file:
         for k in range(n):
             file.seek((k + 1) * step - 9)
-            file.write(b"text %02d!\n" % k)
+            file.write(b"text%03d!\n" % k)
     rows = extract(spark, _mounted(spark, tmp_path), Options(("ascii",))).collect()
-    assert [(r.offset, r.text) for r in rows] == [((k + 1) * step - 9, f"text {k:02d}!") for k in range(n)] and n * step > 2 << 30
+    assert [(r.offset, r.text) for r in rows] == [((k + 1) * step - 9, f"text{k:03d}!") for k in range(n)] and n * step > 2 << 30
 
 
 def test_scans_do_not_shuffle(spark):

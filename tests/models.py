@@ -1,7 +1,11 @@
 """Small scanners to hold the patterns against: a step from each byte, no regular expressions."""
 
+import functools
+
 from glyphvein.functions import codecs, filters
 
+kanji_pairs = functools.cache(codecs.kanji_pairs)
+
 
 def _runs(steps, least):
     """steps: (offset, size, text or None)."""
@@ -107,7 +111,7 @@ def utf16_resolved(data, names, least):
 
 def iso2022jp_runs(data, least):
     modes = {b"(B": 0, b"(J": 1, b"(I": 2, b"$@": 3, b"$B": 3}
-    pairs = codecs.kanji_pairs()
+    pairs = kanji_pairs()
     out, i, mode, start, text, end = [], 0, 0, None, "", 0
 
     def close():

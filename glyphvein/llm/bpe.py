@@ -2,7 +2,7 @@
 
 encode_texts() appends `ids` (array of int) and decode_ids() appends `decoded` (binary).
 Null texts count as empty and give no ids; null id lists decode to no bytes; repeated rows
-give equal results; columns whose names clash with new ones are replaced.
+give equal results; an empty table gives an empty result; columns whose names clash with new ones are replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ bytes and its ids.
 A file is Parquet with a row (part, blk, payload) per block, beside the table of frequencies and
 an index of blocks with their first token's number. Rows without doc_id come first; equal
 doc_ids stand side by side, ordered by a hash of the text. Null texts count as empty: just the
-end id. An empty table gives files without blocks.
+end id. An empty table gives files without blocks. Only doc_id and text are looked at, whatever other columns are named.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ from glyphvein.encodings import ENCODINGS
 from glyphvein.functions import expressions as x
 from glyphvein.operators.scan import merged, scan
 from glyphvein.plans import queries as core
-from glyphvein.plans.extract import Options, chunks, extract, found, scanned, shuffled, told_lines, unordered
+from glyphvein.plans.extract import Options, chunks, extract, found, scanned, shuffled, told_lines
 from glyphvein.sources.chunks import ranged
 from glyphvein.sources.lines import write_file
 from glyphvein.streaming.scan import binary_files, scan_stream

@@ -161,8 +161,9 @@ def test_ranges_advance_together(tmp_path, monkeypatch):
 
 def _mounted(spark, folder):
     """A path to a local folder that only Spark's readers open."""
-    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{folder}")
-    path = "viewfs://store/in"
+    store = f"store{abs(hash(str(folder)))}"  # file systems are kept by name
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{store}.link./in", f"file://{folder}")
+    path = f"viewfs://{store}/in"
     assert not ranged(path)
     return path
 
